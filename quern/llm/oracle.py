@@ -2,8 +2,8 @@
 
 ORACLE: dict[str, str] = {}
 
-_STRIP = r"regexp_replace({0}, '^[\s  -   　 \u0085  ]+|[\s  -   　 \u0085  ]+$', '', 'g')"
-_WS = r"[\s  -   　 \u0085  ]"
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+_STRIP = "regexp_replace({0}, '^" + _WS.replace("{", "{{").replace("}", "}}") + "+|" + _WS.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
 
 ORACLE["p2_found"] = f"""
 with d as (select doc_id, full_text t, chunk_size n from documents join index_meta using (index_name)

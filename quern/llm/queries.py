@@ -41,6 +41,31 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(counts, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read(spark, d, "documents"), read(spark, d, "pack_sizes"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and share of room used of each pack."""
+    sizes = read(spark, d, "pack_sizes").select("pack", "capacity")
+    used = p8_pack(spark, d).where("container is not null").groupBy("pack").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("n_tokens"))
+    return used.join(sizes, "pack").withColumn("fill", F.col("n_tokens") / (F.col("containers") * F.col("capacity")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_classes)
+    f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_classes, p8_pack, p8_report, p9_mix, p9_shares)
 }
