@@ -91,3 +91,8 @@ def with_tokens(df: DataFrame, text: str, tokenizer: str, out: str = "n_tokens")
 def crc_bucket(col, n: int):
     """A salt in [0, n) that depends on the row alone."""
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+
+
+def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, a materialised narrow table, marked for broadcast if it is counted to have at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df

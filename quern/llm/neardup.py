@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, map_rows, schema_of, spread
+from .common import cut, if_small, map_rows, schema_of, spread
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 64-bit golden-ratio multiplier
 
@@ -122,31 +122,29 @@ def near_duplicates(
     over the candidates of each probe.  ``sample`` sets, a bound, only tell which tokens are routed as frequent.
     """
     key_type = documents.schema[key].dataType.simpleString()
-    docs = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_k").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") >= 2 * min_words - 1))
+    n_words = F.size(F.split(F.regexp_replace("_t", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"))
+    docs = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_k").isNotNull() & (F.length("_t") >= 2 * min_words - 1))
+    docs = docs.where(n_words >= max(min_words, width))
     keyed = docs.select("_k", F.md5("_t").alias("_copy"))
     classes = keyed.groupBy("_copy").agg(F.min("_k").alias("_rep"), F.count("*").alias("_n"))
-    copies = keyed.join(classes.where("_n > 1"), "_copy").where("_k <> _rep").select("_k", "_rep")
-    copies = cut(copies.dropDuplicates(["_k"]))
+    known = cut(keyed.join(classes, "_copy").select("_k", "_rep").distinct())
+    members = known.select(F.col("_k").alias(key), F.col("_rep").alias("rep"))
 
     def to_sets(cols: dict[str, list]):
-        for k, s in zip(cols["_k"], shingles(cols["_t"], width, min_words)):
+        for k, s in zip(cols["_k"], shingles(cols["_t"], width, 0)):
             if s is not None:
                 yield k, len(s), s
 
-    reps = docs.join(copies.select("_k"), "_k", "left_anti")
-    sets = cut(map_rows(spread(reps), to_sets, f"_k {key_type}, _size int, _set array<bigint>", 256).dropDuplicates(["_k"]))
-    members = sets.select(F.col("_k").alias(key), F.col("_k").alias("rep")).unionByName(
-        copies.join(sets.select(F.col("_k").alias("_rep")), "_rep", "left_semi").select(F.col("_k").alias(key), F.col("_rep").alias("rep"))
-    )
-
-    tokens = sets.select("_k", "_size", F.explode("_set").alias("_token"))
-    seen = sets.limit(sample).select(F.explode("_set").alias("_token")).groupBy("_token").count()
+    shape = f"_k {key_type}, _size int, _set array<bigint>"
+    reps = docs.join(if_small(cut(known.where("_k <> _rep").select("_k"))), "_k", "left_anti")
+    tokens = map_rows(spread(reps), to_sets, shape, 256).select("_k", "_size", F.explode("_set").alias("_token"))
+    seen = map_rows(docs.limit(sample), to_sets, shape, 256).select(F.explode("_set").alias("_token")).groupBy("_token").count()
     hot = seen.where(F.col("count") >= max(50, sample // 50)).select("_token", F.lit(True).alias("_hot"))
     shared = _with_frequency(tokens, hot)
     need = F.ceil(F.lit(threshold) * F.col("_size") - F.lit(1e-9)).cast("int")
     ordered = cut(
         shared.groupBy("_k", "_size")
-        .agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_o"))
+        .agg(F.array_sort(F.collect_set(F.struct("_df", "_token"))).alias("_o"))
         .where(F.size("_o") >= need)
         .select("_k", "_size", F.col("_o._df").alias("_f"), F.col("_o._token").alias("_o"))
     )

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from .common import read
 
 
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    from .handwritten import not_handwritten
+
+    return not_handwritten(read(spark, d, "documents"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_kinds(spark, d).select("doc_id")
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     from .oversized import split_oversized
 
@@ -20,6 +30,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("chunk_idx = 0").select("doc_id", "boundary")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .knn import similar_pairs
+
+    return similar_pairs(read(spark, d, "vec_index")).select("rowid_a", "rowid_b")
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every row whose id is divisible by 20, against all rows."""
+    from .knn import nearest_of
+
+    vectors = read(spark, d, "vec_index")
+    return nearest_of(vectors, vectors.where("rowid % 20 = 0"))
+
+
 def _near(spark: SparkSession, d: str, threshold: float):
     from .neardup import near_duplicates
 
@@ -41,6 +65,16 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(counts, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    from .markup import markup_kinds
+
+    return markup_kinds(read(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_clean(spark, d).select("doc_id", "markup")
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack
 
@@ -67,5 +101,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_classes, p8_pack, p8_report, p9_mix, p9_shares)
+    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares)
 }
