@@ -100,6 +100,27 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where("doc_type = 'book'")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from .sentences import split_sentences
+
+    documents = read(spark, d, "documents")
+    return split_sentences(documents.join(read(spark, d, "sentence_set"), "doc_id", "left_semi"), _books(spark, d))
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences and their mean length of every document."""
+    from .sentences import split_sentences
+
+    documents = read(spark, d, "documents")
+    ends = split_sentences(documents, _books(spark, d))
+    counts = ends.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max("sent_end").alias("n_chars"))
+    return counts.withColumn("mean_chars", F.col("n_chars") / F.col("n_sentences"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares)
+    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
 }
