@@ -30,6 +30,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("chunk_idx = 0").select("doc_id", "boundary")
 
 
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    from .codelang import code_languages, fit_models
+
+    return code_languages(read(spark, d, "documents"), fit_models(_books(spark, d)))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_languages(spark, d).select("doc_id", "lang")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .knn import similar_pairs
 
@@ -122,5 +132,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
+    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_languages, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
 }
