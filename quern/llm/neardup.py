@@ -118,8 +118,8 @@ def near_duplicates(
     Exact copies are collapsed before any shingle is made, so a text held by a third of all rows is one set.  A shingle
     occurring once cannot be shared: it is dropped but still counts in the size.  What is left is ordered by frequency,
     rarest first, and the tree over these sets is spread over the cluster by its root edges: each set goes to the
-    subtrees of its prefix tokens only, where position and size bound the overlap.  The pairs left are settled in trees
-    over the candidates of each probe.  ``sample`` sets, a bound, only tell which tokens are routed as frequent.
+    subtrees of its prefix tokens only.  A pair that meets in too few of them for what is left of the shorter to make up
+    the overlap is dropped; the pairs left are settled in trees over the candidates of each probe.  ``sample`` sets, a bound, only tell which tokens are routed as frequent.
     """
     key_type = documents.schema[key].dataType.simpleString()
     n_words = F.size(F.split(F.regexp_replace("_t", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"))
@@ -148,18 +148,22 @@ def near_duplicates(
         .where(F.size("_o") >= need)
         .select("_k", "_size", F.col("_o._df").alias("_f"), F.col("_o._token").alias("_o"))
     )
+    n_prefix = F.size("_o") - need + 1
     prefix = ordered.select(
-        "_k", "_size", F.size("_o").alias("_kept"), F.posexplode(F.slice("_o", F.lit(1), F.size("_o") - need + 1)).alias("_pos", "_token")
+        "_k", "_size", need.alias("_need"), F.struct(F.element_at("_f", n_prefix), F.element_at("_o", n_prefix)).alias("_last"), F.explode(F.slice("_o", F.lit(1), n_prefix)).alias("_token")
     )
     a, b = prefix.alias("a"), prefix.alias("b")
-    bound = F.least(F.col("a._kept") - F.col("a._pos"), F.col("b._kept") - F.col("b._pos"))
+    # beyond its last prefix token the set whose prefix ends first has need - 1 tokens; the rest of what two sets must share lies in both prefixes
+    common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a._size") + F.col("b._size")) - F.lit(1e-6)).cast("int")
+    beyond = F.when(F.col("a._last") < F.col("b._last"), F.col("a._need")).when(F.col("b._last") < F.col("a._last"), F.col("b._need")).otherwise(F.least("a._need", "b._need")) - 1
     pairs = (
         a.join(b, F.col("a._token") == F.col("b._token"))
         .where("a._k < b._k")
         .where(F.least("a._size", "b._size") >= F.lit(threshold) * F.greatest("a._size", "b._size") - F.lit(1e-9))
-        .where(bound >= F.lit(threshold / (1 + threshold)) * (F.col("a._size") + F.col("b._size")) - F.lit(1e-6))
-        .select(F.col("a._k").alias("_a"), F.col("b._k").alias("_b"))
-        .distinct()
+        .select(F.col("a._k").alias("_a"), F.col("b._k").alias("_b"), (common - beyond).alias("_least"))
+        .groupBy("_a", "_b").agg(F.count("*").alias("_met"), F.max("_least").alias("_least"))
+        .where(F.col("_met") >= F.col("_least"))
+        .select("_a", "_b")
     )
     return _settle(cut(pairs), ordered, key, key_type, threshold), members
 

@@ -40,6 +40,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_languages(spark, d).select("doc_id", "lang")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .scans import scan_noise
+
+    return scan_noise(read(spark, d, "documents"))[0]
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from .scans import repair_scans
+
+    return repair_scans(read(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .knn import similar_pairs
 
@@ -132,5 +144,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_languages, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
+    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_languages, p4_found, p4_repaired, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
 }
