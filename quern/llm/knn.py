@@ -16,7 +16,7 @@ def learn_rotations(sample: np.ndarray, count: int, seed: int = 0, rounds: int =
     """
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
-    axes = np.linalg.svd(sample - sample.mean(0), full_matrices=True)[2].T if len(sample) > 1 else np.eye(d)
+    axes = np.linalg.eigh(np.cov(sample.astype(np.float64), rowvar=False).reshape(d, d))[1] if len(sample) > 1 else np.eye(d)
     out = []
     for _ in range(count):
         r = np.linalg.qr(rng.standard_normal((d, d)))[0]
