@@ -144,7 +144,9 @@ def near_duplicates(
     need = F.ceil(F.lit(threshold) * F.col("_size") - F.lit(1e-9)).cast("int")
     ordered = cut(
         shared.groupBy("_k", "_size")
-        .agg(F.array_sort(F.collect_set(F.struct("_df", "_token"))).alias("_o"))
+        # two plain lists, which grow in step, take a third of the room of one list of structs
+        .agg(F.collect_list(F.col("_df").cast("int")).alias("_f"), F.collect_list("_token").alias("_t"))
+        .select("_k", "_size", F.array_sort(F.array_distinct(F.arrays_zip(F.col("_f").alias("_df"), F.col("_t").alias("_token")))).alias("_o"))
         .where(F.size("_o") >= need)
         .select("_k", "_size", F.col("_o._df").alias("_f"), F.col("_o._token").alias("_o"))
     )
@@ -176,7 +178,7 @@ def _with_frequency(tokens: DataFrame, hot: DataFrame) -> DataFrame:
     """
     marked = tokens.join(F.broadcast(hot), "_token", "left")
     cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn("_df", F.count("*").over(Window.partitionBy("_token")))
-    return cold.where("_df > 1").unionByName(marked.where(F.col("_hot")).drop("_hot").withColumn("_df", F.lit(1 << 40)))
+    return cold.where("_df > 1").unionByName(marked.where(F.col("_hot")).drop("_hot").withColumn("_df", F.lit((1 << 31) - 1).cast("long")))
 
 
 def copies_and_links(links: DataFrame, members: DataFrame, key: str = "doc_id", expand: int = 32) -> DataFrame:
