@@ -28,19 +28,30 @@ class Unsupported(RuntimeError):
     pass
 
 
-def dense_ids(items: DataFrame, key: str, count: str, base: int, buckets: int = 256) -> DataFrame:
-    """``items`` with ``_first``, the first of ``count`` successive ids of each, from ``base`` in the order of ``key``.
+def dense_ids(items: DataFrame, key: str, count: str, base: int, buckets: int = 64, sample: int = 10_000) -> DataFrame:
+    """``items`` with ``_first``, the first of ``count`` successive ids of each, from ``base`` in the order of the unique ``key``.
 
-    Keys are cut into ranges; totals of the ranges are summed first, so no window holds more than one range.
+    Keys are cut into ranges at fixed bounds, taken from the ``sample`` keys least by hash, so that a lost task falls into
+    the same range again; totals of the ranges are summed first, and no window holds more than one range.
     """
-    ranged = items.repartitionByRange(buckets, key).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.persist() if not ranged.isStreaming else ranged
+    seen = sorted(r[0] for r in items.select(key).orderBy(F.xxhash64(key), key).limit(sample).collect())
+    bounds = sorted({seen[i * len(seen) // buckets] for i in range(1, buckets)}) if seen else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    ranged = items.withColumn("_part", part)
     totals = ranged.groupBy("_part").agg(F.sum(count).alias("_s"))
     before = totals.withColumn("_off", F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).select("_part", "_off")
     inside = F.sum(count).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col(count)
+    # at most ``buckets`` rows are broadcast
     return ranged.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn("_first", F.lit(base) + F.col("_off") + F.col("_in")).drop("_part", "_off", "_in")
 
 
+def number_documents(documents: DataFrame, base: int) -> DataFrame:
+    """Documents with new ids from ``base`` in the order of their sources."""
+    one = documents.drop("doc_id").withColumn("_one", F.lit(1))
+    ids = dense_ids(one.select("source", "_one").distinct(), "source", "_one", base).select("source", F.col("_first").alias("doc_id"))
+    return one.drop("_one").join(ids, "source")
+
+
 def add_source(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks of an old layout with the column ``source`` filled from their documents, '' where there is none."""
     if "source" in chunks.columns:
@@ -123,6 +134,8 @@ class Index:
         self.folder.mkdir(parents=True, exist_ok=True)
         tables = {"chunks": chunks, "hashes": hashes}
         if documents is not None:
+            if "doc_id" not in documents.columns:
+                documents = number_documents(documents, 1)
             ids = documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
             tables = {"chunks": chunks.drop("doc_id").join(ids, "source", "left"), "hashes": hashes, "documents": documents}
         self._commit(tables, meta | {"storage_backend": "sqlite-doc" if documents is not None else meta.get("storage_backend", "faiss")}, lock)
@@ -142,7 +155,10 @@ class Index:
         tables = {}
         if self.has("documents"):
             known = self.read("documents")
-            fresh = documents.join(known.select("source"), "source", "left_anti") if documents is not None else known.limit(0)
+            fresh = known.limit(0)
+            if documents is not None:
+                last = known.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+                fresh = number_documents(documents.join(known.select("source"), "source", "left_anti"), last)
             tables["documents"] = known.unionByName(fresh, allowMissingColumns=True)
             ids = tables["documents"].groupBy("source").agg(F.min("doc_id").alias("doc_id"))
             numbered = numbered.drop("doc_id").join(ids, "source", "left")

@@ -30,9 +30,8 @@ def append_batch(index: Index, docs: DataFrame, embedder: Embedder | None = None
     if index.exists():
         known = index.read("hashes")
         fresh = fresh.join(known.select("hash"), "hash", "left_anti").join(known.select(F.col("filename").alias("source")), "source", "left_anti")
-    fresh = fresh.withColumn("doc_id", F.xxhash64("source"))
     hashes = fresh.select("hash", F.col("source").alias("filename"))
-    documents = fresh.select("doc_id", "source", "full_text", F.coalesce("ocr", F.lit(False)).alias("ocr"))
+    documents = fresh.select("source", "full_text", F.coalesce("ocr", F.lit(False)).alias("ocr"))
     if fresh.isEmpty():
         return
     index.append(chunked(fresh, embedder, **sizes), hashes, documents)
