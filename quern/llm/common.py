@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -37,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find that materialised steps no longer need their shuffles, whose files are then deleted.
+
+    Spark deletes shuffle files when the driver collects the objects that name them, which a small driver heap may put off
+    for as long as the job runs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, if_small, map_rows, schema_of, spread
+from .common import cut, if_small, map_rows, release, schema_of, spread
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 64-bit golden-ratio multiplier
 
@@ -113,7 +113,7 @@ def near_duplicates(
     Returns ``links`` (key_a, key_b, similarity) with key_a < key_b, over one representative (the smallest key) per
     distinct text, complete for every pair whose sets of ``width``-word shingles have at least ``threshold`` of their
     union in common; and ``members`` (key, rep) with one row per document that has ``min_words`` words.  Null texts and
-    shorter texts appear in neither.  A repeated key counts once.
+    shorter texts appear in neither.  A repeated key counts once, with the least of its texts.
 
     Exact copies are collapsed before any shingle is made, so a text held by a third of all rows is one set.  A shingle
     occurring once cannot be shared: it is dropped but still counts in the size.  What is left is ordered by frequency,
@@ -124,6 +124,8 @@ def near_duplicates(
     key_type = documents.schema[key].dataType.simpleString()
     n_words = F.size(F.split(F.regexp_replace("_t", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"))
     docs = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_k").isNotNull() & (F.length("_t") >= 2 * min_words - 1))
+    if documents.groupBy(key).count().where("count > 1").limit(1).count():
+        docs = docs.groupBy("_k").agg(F.min("_t").alias("_t"))
     docs = docs.where(n_words >= max(min_words, width))
     keyed = docs.select("_k", F.md5("_t").alias("_copy"))
     classes = keyed.groupBy("_copy").agg(F.min("_k").alias("_rep"), F.count("*").alias("_n"))
@@ -146,10 +148,12 @@ def near_duplicates(
         shared.groupBy("_k", "_size")
         # two plain lists, which grow in step, take a third of the room of one list of structs
         .agg(F.collect_list(F.col("_df").cast("int")).alias("_f"), F.collect_list("_token").alias("_t"))
-        .select("_k", "_size", F.array_sort(F.array_distinct(F.arrays_zip(F.col("_f").alias("_df"), F.col("_t").alias("_token")))).alias("_o"))
-        .where(F.size("_o") >= need)
+        .where(F.size("_f") >= need)
+        .select("_k", "_size", F.array_sort(F.arrays_zip(F.col("_f").alias("_df"), F.col("_t").alias("_token"))).alias("_o"))
         .select("_k", "_size", F.col("_o._df").alias("_f"), F.col("_o._token").alias("_o"))
     )
+    del tokens, shared  # nothing refers to their shuffles any more
+    release(ordered.sparkSession)
     n_prefix = F.size("_o") - need + 1
     prefix = ordered.select(
         "_k", "_size", need.alias("_need"), F.struct(F.element_at("_f", n_prefix), F.element_at("_o", n_prefix)).alias("_last"), F.explode(F.slice("_o", F.lit(1), n_prefix)).alias("_token")
@@ -167,7 +171,8 @@ def near_duplicates(
         .where(F.col("_met") >= F.col("_least"))
         .select("_a", "_b")
     )
-    return _settle(cut(pairs), ordered, key, key_type, threshold), members
+    found = cut(pairs)
+    return _settle(found, ordered, key, key_type, threshold), members
 
 
 def _with_frequency(tokens: DataFrame, hot: DataFrame) -> DataFrame:
