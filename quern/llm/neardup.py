@@ -155,13 +155,14 @@ def near_duplicates(
     del tokens, shared  # nothing refers to their shuffles any more
     release(ordered.sparkSession)
     n_prefix = F.size("_o") - need + 1
-    prefix = ordered.select(
-        "_k", "_size", need.alias("_need"), F.struct(F.element_at("_f", n_prefix), F.element_at("_o", n_prefix)).alias("_last"), F.explode(F.slice("_o", F.lit(1), n_prefix)).alias("_token")
-    )
+    # where a prefix ends in the global order, in one number: frequency, then the upper bits of the token
+    last = F.shiftleft(F.element_at("_f", n_prefix).cast("long"), 31) + F.shiftright(F.element_at("_o", n_prefix), 33) + F.lit(1 << 30)
+    prefix = ordered.select("_k", "_size", last.alias("_last"), F.explode(F.slice("_o", F.lit(1), n_prefix)).alias("_token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     # beyond its last prefix token the set whose prefix ends first has need - 1 tokens; the rest of what two sets must share lies in both prefixes
     common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a._size") + F.col("b._size")) - F.lit(1e-6)).cast("int")
-    beyond = F.when(F.col("a._last") < F.col("b._last"), F.col("a._need")).when(F.col("b._last") < F.col("a._last"), F.col("b._need")).otherwise(F.least("a._need", "b._need")) - 1
+    need_of = lambda x: F.ceil(F.lit(threshold) * F.col(f"{x}._size") - F.lit(1e-9)).cast("int")
+    beyond = F.when(F.col("a._last") < F.col("b._last"), need_of("a")).when(F.col("b._last") < F.col("a._last"), need_of("b")).otherwise(F.greatest(need_of("a"), need_of("b"))) - 1
     pairs = (
         a.join(b, F.col("a._token") == F.col("b._token"))
         .where("a._k < b._k")

@@ -228,6 +228,9 @@ def test_near_duplicates_equals_brute_force(spark):
     links, members = neardup.near_duplicates(docs(spark, *rows), threshold=0.5)
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
     assert {(r.doc_id_a, r.doc_id_b) for r in neardup.copies_and_links(links, members, expand=100).collect()} == want
+    strict, same = neardup.near_duplicates(docs(spark, *rows), threshold=0.8)
+    close = {(a, b) for a, b in want if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(r.doc_id_a, r.doc_id_b) for r in neardup.copies_and_links(strict, same, expand=100).collect()} == close
     few = neardup.copies_and_links(links, members, expand=10).collect()
     assert {(0, i) for i in range(120, 160)} <= {(r.doc_id_a, r.doc_id_b) for r in few} and len(few) < len(want)
     assert members.count() == len(sets)
