@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, spread
+from .common import cut, if_small, map_rows, spread
 
 
 def learn_rotations(sample: np.ndarray, count: int, seed: int = 0, rounds: int = 20) -> np.ndarray:
@@ -94,7 +94,7 @@ def similar_pairs(
     """
     a, b = f"{key}_a", f"{key}_b"
     rows, _ = coded(vectors, key, embedding, tables=tables, bits=bits, sample=sample)
-    rows = cut(rows)
+    rows = cut(rows.drop("_v"))
     first = rows.groupBy("_same").agg(F.min("_k").alias("_c"), F.count("*").alias("_n"))
     grouped = first.where("_n > 1")
     inside = rows.select("_k", "_same").join(grouped, "_same").withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_k")))
@@ -106,16 +106,17 @@ def similar_pairs(
     entries = index.select("_k", F.col("_code")[0].alias("_word"), F.explode(F.array(*subs)).alias("_key"))
     x, y = entries.alias("x"), entries.alias("y")
     differ = F.bit_count(F.col("x._word").bitwiseXOR(F.col("y._word")))
-    near = (
+    near = cut(
         x.join(y, F.col("x._key") == F.col("y._key")).where("x._k < y._k").where(differ <= radius)
         .select(F.col("x._k").alias("_a"), F.col("y._k").alias("_b")).distinct()
     )
-    vec = index.select("_k", "_v")
-    dot = F.aggregate(F.zip_with("_va", "_vb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    ends = cut(near.select(F.col("_a").alias("_k")).unionByName(near.select(F.col("_b").alias("_k"))).distinct())
+    vec = vectors.select(F.col(key).alias("_k"), F.col(embedding).cast("array<float>").alias("_v")).join(if_small(ends), "_k", "left_semi")
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
     scored = (
         near.join(vec.select(F.col("_k").alias("_a"), F.col("_v").alias("_va")), "_a")
         .join(vec.select(F.col("_k").alias("_b"), F.col("_v").alias("_vb")), "_b")
-        .select("_a", "_b", dot.alias("_sim")).where(F.col("_sim") >= min_similarity)
+        .select("_a", "_b", (dot("_va", "_vb") / F.sqrt(dot("_va", "_va") * dot("_vb", "_vb"))).alias("_sim")).where(F.col("_sim") >= min_similarity)
     )
     scored = cut(scored)
     # the first k + 1 members stand for a group of equal vectors among the neighbours of others
