@@ -15,3 +15,19 @@ s as (select doc_id, n,
       from d)
 select doc_id, case when p <= n then 'paragraph' when l <= n then 'line' when w <= n then 'word' else 'none' end as boundary from s
 """
+
+ORACLE["p5_found"] = """
+with v as (select "rowid" id, embedding::double[] e from vec_index where embedding is not null and list_inner_product(embedding::double[], embedding::double[]) > 0),
+s as (select a.id x, b.id y, list_cosine_similarity(a.e, b.e) c from v a join v b on a.id <> b.id),
+r as (select x, y, c, row_number() over (partition by x order by round(c, 9) desc, y) n from s)
+select distinct least(x, y) as rowid_a, greatest(x, y) as rowid_b from r where n <= 5 and c >= 0.9
+"""
+
+ORACLE["p6_found"] = f"""
+with w as (select doc_id, list_filter(regexp_split_to_array(lower(full_text), '{_WS}+'), lambda x: x <> '') ws from documents),
+k as (select doc_id, ws from w where len(ws) >= 40),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') g from k, unnest(range(1, len(ws) - 3)) u(i)),
+n as (select doc_id, count(*) n from s group by 1),
+o as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
+select x as doc_id_a, y as doc_id_b from o join n p on p.doc_id = x join n q on q.doc_id = y where 2 * c >= p.n + q.n - c
+"""
