@@ -99,7 +99,7 @@ def similar_pairs(
     grouped = first.where("_n > 1")
     inside = rows.select("_k", "_same").join(grouped, "_same").withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_k")))
     inside = cut(inside.select("_k", "_c", "_r"))
-    index = rows.join(inside.where("_r > 1").select("_k"), "_k", "left_anti")
+    index = rows.join(if_small(inside.where("_r > 1").select("_k")), "_k", "left_anti")
 
     each = 64 // bits
     subs = [F.shiftrightunsigned(F.col("_code")[i // each], 64 - bits * (i % each + 1)).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(i << bits) for i in range(tables)]
