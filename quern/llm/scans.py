@@ -191,13 +191,13 @@ def misread_words(counts: DataFrame, *, known: int = 10, ratio: int = 20) -> Dat
 def scan_noise(
     documents: DataFrame, *, key: str = "doc_id", text: str = "full_text", kind: str = "doc_type", book: str = "book", ocr: str = "ocr", common: int = 50000
 ) -> tuple[DataFrame, DataFrame]:
-    """Noisy lines of scanned books, and what repairs them.
+    """Noisy lines of books, and what repairs them.
 
     ``noise`` (key, line_no, kind) names lines from 1: 'page' for running heads, feet and page numbers, 'hyphen' for a word
     broken by the line end alone, 'chars' for a line with a misread word.  ``fixes`` (key, line_no, word, fix) are the
     words to put.  Null and empty texts give no rows; a null ocr counts as unknown.  Keys should be unique.
 
-    Words are judged by the counts of the whole corpus, in joins.  Only the ``common`` most frequent words, a bound, go to
+    The words of every book are judged, whatever its flag and whether or not it shows lines of pages.  Words are judged by the counts of the whole corpus, in joins.  Only the ``common`` most frequent words, a bound, go to
     the workers, to spare words that need no judgement the way through a shuffle.
     """
     key_type = documents.schema[key].dataType.simpleString()
@@ -211,9 +211,7 @@ def scan_noise(
 
     def look(cols: dict[str, list]):
         for k, flag, t in zip(cols["_k"], cols["_ocr"], cols["_t"]):
-            lines, pages, breaks, scanned = scan_lines(t, flag)
-            if not scanned:
-                continue
+            lines, pages, breaks, _ = scan_lines(t, flag)
             for i in pages:
                 yield k, i + 1, "page", None, None, None
             broken = {i: head for i, head, _, _ in breaks}
@@ -225,6 +223,8 @@ def scan_noise(
                 while j < len(lines) and (j in pages or not lines[j].strip()):
                     j += 1
                 carried.add(j)
+            if lexicon.issuperset(WORD.findall(t)):
+                continue
             for i, line in enumerate(lines):
                 if i in pages or not line:
                     continue

@@ -171,6 +171,15 @@ def test_scan_noise(spark, odd):
     assert scans.scan_noise(odd)[0].count() == 0 and scans.scan_noise(odd.limit(0))[0].count() == 0
 
 
+def test_words_of_every_book_are_judged(spark):
+    base = [(i, PROSE * 20 + f"Copy {i}.") for i in range(10, 20)]
+    plain = spark.createDataFrame([(1, "book", False, "The quiet harbour keeps tbe old map."), (2, "book", None, "The wooden br1dge.")], "doc_id long, doc_type string, ocr boolean, full_text string")
+    rows = docs(spark, *base).select("doc_id", "doc_type", "ocr", "full_text").unionByName(plain)
+    noise, fixes = scans.scan_noise(rows)
+    assert {tuple(r) for r in noise.collect()} == {(1, 1, "chars"), (2, 1, "chars")}
+    assert {(r.word, r.fix) for r in fixes.collect()} == {("tbe", "the"), ("br1dge", "bridge")}
+
+
 # ---- 5
 
 
