@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, spread
+from .common import cut, if_small, map_rows, spread
 
 # What a reader of pages takes for what (seen, meant).
 CONFUSIONS = (
@@ -147,8 +147,19 @@ def variants(word: str, most: int = 2) -> set[str]:
     return {w for w in found if w.isalpha()}
 
 
+def distinct_texts(books: DataFrame, text: str) -> DataFrame:
+    """(_t): each text once.  Copies are told by digests, so only digests are shuffled; the texts that occur more than once
+    are met in a join with one row an occurrence of them left."""
+    rows = books.select(F.col(text).alias("_t")).where(F.length("_t") > 0).withColumn("_h", F.sha2("_t", 256))
+    copied = cut(rows.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
+    single = rows.join(if_small(copied), "_h", "left_anti").select("_t")
+    again = rows.join(if_small(copied), "_h", "left_semi").groupBy("_h").agg(F.first("_t").alias("_t")).select("_t")
+    return single.unionByName(again)
+
+
 def word_counts(books: DataFrame, text: str) -> DataFrame:
-    """(word, n): how often each word, and each compound with its hyphen, stands in the middle of a line of the corpus."""
+    """(word, n): how often each word, and each compound with its hyphen, stands in the middle of a line of the distinct
+    texts of the corpus; copies of a text count once, so that a word misread in a much copied book stays rare."""
 
     def run(cols: dict[str, list]):
         seen: Counter[str] = Counter()
@@ -158,13 +169,12 @@ def word_counts(books: DataFrame, text: str) -> DataFrame:
             seen.update(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)+", body))
         yield from seen.items()
 
-    rows = books.select(F.col(text).alias("_t")).where(F.length("_t") > 0)
-    return map_rows(spread(rows), run, "word string, n bigint", 2048).groupBy("word").agg(F.sum("n").alias("n"))
+    return map_rows(spread(distinct_texts(books, text)), run, "word string, n bigint", 2048).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def misread_words(counts: DataFrame, *, known: int = 10, ratio: int = 20) -> DataFrame:
     """(word, fix) of the words that are a known word seen through misreadings: the known word occurs at least ``known``
-    times and ``ratio`` times as often for each misreading it takes.  Of several the one with fewest misreadings, then the
+    times and ``ratio`` times as often for each misreading it takes.  Only shares of words decide, whatever the size.  Of several the one with fewest misreadings, then the
     most frequent, is meant."""
 
     def run(cols: dict[str, list]):
@@ -181,7 +191,7 @@ def misread_words(counts: DataFrame, *, known: int = 10, ratio: int = 20) -> Dat
                     for v in variants(low, 1) - {x[0].lower() + x[1:] for x in one}:
                         yield w, n, v, 2
 
-    guesses = map_rows(counts.where("n < 2000"), run, "word string, n bigint, fix string, edits int", 1024)
+    guesses = map_rows(counts, run, "word string, n bigint, fix string, edits int", 1024)
     good = counts.where(F.col("n") >= known).select(F.col("word").alias("fix"), F.col("n").alias("m"))
     odd = F.col("word").rlike(f"[{_SYMBOL}]")
     hits = guesses.join(good, "fix").where((F.col("m") >= ratio * F.col("edits") * F.col("n")) | (odd & (F.col("m") >= 3 * F.col("n"))))

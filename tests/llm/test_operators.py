@@ -180,6 +180,15 @@ def test_words_of_every_book_are_judged(spark):
     assert {(r.word, r.fix) for r in fixes.collect()} == {("tbe", "the"), ("br1dge", "bridge")}
 
 
+def test_copies_and_size_do_not_decide(spark):
+    base = [(i, PROSE * 20 + f"Copy {i}.") for i in range(10, 20)]
+    copies = [(i, "The quiet harbour keeps tbe old map.") for i in range(100, 140)]
+    noise, fixes = scans.scan_noise(docs(spark, *base, *copies))
+    assert noise.where("kind = 'chars'").count() == 40 and {r.word for r in fixes.collect()} == {"tbe"}
+    counts = spark.createDataFrame([("tbe", 3000), ("the", 900000), ("0f", 2500), ("of", 800000)], "word string, n long")
+    assert {(r.word, r.fix) for r in scans.misread_words(counts).collect()} == {("tbe", "the"), ("0f", "of")}
+
+
 # ---- 5
 
 
