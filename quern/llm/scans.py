@@ -29,6 +29,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _NUMBER = re.compile(r"^(?P<l>[—–\-\[(~•·*]*\s*)(?P<p>(?:p|pp|pag|pág|page|seite|s|с|стр|σελ)\.?\s*)?(?P<n>[0-9lIOo|]{1,5})(?P<r>\s*[—–\-\])~•·*]*|\.)$", re.I)
 _NUMBERED = re.compile(r"^(?P<a>\S.*?\S)\s{2,}[—–\-\[(]?(?P<n>[0-9lIOo|]{1,5})[—–\-\])]?$|^[—–\-\[(]?(?P<m>[0-9lIOo|]{1,5})[—–\-\])]?\s{2,}(?P<b>\S.*\S)$")
 _CHAPTER = re.compile(r"^(?:chapter|kapitel|chapitre|capítulo|capitulo|capitolo|глава|κεφάλαιο|part|teil|partie|parte|book|section)\b|^\d+[.)]\s|^第", re.I)
+_BLOCK_TAG = re.compile(r"</?(?:p|div|html|pre|li|h\d)\b", re.I)
 _TERMINAL = re.compile(r"[.!?…:。！？।؟;][\"'”’»」』)\]]*$")
 
 
@@ -305,15 +306,42 @@ def decode(word: str, fixes: dict[str, str]) -> str:
     return fixes.get(word, word)
 
 
+def marked_lines(lines: list[str]) -> set[int]:
+    """Numbers (from 0) of the lines in fences and environments and of those with tags of blocks; their ends mean something."""
+    out: set[int] = set()
+    fence, depth = False, 0
+    for i, line in enumerate(lines):
+        ticks = line.lstrip().startswith("```")
+        opened, closed = line.count("\\begin{"), line.count("\\end{")
+        if ticks or fence or depth or opened or closed or _BLOCK_TAG.search(line):
+            out.add(i)
+        fence ^= ticks
+        depth = max(0, depth + opened - closed)
+    return out
+
+
+def hard_wrapped(lines: list[str]) -> bool:
+    """Whether most lines with a line after them end where the next word would have passed the longest line."""
+    kept = [x.rstrip() for x in lines]
+    width = max(map(len, kept), default=0)
+    inner = [(a, b.lstrip()) for a, b in zip(kept, kept[1:]) if a and b]
+    full = sum(len(a) + (1 if _CJK.search(b[:1]) else 1 + len(b.split(None, 1)[0])) > width for a, b in inner)
+    return len(inner) >= 2 and width <= 120 and full >= 0.7 * len(inner)
+
+
 def repair(text: str, pages: set[int], hyphens: set[int], fixes: dict[int, dict[str, str]]) -> str:
-    """Continuous paragraphs of a scanned text: page lines go, broken words are joined, misread words are put right."""
+    """Continuous paragraphs of a scanned text: page lines go, broken words are joined, misread words are put right.
+    Lines of marked-up stretches stay lines."""
     lines, hard, gap, at_page = [], set(), False, False
     glue: set[int] = set()
-    for i, line in enumerate(text.split("\n")):
+    raw: set[int] = set()
+    source = text.split("\n")
+    marked = marked_lines(source)
+    for i, line in enumerate(source):
         if i + 1 in pages:
             at_page = True
             continue
-        if not line.strip():
+        if not line.strip() and i not in marked:
             gap = True
             continue
         if gap and not at_page:
@@ -322,33 +350,50 @@ def repair(text: str, pages: set[int], hyphens: set[int], fixes: dict[int, dict[
         own = fixes.get(i + 1)
         if own:
             line = WORD.sub(lambda m: decode(m.group(), own), line)
-        if i + 1 in hyphens:
+        if i in marked:
+            raw.add(len(lines))
+        elif i + 1 in hyphens:
             line = re.sub(r"[-=¬­][ \t]*$", "", line)
             glue.add(len(lines))
         lines.append(line)
     out = []
-    for group in paragraphs(lines, hard - {g + 1 for g in glue}):
-        s = ""
-        for i in group:
-            piece = lines[i].strip()
-            joined = bool(s) and (i - 1 in glue or s.endswith("-") and piece[:1].islower() or (_CJK.search(s[-1]) is not None and _CJK.search(piece[:1]) is not None))
-            s = s + piece if joined or not s else s + " " + piece
-        out.append(s)
+    hard -= {g + 1 for g in glue}
+    at = 0
+    while at < len(lines):
+        to = at + 1
+        while to < len(lines) and (to in raw) == (at in raw):
+            to += 1
+        if at in raw:
+            out.append("\n".join(lines[at:to]))
+        else:
+            for group in paragraphs(lines[at:to], {h - at for h in hard}):
+                s = ""
+                for i in (at + x for x in group):
+                    piece = lines[i].strip()
+                    joined = bool(s) and (i - 1 in glue or s.endswith("-") and piece[:1].islower() or (_CJK.search(s[-1]) is not None and _CJK.search(piece[:1]) is not None))
+                    s = s + piece if joined or not s else s + " " + piece
+                out.append(s)
+        at = to
     return "\n\n".join(out)
 
 
-def repair_scans(documents: DataFrame, *, key: str = "doc_id", text: str = "full_text", **names) -> DataFrame:
-    """(key, text, n_page, n_hyphen, n_chars): the repaired text of every book with noise; see ``scan_noise``."""
-    noise, fixes = scan_noise(documents, key=key, text=text, **names)
+def repair_scans(documents: DataFrame, *, key: str = "doc_id", text: str = "full_text", kind: str = "doc_type", book: str = "book", ocr: str = "ocr", **more) -> DataFrame:
+    """(key, text, n_page, n_hyphen, n_chars): the repaired text of every book that is flagged as a scan, has noise or is
+    hard-wrapped, also where nothing but line ends goes; see ``scan_noise``."""
+    noise, fixes = scan_noise(documents, key=key, text=text, kind=kind, book=book, ocr=ocr, **more)
     key_type = documents.schema[key].dataType.simpleString()
     lines = noise.groupBy(key).agg(
         *(F.collect_set(F.when(F.col("kind") == k, F.col("line_no"))).alias(f"_{k}") for k in ("page", "hyphen", "chars"))
     )
     words = fixes.groupBy(key).agg(F.collect_set(F.struct("line_no", "word", "fix")).alias("_fixes"))
-    rows = documents.select(F.col(key), F.col(text).alias("_t")).join(lines, key).join(words, key, "left")
+    books = documents.where((F.col(kind) == book) & (F.length(text) > 0))
+    rows = books.select(F.col(key), F.col(ocr).alias("_ocr"), F.col(text).alias("_t")).join(lines, key, "left").join(words, key, "left")
 
     def run(cols: dict[str, list]):
-        for k, t, p, h, c, f in zip(*(cols[x] for x in (key, "_t", "_page", "_hyphen", "_chars", "_fixes"))):
+        for k, flag, t, p, h, c, f in zip(*(cols[x] for x in (key, "_ocr", "_t", "_page", "_hyphen", "_chars", "_fixes"))):
+            p, h, c = p or (), h or (), c or ()
+            if not (flag or p or h or c or hard_wrapped(t.split("\n"))):
+                continue
             own: dict[int, dict[str, str]] = defaultdict(dict)
             for x in f or ():
                 own[x["line_no"]][x["word"]] = x["fix"]

@@ -189,6 +189,13 @@ def test_copies_and_size_do_not_decide(spark):
     assert {(r.word, r.fix) for r in scans.misread_words(counts).collect()} == {("tbe", "the"), ("0f", "of")}
 
 
+def test_wrapped_and_flagged_books_are_repaired(spark):
+    wrapped = "The quiet harbour keeps the old map beside\nthe river, because one clerk studies the\nwooden bridge and the quiet clerk waits."
+    rows = [(1, "book", False, wrapped), (2, "book", True, "One line."), (3, "book", False, "One line.\n\nAnother."), (4, "code", True, wrapped), (5, "book", True, None), (6, "book", True, "See this\ncode:\n```\na\n\nb\n```\nend of\nit.")]
+    got = {r.doc_id: r.text for r in scans.repair_scans(spark.createDataFrame(rows, "doc_id long, doc_type string, ocr boolean, full_text string")).collect()}
+    assert got == {1: wrapped.replace("\n", " "), 2: "One line.", 6: "See this code:\n\n```\na\n\nb\n```\n\nend of it."}
+
+
 # ---- 5
 
 
