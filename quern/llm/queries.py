@@ -40,6 +40,34 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_languages(spark, d).select("doc_id", "lang")
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    from .origin import with_origin
+
+    return with_origin(read(spark, d, "chunks"), read(spark, d, "documents"))
+
+
+def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Languages in every stored piece of code."""
+    from .codelang import code_languages, fit_models
+
+    return code_languages(_chunks(spark, d), fit_models(_books(spark, d)), key="id", text="text")
+
+
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired text of the stored pieces of books; words are judged by the counts of all pieces."""
+    from .common import cut
+    from .scans import repair_scans
+
+    return repair_scans(cut(_chunks(spark, d).where("doc_type = 'book'").select("id", "doc_type", "ocr", "text")), key="id", text="text")
+
+
+def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of the stored pieces of books."""
+    from .markup import markup_kinds
+
+    return markup_kinds(_chunks(spark, d), key="id", text="text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from .scans import scan_noise
 
@@ -144,5 +172,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_languages, p4_found, p4_repaired, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
+    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_languages, p3_chunks, p4_found, p4_repaired, p4_chunks, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p7_chunks, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
 }

@@ -307,6 +307,21 @@ def test_markup_rows(spark, odd):
     assert markup.markup_kinds(odd).count() == 0 and markup.markup_kinds(odd.limit(0)).count() == 0
 
 
+def test_pieces_find_their_kind(spark, models):
+    from quern.llm import origin
+
+    held = spark.createDataFrame([(1, "b", "a.txt", "book", None), (2, "c", "x.py", "code", "python"), (3, "c", "y", "code", None)], "doc_id long, index_name string, source string, doc_type string, language string")
+    pieces = [
+        (1, 1, "b", "a.txt", "**a** b"), (2, None, "b", None, "**c** d"), (3, None, "c", "x.py", "# the man looks for a friend\n"), (4, 3, "c", "y", "**a**"), (5, None, "q", None, "# file: z.py\n# the man looks for a friend\n"),
+        (6, 9, "q", None, "**e** f"), (7, None, "c", "n.js", "// the man looks for a friend"), (8, None, None, None, None),
+    ]
+    got = origin.with_origin(spark.createDataFrame(pieces, "id long, doc_id long, index_name string, source string, text string"), held)
+    want = {1: ("book", None), 2: ("book", None), 3: ("code", "python"), 4: ("code", None), 5: ("code", "python"), 6: ("book", None), 7: ("code", "javascript"), 8: ("book", None)}
+    assert got.count() == 8 and {r.id: (r.doc_type, r.language) for r in got.collect()} == want
+    assert {(r.id, r.text) for r in markup.markup_kinds(got, key="id", text="text").collect()} == {(1, "a b"), (2, "c d"), (6, "e f")}
+    assert {(r.id, r.lang) for r in codelang.code_languages(got, models, key="id", text="text").collect()} == {(3, "en"), (5, "en"), (7, "en")}
+
+
 # ---- 8
 
 
