@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, if_small, map_rows, release, schema_of, spread
+from .common import cut, schema_of, spread
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 64-bit golden-ratio multiplier
+_TOKEN_BITS = 48
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def shingles(texts: list[str | None], width: int, min_words: int) -> list[np.ndarray | None]:
@@ -47,66 +51,144 @@ def least(size: int, threshold: float) -> int:
     return math.ceil(threshold * size - 1e-9)
 
 
+# ---- the tree -----------------------------------------------------------------------------------------------------------
+
+
 class Node:
-    """A path-compressed node of the prefix tree: a run of tokens, then children or sets that end here."""
+    """A path-compressed node: a run of tokens, then children and the sets that end here.
+
+    ``lo`` to ``hi`` are the numbers of the sets below, ``small`` and ``large`` their least and greatest full size, ``left``
+    the most tokens that any of them has after this run.
+    """
 
-    __slots__ = ("run", "children", "ends")
+    __slots__ = ("run", "children", "ends", "lo", "hi", "small", "large", "left")
 
-    def __init__(self, run: np.ndarray):
-        self.run, self.children, self.ends = run, [], []
+    def __init__(self, run: np.ndarray, lo: int, hi: int, sizes: list[int], left: int):
+        self.run, self.lo, self.hi, self.left = run, lo, hi, left
+        self.small, self.large = min(sizes), max(sizes)
+        self.children: list[Node] = []
+        self.ends: list[int] = []
 
 
-def build_tree(sets: list[tuple[int, int, np.ndarray]]) -> list[Node]:
-    """Roots of the tree over (id, full size, ordered ranks); sets sharing a prefix share its nodes."""
+def build_tree(sizes: list[int], ranks: list[np.ndarray]) -> list[Node]:
+    """Roots of the tree over sets given in lexicographic order; sets with a common prefix share its nodes."""
     roots: list[Node] = []
-    work = [(roots, sorted(sets, key=lambda s: s[2].tolist()), 0)]
+    work = [(roots, 0, len(ranks), 0)]
     while work:
-        siblings, group, depth = work.pop()
-        lo = 0
-        while lo < len(group):
-            first = group[lo][2]
+        siblings, lo, end, depth = work.pop()
+        while lo < end:
+            first = ranks[lo]
             hi = lo + 1
-            while hi < len(group) and len(group[hi][2]) > depth and group[hi][2][depth] == first[depth]:
+            while hi < end and len(ranks[hi]) > depth and ranks[hi][depth] == first[depth]:
                 hi += 1
-            last = group[hi - 1][2]
+            last = ranks[hi - 1]
             n = min(len(first), len(last))
             differ = np.flatnonzero(first[depth:n] != last[depth:n])
-            end = depth + int(differ[0]) if len(differ) else n
-            node = Node(first[depth:end])
-            deeper = []
-            for s in group[lo:hi]:
-                node.ends.append(s) if len(s[2]) == end else deeper.append(s)
+            to = depth + int(differ[0]) if len(differ) else n
+            node = Node(first[depth:to], lo, hi, sizes[lo:hi], max(len(r) for r in ranks[lo:hi]) - to)
+            deeper = lo
+            while deeper < hi and len(ranks[deeper]) == to:
+                node.ends.append(deeper)
+                deeper += 1
             siblings.append(node)
-            if deeper:
-                work.append((node.children, deeper, end))
+            if deeper < hi:
+                work.append((node.children, deeper, hi, to))
             lo = hi
     return roots
 
 
-def probe_tree(roots: list[Node], size: int, ranks: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(id, size, overlap) of the sets in the tree within ``threshold`` of the probe; subtrees that cannot reach it are left."""
-    low = least(size, threshold)
+def probe_tree(roots: list[Node], number: int, sizes: list[int], ranks: np.ndarray, threshold: float, after: bool = True) -> Iterator[tuple[int, int]]:
+    """(number, overlap) of the sets in the tree within ``threshold`` of set ``number``, only later ones if ``after``.
+
+    The overlap with a node's run is counted once for all sets below it.  A subtree is left as soon as what it and the
+    probe have still to come cannot make up the overlap that its smallest set needs, or its sizes lie too far off.
+    """
+    size = sizes[number]
+    share = threshold / (1 + threshold)
     work = [(node, 0) for node in roots]
     while work:
         node, have = work.pop()
+        if (after and node.hi <= number + 1) or node.large < threshold * size - 1e-9 or size < threshold * node.small - 1e-9:
+            continue
+        left = len(ranks)
         if len(node.run):
             at = np.searchsorted(ranks, node.run)
-            hit = at < len(ranks)
-            hit[hit] = ranks[at[hit]] == node.run[hit]
-            have += int(hit.sum())
-            left = len(ranks) - int(np.searchsorted(ranks, node.run[-1], side="right"))
-        else:
-            left = len(ranks)
-        if have + left < low:
+            left -= int(at[-1])
+            at = np.minimum(at, len(ranks) - 1)
+            have += int((ranks[at] == node.run).sum())
+        if have + min(left, node.left) < share * (size + node.small) - 1e-6:
             continue
-        for k, n, _ in node.ends:
-            if have >= threshold * (size + n - have) - 1e-9:
-                yield k, n, have
+        for other in node.ends:
+            if other != number and (other > number or not after) and have >= threshold * (size + sizes[other] - have) - 1e-9:
+                yield other, have
         work.extend((child, have) for child in node.children)
 
 
+# ---- packed pieces ------------------------------------------------------------------------------------------------------
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Integer arrays by planes of their bytes, compressed."""
+    raw = pickle.dumps([(a.dtype.str, len(a), np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()) for a in arrays])
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _expand(data: bytes) -> list[np.ndarray]:
+    raw = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, n).T).reshape(-1).view(t) for t, n, b in pickle.loads(raw)]
+
+
+def _range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    return ((tokens >> np.uint64(_TOKEN_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _class_of(df: np.ndarray) -> np.ndarray:
+    """The place of a frequency in the global order, in a byte: exact to 200, by eighths of an octave above."""
+    high = 200 + np.minimum(55, 8 * np.log2(np.maximum(df, 200) / 200)).astype(np.int64)
+    return np.where(df < 200, df, high).astype(np.uint64)
+
+
+def _ranks_bytes(ranks: np.ndarray) -> bytes:
+    """Ranks of 56 bits, highest byte first, so that comparing bytes compares sequences of ranks."""
+    return np.ascontiguousarray(ranks.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+
+
+def _ranks_of(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 7, 8), np.uint8)
+    raw[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return raw.reshape(-1).view(">u8").astype(np.uint64)
+
+
+def _mapped(df: DataFrame, rows, ddl: str) -> DataFrame:
+    """mapInArrow by a generator from an iterator of row tuples to row tuples; rows leave in batches bounded by their bytes."""
+    arrow = to_arrow_schema(schema_of(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                cols = [batch.column(i) for i in range(batch.num_columns)]
+                for i in range(batch.num_rows):
+                    yield tuple(c[i].as_py() for c in cols)
+
+        out, weight = [], 0
+        for row in rows(each()):
+            out.append(row)
+            weight += 64 + sum(len(x) for x in row if isinstance(x, (bytes, list)))
+            if weight > 1 << 23:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out, weight = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return df.mapInArrow(run, ddl)
+
+
+# ---- the join -----------------------------------------------------------------------------------------------------------
+
+
 def near_duplicates(
-    documents: DataFrame, *, key: str = "doc_id", text: str = "full_text", width: int = 5, threshold: float = 0.8, min_words: int = 40, sample: int = 20000
+    documents: DataFrame, *, key: str = "doc_id", text: str = "full_text", width: int = 5, threshold: float = 0.8, min_words: int = 40,
+    block_tokens: int = 1 << 20, range_tokens: int = 1 << 21, dense: int = 16, tree_sets: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, and the copies of each text.
 
@@ -115,143 +197,239 @@ def near_duplicates(
     union in common; and ``members`` (key, rep) with one row per document that has ``min_words`` words.  Null texts and
     shorter texts appear in neither.  A repeated key counts once, with the least of its texts.
 
-    Exact copies are collapsed before any shingle is made, so a text held by a third of all rows is one set.  A shingle
-    occurring once cannot be shared: it is dropped but still counts in the size.  What is left is ordered by frequency,
-    rarest first, and the tree over these sets is spread over the cluster by its root edges: each set goes to the
-    subtrees of its prefix tokens only.  A pair that meets in too few of them for what is left of the shorter to make up
-    the overlap is dropped; the pairs left are settled in trees over the candidates of each probe.  ``sample`` sets, a bound, only tell which tokens are routed as frequent.
+    Shingles are 48-bit tokens, ordered by their frequency, rarest first; one that occurs once cannot be shared and only
+    counts in the size.  Texts are shingled once, in blocks of about ``block_tokens`` tokens.  A block sends its tokens to
+    ranges of about ``range_tokens``; a range sends each shared token back to its blocks, with its place in the global order
+    and its home, the first document that holds it.  So each set becomes a sequence in the global order.  The prefix tree
+    over these sequences is spread by the homes of its root edges: a set goes to the home of every token of its prefix
+    (as many tokens as must hold one shared with any partner), and two sets that share such a token meet at its home.  There
+    the tree is traversed by each set: overlaps with a run of tokens are counted once for all sets below it, and subtrees
+    are left by what remains of them.  A home of more than ``tree_sets`` sets is split into blocks that meet in pairs.
+
+    A token held by ``dense`` documents of a block leaves it once, with their count.  The parameters after ``min_words``
+    change cost alone, not results.  ``documents`` must give the same rows when read again.
     """
     key_type = documents.schema[key].dataType.simpleString()
-    n_words = F.size(F.split(F.regexp_replace("_t", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"))
     docs = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_k").isNotNull() & (F.length("_t") >= 2 * min_words - 1))
     if documents.groupBy(key).count().where("count > 1").limit(1).count():
         docs = docs.groupBy("_k").agg(F.min("_t").alias("_t"))
-    docs = docs.where(n_words >= max(min_words, width))
-    keyed = docs.select("_k", F.md5("_t").alias("_copy"))
-    classes = keyed.groupBy("_copy").agg(F.min("_k").alias("_rep"), F.count("*").alias("_n"))
-    known = cut(keyed.join(classes, "_copy").select("_k", "_rep").distinct())
-    members = known.select(F.col("_k").alias(key), F.col("_rep").alias("rep"))
-
-    def to_sets(cols: dict[str, list]):
-        for k, s in zip(cols["_k"], shingles(cols["_t"], width, 0)):
-            if s is not None:
-                yield k, len(s), s
-
-    shape = f"_k {key_type}, _size int, _set array<bigint>"
-    reps = docs.join(if_small(cut(known.where("_k <> _rep").select("_k"))), "_k", "left_anti")
-    tokens = map_rows(spread(reps), to_sets, shape, 256).select("_k", "_size", F.explode("_set").alias("_token"))
-    seen = map_rows(docs.limit(sample), to_sets, shape, 256).select(F.explode("_set").alias("_token")).groupBy("_token").count()
-    hot = seen.where(F.col("count") >= max(50, sample // 50)).select("_token", F.lit(True).alias("_hot"))
-    shared = _with_frequency(tokens, hot)
-    need = F.ceil(F.lit(threshold) * F.col("_size") - F.lit(1e-9)).cast("int")
-    ordered = cut(
-        shared.groupBy("_k", "_size")
-        # two plain lists, which grow in step, take a third of the room of one list of structs
-        .agg(F.collect_list(F.col("_df").cast("int")).alias("_f"), F.collect_list("_token").alias("_t"))
-        .where(F.size("_f") >= need)
-        .select("_k", "_size", F.array_sort(F.arrays_zip(F.col("_f").alias("_df"), F.col("_t").alias("_token"))).alias("_o"))
-        .select("_k", "_size", F.col("_o._df").alias("_f"), F.col("_o._token").alias("_o"))
-    )
-    del tokens, shared  # nothing refers to their shuffles any more
-    release(ordered.sparkSession)
-    n_prefix = F.size("_o") - need + 1
-    # where a prefix ends in the global order, in one number: frequency, then the upper bits of the token
-    last = F.shiftleft(F.element_at("_f", n_prefix).cast("long"), 31) + F.shiftright(F.element_at("_o", n_prefix), 33) + F.lit(1 << 30)
-    prefix = ordered.select("_k", "_size", last.alias("_last"), F.explode(F.slice("_o", F.lit(1), n_prefix)).alias("_token"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    # beyond its last prefix token the set whose prefix ends first has need - 1 tokens; the rest of what two sets must share lies in both prefixes
-    common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a._size") + F.col("b._size")) - F.lit(1e-6)).cast("int")
-    need_of = lambda x: F.ceil(F.lit(threshold) * F.col(f"{x}._size") - F.lit(1e-9)).cast("int")
-    beyond = F.when(F.col("a._last") < F.col("b._last"), need_of("a")).when(F.col("b._last") < F.col("a._last"), need_of("b")).otherwise(F.greatest(need_of("a"), need_of("b"))) - 1
-    pairs = (
-        a.join(b, F.col("a._token") == F.col("b._token"))
-        .where("a._k < b._k")
-        .where(F.least("a._size", "b._size") >= F.lit(threshold) * F.greatest("a._size", "b._size") - F.lit(1e-9))
-        .select(F.col("a._k").alias("_a"), F.col("b._k").alias("_b"), (common - beyond).alias("_least"))
-        .groupBy("_a", "_b").agg(F.count("*").alias("_met"), F.max("_least").alias("_least"))
-        .where(F.col("_met") >= F.col("_least"))
-        .select("_a", "_b")
-    )
-    found = cut(pairs)
-    return _settle(found, ordered, key, key_type, threshold), members
-
-
-def _with_frequency(tokens: DataFrame, hot: DataFrame) -> DataFrame:
-    """Add the number of sets holding each token.
-
-    ``hot`` names the tokens that fill a large share of all sets.  They are routed past the shuffle that counts the others
-    and get one high frequency in common: all that is asked of it is to be more than 1 and to order them last.
-    """
-    marked = tokens.join(F.broadcast(hot), "_token", "left")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn("_df", F.count("*").over(Window.partitionBy("_token")))
-    return cold.where("_df > 1").unionByName(marked.where(F.col("_hot")).drop("_hot").withColumn("_df", F.lit((1 << 31) - 1).cast("long")))
-
-
-def copies_and_links(links: DataFrame, members: DataFrame, key: str = "doc_id", expand: int = 32) -> DataFrame:
-    """All pairs (key_a, key_b) of documents that ``near_duplicates`` found alike.
-
-    Members of a group of at most ``expand`` exact copies are paired with each other and with each partner; a larger
-    group is written as pairs with its representative, which name the same group without the square of its size.
+    letters = docs.agg(F.sum(F.length("_t"))).first()[0] or 0
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(letters / 6 / range_tokens))
+
+    def to_blocks(rows: Iterable[tuple]) -> Iterator[tuple]:
+        """Of each block: its tokens by range, and one row of its keys (range -1)."""
+        task, number = TaskContext.get().partitionId(), 0
+        keys, digests, sets, n = [], [], [], 0
+
+        def flush() -> Iterator[tuple]:
+            block = (task << 16) + number
+            first: dict[bytes, int] = {}
+            for i, h in enumerate(digests):
+                if h not in first or keys[i] < keys[first[h]]:
+                    first[h] = i
+            mine = sorted(first.values())
+            if len(mine) > 1 << 16 or number >= 1 << 16:
+                raise OverflowError("more blocks or documents in a block than their numbers have room for")
+            ids = np.repeat(np.arange(len(mine), dtype=np.uint16), [len(sets[i]) for i in mine])
+            tokens = np.concatenate([sets[i] for i in mine])
+            order = np.argsort(tokens, kind="stable")
+            tokens, ids = tokens[order], ids[order]
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            counts = np.diff(np.append(starts, len(tokens)))
+            many = counts >= dense
+            held = np.repeat(many, counts)
+            lists = (tokens[starts[many]], counts[many], ids[held])
+            keep = ~held
+            keep[starts[many]] = True
+            times = np.ones(len(tokens), np.uint32)
+            times[starts[many]] = counts[many]
+            tokens, ids, times = tokens[keep], ids[keep], times[keep]
+            which = _range_of(tokens, ranges)
+            edges = np.searchsorted(which, np.arange(ranges + 1, dtype=np.uint64))
+            for r in range(ranges):
+                a, b = edges[r], edges[r + 1]
+                if a < b:
+                    at = np.flatnonzero(times[a:b] > 1).astype(np.uint32)
+                    yield r, block, r, _squeeze(np.diff(tokens[a:b], prepend=np.uint64(0)), ids[a:b], at, times[a:b][at]), None
+            sizes = np.array([len(sets[i]) for i in mine], np.int64)
+            yield block % ranges, block, -1, pickle.dumps((b"".join(digests), np.array(mine), sizes, *lists)), list(keys)
+
+        texts: list[tuple] = []
+
+        def more() -> None:
+            nonlocal n
+            for (k, t), s in zip(texts, shingles([t for _, t in texts], width, min_words)):
+                if s is not None:
+                    keys.append(k)
+                    digests.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    sets.append(np.unique(s.view(np.uint64) >> np.uint64(64 - _TOKEN_BITS)))
+                    n += len(s)
+            texts.clear()
+
+        waiting = 0
+        for row in rows:
+            texts.append(row)
+            waiting += len(row[1])
+            if waiting > 1 << 20:
+                more()
+                waiting = 0
+                if n >= block_tokens or len(keys) >= 1 << 15:
+                    yield from flush()
+                    keys, digests, sets, n, number = [], [], [], 0, number + 1
+        more()
+        if keys:
+            yield from flush()
+
+    def to_shared(rows: Iterable[tuple]) -> Iterator[tuple]:
+        """Back to each block: its shared tokens of a range, their places in the order and their homes."""
+        by_range: dict[int, list[tuple[int, bytes]]] = {}
+        for _, block, r, data, keys in rows:
+            if r < 0:
+                yield block, data, keys
+            else:
+                by_range.setdefault(r, []).append((block, data))
+        for pieces in by_range.values():
+            blocks = np.array([b for b, _ in pieces], np.int64)
+            parts = [_expand(d) for _, d in pieces]
+            lengths = [len(p[0]) for p in parts]
+            tokens = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+            ids = np.concatenate([p[1] for p in parts])
+            times = np.ones(len(tokens), np.int64)
+            for at, p in zip(np.cumsum([0, *lengths]), parts):
+                times[at + p[2].astype(np.int64)] = p[3]
+            of = np.repeat(np.arange(len(pieces)), lengths)
+            del parts
+            order = np.argsort(tokens, kind="stable")
+            t = tokens[order]
+            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            n = np.diff(np.append(starts, len(t)))
+            df = np.add.reduceat(times[order], starts)
+            place = (blocks[of] << 16) | ids
+            home = np.minimum.reduceat(place[order], starts)
+            shared = np.repeat(df > 1, n)
+            chosen = order[shared]
+            rank = (_class_of(np.repeat(df, n)[shared]) << np.uint64(_TOKEN_BITS)) | t[shared]
+            at_home = np.repeat(home, n)[shared]
+            back = np.lexsort((rank, at_home, ids[chosen], of[chosen]))
+            chosen, rank, at_home = chosen[back], rank[back], at_home[back]
+            edges = np.searchsorted(of[chosen], np.arange(len(pieces) + 1))
+            for i in range(len(pieces)):
+                a, b = edges[i], edges[i + 1]
+                if a < b:
+                    whole = times[chosen[a:b]] > 1
+                    one = ~whole
+                    yield int(blocks[i]), _squeeze(ids[chosen[a:b]][one], rank[a:b][one], at_home[a:b][one], rank[a:b][whole], at_home[a:b][whole]), None
+
+    def to_sets(rows: Iterable[tuple]) -> Iterator[tuple]:
+        """Of each document its key and digest; of each set that may have a partner its sequence, once for each home."""
+        current, pieces, head = None, [], None
+
+        def flush() -> Iterator[tuple]:
+            digests, mine, sizes, d_tokens, d_counts, d_ids = pickle.loads(head[0])
+            keys = head[1]
+            for i, k in enumerate(keys):
+                yield None, k, digests[16 * i : 16 * i + 16], None, None
+            parts = [_expand(p) for p in pieces]
+            if not parts:
+                return
+            ids, rank, home = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            d_rank, d_home = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+            if len(d_rank):
+                at = np.searchsorted(d_tokens, d_rank & np.uint64((1 << _TOKEN_BITS) - 1))
+                ends = np.cumsum(d_counts)
+                ids = np.concatenate([ids, *(d_ids[ends[i] - d_counts[i] : ends[i]] for i in at)])
+                rank = np.concatenate([rank, np.repeat(d_rank, d_counts[at])])
+                home = np.concatenate([home, np.repeat(d_home, d_counts[at])])
+            order = np.lexsort((rank, ids))
+            ids, rank, home = ids[order], rank[order], home[order]
+            edges = np.searchsorted(ids, np.arange(len(mine) + 1))
+            need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
+            for i in np.flatnonzero(np.diff(edges) >= np.maximum(need, 1)):
+                a, b = edges[i], edges[i + 1]
+                prefix = b - a - need[i] + 1
+                data = _ranks_bytes(rank[a:b])
+                j = int(mine[i])
+                for h in np.unique(home[a : a + min(prefix, b - a)]).tolist():
+                    yield h, keys[j], digests[16 * j : 16 * j + 16], int(sizes[i]), data
+
+        for block, data, keys in rows:
+            if block != current:
+                if head is not None:
+                    yield from flush()
+                current, pieces, head = block, [], None
+            if keys is None:
+                pieces.append(data)
+            else:
+                head = (data, keys)
+        if head is not None:
+            yield from flush()
+
+    blocks = _mapped(spread(docs), to_blocks, f"_to int, _block long, _range int, _data binary, _keys array<{key_type}>")
+    replies = _mapped(blocks.repartitionById(ranges, F.col("_to")), to_shared, f"_block long, _data binary, _keys array<{key_type}>")
+    grouped = replies.repartition("_block").sortWithinPartitions("_block")
+    found = cut(_mapped(grouped, to_sets, f"_home long, _k {key_type}, _digest binary, _size int, _ranks binary"))
+    return _links(found.where("_home is not null"), key, key_type, threshold, tree_sets), _members(found.where("_home is null"), key)
+
+
+def _members(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rep): a text copied to more than a thousandth of all rows is one of at most 1,000, met by broadcast; others are joined."""
+    classes = rows.groupBy("_digest").agg(F.min("_k").alias("_rep"), F.count("*").alias("_n"))
+    total = rows.count()
+    heavy = cut(classes.where(F.col("_n") * 1000 >= max(total, 10_000_000)).select("_digest", F.col("_rep").alias("_heavy")))
+    marked = rows.select("_k", "_digest").join(F.broadcast(heavy), "_digest", "left")
+    common = marked.where("_heavy is not null").select(F.col("_k").alias(key), F.col("_heavy").alias("rep"))
+    usual = marked.where("_heavy is null").select("_k", "_digest").join(classes.select("_digest", "_rep"), "_digest")
+    return common.unionByName(usual.select(F.col("_k").alias(key), F.col("_rep").alias("rep")))
+
+
+def _links(sets: DataFrame, key: str, key_type: str, threshold: float, tree_sets: int) -> DataFrame:
+    """The pairs found in the trees of all homes."""
+    homes = sets.groupBy("_home").agg(F.count("*").alias("_n")).where("_n > 1")
+    split = sets.join(homes, "_home").withColumn("_parts", F.ceil(F.col("_n") / tree_sets).cast("int"))
+    # copies of one text fall into one part, so that one of them stands for all
+    split = split.withColumn("_part", F.pmod(F.xxhash64("_digest"), F.col("_parts")).cast("int"))
+    met = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    met = met.select("_home", F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"), "_part", "_k", "_digest", "_size", "_ranks")
+    met = met.repartition("_home", "_i", "_j").sortWithinPartitions("_home", "_i", "_j", "_digest", "_k")
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        current, group = None, []
+
+        def flush() -> Iterator[tuple]:
+            if len(group) < 2:
+                return
+            group.sort(key=lambda s: s[3])
+            across = current[1] != current[2]
+            sizes, ranks = [s[2] for s in group], [_ranks_of(s[3]) for s in group]
+            tree = build_tree(sizes, ranks)
+            for i, (part, k, size, _) in enumerate(group):
+                for j, both in probe_tree(tree, i, sizes, ranks[i], threshold):
+                    if not across or part != group[j][0]:
+                        other = group[j][1]
+                        yield min(k, other), max(k, other), both / (size + sizes[j] - both)
+
+        last = None
+        for home, i, j, part, k, digest, size, data in rows:
+            if (home, i, j) != current:
+                yield from flush()
+                current, group, last = (home, i, j), [], None
+            if digest != last:  # the first of equal digests has the least key
+                group.append((part, k, size, data))
+                last = digest
+        yield from flush()
+
+    return _mapped(met, run, f"`{key}_a` {key_type}, `{key}_b` {key_type}, similarity double").distinct()
+
+
+def all_pairs(links: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every pair (key_a, key_b) of documents that ``near_duplicates`` found alike: each copy with each, and each copy of
+    one text with each copy of a text linked to it.
+
+    This is the whole list, of as many rows as there are pairs; ``links`` and ``members`` say the same in one row a
+    document and one a pair of texts.
     """
     a, b = f"{key}_a", f"{key}_b"
-    sizes = members.groupBy("rep").agg(F.count("*").alias("_n"))
-    known = members.join(sizes, "rep")
-    shown = known.where((F.col("_n") <= expand) | (F.col(key) == F.col("rep")))
-    inside = known.where("_n > 1").select("rep", F.col(key).alias("_y"), "_n").join(shown.where("_n > 1").select("rep", F.col(key).alias("_x")), "rep")
-    inside = inside.where("_x < _y").select(F.col("_x").alias(a), F.col("_y").alias(b))
-    left = shown.select(F.col("rep").alias(a), F.col(key).alias("_x"))
-    right = shown.select(F.col("rep").alias(b), F.col(key).alias("_y"))
-    across = links.join(left, a).join(right, b).select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b))
-    return inside.unionByName(across)
-
-
-def _settle(pairs: DataFrame, ordered: DataFrame, key: str, key_type: str, threshold: float) -> DataFrame:
-    """Exact overlaps of candidate pairs: each probe meets the tree of its candidates."""
-    full = ordered.select(F.col("_k"), "_size", "_f", "_o")
-    rows = (
-        pairs.join(full, pairs["_b"] == full["_k"]).select("_a", F.lit(True).alias("_c"), F.col("_b").alias("_id"), "_size", "_f", "_o")
-    ).unionByName(
-        pairs.select("_a").distinct().join(full, F.col("_a") == full["_k"]).select("_a", F.lit(False).alias("_c"), F.col("_a").alias("_id"), "_size", "_f", "_o")
-    )
-    rows = rows.repartition("_a").sortWithinPartitions("_a", "_c", "_id")
-    schema = f"`{key}_a` {key_type}, `{key}_b` {key_type}, similarity double"
-    arrow = to_arrow_schema(schema_of(schema))
-
-    def settle(probe: tuple, block: list[tuple]) -> Iterator[tuple]:
-        k, size, keys = probe
-        universe = np.unique(np.concatenate([keys, *(s[2] for s in block)]))
-        rank = lambda x: np.searchsorted(universe, x)
-        tree = build_tree([(i, n, rank(s)) for i, n, s in block])
-        for other, n, both in probe_tree(tree, size, rank(keys), threshold):
-            yield k, other, both / (size + n - both)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, block, out = None, [], []
-        order = np.dtype([("f", np.int64), ("o", np.int64)])
-
-        def flush() -> None:
-            if probe is not None and block:
-                out.extend(settle(probe, block))
-
-        for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            for i in range(batch.num_rows):
-                a, is_candidate, k, size = (c[i].as_py() for c in cols[:4])
-                keys = np.empty(len(cols[5][i].values), order)
-                keys["f"], keys["o"] = cols[4][i].values.to_numpy(), cols[5][i].values.to_numpy()
-                if not is_candidate:
-                    flush()
-                    probe, block = (k, size, keys), []
-                else:
-                    block.append((k, size, keys))
-                    if len(block) >= 256:  # a probe of very many candidates meets them in several trees
-                        flush()
-                        block = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-                out = []
-        flush()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
+    x, y = members.select("rep", F.col(key).alias("_x")), members.select("rep", F.col(key).alias("_y"))
+    inside = x.join(y, "rep").where("_x < _y").select(F.col("_x").alias(a), F.col("_y").alias(b))
+    across = links.join(x.withColumnRenamed("rep", a), a).join(y.withColumnRenamed("rep", b), b)
+    return inside.unionByName(across.select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b)))

@@ -101,10 +101,10 @@ def _near(spark: SparkSession, d: str, threshold: float):
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    from .neardup import copies_and_links
+    from .neardup import all_pairs
 
     links, members = _near(spark, d, 0.5)
-    return copies_and_links(links, members).select("doc_id_a", "doc_id_b")
+    return all_pairs(links, members).select("doc_id_a", "doc_id_b")
 
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -252,12 +252,14 @@ def test_near_duplicates_equals_brute_force(spark):
     sets = {i: {tuple(x.lower().split()[j : j + 5]) for j in range(len(x.split()) - 4)} for i, x in rows if len(x.split()) >= 40}
     links, members = neardup.near_duplicates(docs(spark, *rows), threshold=0.5)
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    assert {(r.doc_id_a, r.doc_id_b) for r in neardup.copies_and_links(links, members, expand=100).collect()} == want
-    strict, same = neardup.near_duplicates(docs(spark, *rows), threshold=0.8)
+    pairs = lambda found: [(r.doc_id_a, r.doc_id_b) for r in neardup.all_pairs(*found).collect()]
+    assert sorted(pairs((links, members))) == sorted(want)
     close = {(a, b) for a, b in want if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert {(r.doc_id_a, r.doc_id_b) for r in neardup.copies_and_links(strict, same, expand=100).collect()} == close
-    few = neardup.copies_and_links(links, members, expand=10).collect()
-    assert {(0, i) for i in range(120, 160)} <= {(r.doc_id_a, r.doc_id_b) for r in few} and len(few) < len(want)
+    assert sorted(pairs(neardup.near_duplicates(docs(spark, *rows), threshold=0.8))) == sorted(close)
+    # small blocks, ranges and trees split everything that can be split and change nothing
+    small = neardup.near_duplicates(docs(spark, *rows), threshold=0.5, block_tokens=500, range_tokens=700, dense=2, tree_sets=2)
+    assert sorted(pairs(small)) == sorted(want)
+    assert len({r.rep for r in members.collect()}) == len(set(texts)) - 1 and all(r.doc_id_a not in range(120, 160) for r in links.collect())
     assert members.count() == len(sets)
 
 
@@ -268,12 +270,25 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert links.count() == 0 and members.count() == 0
 
 
+def test_shingle_in_half_of_all_texts(spark):
+    rng = random.Random(8)
+    head = " ".join(f"h{i}" for i in range(30))
+    texts = [(head + " " if i % 2 else "") + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for i in range(200)]
+    texts += [t + " one more end" for t in texts[:6]]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    want = sorted((a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]))
+    for more in ({}, {"dense": 3, "tree_sets": 8}):
+        links, _ = neardup.near_duplicates(docs(spark, *enumerate(texts)), threshold=0.5, **more)
+        assert sorted((r.doc_id_a, r.doc_id_b) for r in links.collect()) == want
+
+
 def test_tree_prunes_and_counts():
-    sets = [(i, 6, np.array(s)) for i, s in enumerate([[1, 2, 3, 4, 5, 6], [1, 2, 3, 7, 8, 9], [1, 2], [4, 5, 6, 10, 11, 12]])]
-    tree = neardup.build_tree(sets)
+    ranks = [np.array(s, np.uint64) for s in sorted([[1, 2, 3, 4, 5, 6], [1, 2, 3, 7, 8, 9], [1, 2], [4, 5, 6, 10, 11, 12], [1, 2, 3, 4, 5, 7]])]
+    sizes = [6] * len(ranks)
+    tree = neardup.build_tree(sizes, ranks)
     assert len(tree) == 2
-    got = {k: both for k, _, both in neardup.probe_tree(tree, 6, np.array([1, 2, 3, 4, 5, 7]), 0.4)}
-    assert got == {0: 5, 1: 4}
+    assert dict(neardup.probe_tree(tree, 2, sizes, ranks[2], 0.4, after=False)) == {1: 5, 3: 4}
+    assert dict(neardup.probe_tree(tree, 2, sizes, ranks[2], 0.4)) == {3: 4}
 
 
 # ---- 7
