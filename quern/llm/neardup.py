@@ -58,19 +58,19 @@ class Node:
     """A path-compressed node: a run of tokens, then children and the sets that end here.
 
     ``lo`` to ``hi`` are the numbers of the sets below, ``small`` and ``large`` their least and greatest full size, ``left``
-    the most tokens that any of them has after this run.
+    the most tokens that any of them has after this run, ``rest`` the most that any has outside this tree.
     """
 
-    __slots__ = ("run", "children", "ends", "lo", "hi", "small", "large", "left")
+    __slots__ = ("run", "children", "ends", "lo", "hi", "small", "large", "left", "rest")
 
-    def __init__(self, run: np.ndarray, lo: int, hi: int, sizes: list[int], left: int):
+    def __init__(self, run: np.ndarray, lo: int, hi: int, sizes: list[int], rests: list[int], left: int):
         self.run, self.lo, self.hi, self.left = run, lo, hi, left
-        self.small, self.large = min(sizes), max(sizes)
+        self.small, self.large, self.rest = min(sizes), max(sizes), max(rests)
         self.children: list[Node] = []
         self.ends: list[int] = []
 
 
-def build_tree(sizes: list[int], ranks: list[np.ndarray]) -> list[Node]:
+def build_tree(sizes: list[int], rests: list[int], ranks: list[np.ndarray]) -> list[Node]:
     """Roots of the tree over sets given in lexicographic order; sets with a common prefix share its nodes."""
     roots: list[Node] = []
     work = [(roots, 0, len(ranks), 0)]
@@ -85,7 +85,7 @@ def build_tree(sizes: list[int], ranks: list[np.ndarray]) -> list[Node]:
             n = min(len(first), len(last))
             differ = np.flatnonzero(first[depth:n] != last[depth:n])
             to = depth + int(differ[0]) if len(differ) else n
-            node = Node(first[depth:to], lo, hi, sizes[lo:hi], max(len(r) for r in ranks[lo:hi]) - to)
+            node = Node(first[depth:to], lo, hi, sizes[lo:hi], rests[lo:hi], max(len(r) for r in ranks[lo:hi]) - to)
             deeper = lo
             while deeper < hi and len(ranks[deeper]) == to:
                 node.ends.append(deeper)
@@ -97,18 +97,18 @@ def build_tree(sizes: list[int], ranks: list[np.ndarray]) -> list[Node]:
     return roots
 
 
-def probe_tree(roots: list[Node], number: int, sizes: list[int], ranks: np.ndarray, threshold: float, after: bool = True) -> Iterator[tuple[int, int]]:
-    """(number, overlap) of the sets in the tree within ``threshold`` of set ``number``, only later ones if ``after``.
+def probe_tree(roots: list[Node], number: int, sizes: list[int], rests: list[int], ranks: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """(number, overlap) of the later sets in the tree that may lie within ``threshold`` of set ``number``.
 
     The overlap with a node's run is counted once for all sets below it.  A subtree is left as soon as what it and the
-    probe have still to come cannot make up the overlap that its smallest set needs, or its sizes lie too far off.
+    probe have still to come, here and outside the tree (``rests``), cannot make up the overlap that its smallest set needs,
+    or its sizes lie too far off.  With nothing outside the tree the sets yielded are those within the threshold.
     """
-    size = sizes[number]
-    share = threshold / (1 + threshold)
+    size, rest = sizes[number], rests[number]
     work = [(node, 0) for node in roots]
     while work:
         node, have = work.pop()
-        if (after and node.hi <= number + 1) or node.large < threshold * size - 1e-9 or size < threshold * node.small - 1e-9:
+        if node.hi <= number + 1 or node.large < threshold * size - 1e-9 or size < threshold * node.small - 1e-9:
             continue
         left = len(ranks)
         if len(node.run):
@@ -116,10 +116,11 @@ def probe_tree(roots: list[Node], number: int, sizes: list[int], ranks: np.ndarr
             left -= int(at[-1])
             at = np.minimum(at, len(ranks) - 1)
             have += int((ranks[at] == node.run).sum())
-        if have + min(left, node.left) < share * (size + node.small) - 1e-6:
+        most = have + min(left, node.left) + min(rest, node.rest)
+        if not have + min(left, node.left) or (1 + threshold) * most < threshold * (size + node.small) - 1e-6:
             continue
         for other in node.ends:
-            if other != number and (other > number or not after) and have >= threshold * (size + sizes[other] - have) - 1e-9:
+            if other > number and have and (1 + threshold) * (have + min(rest, rests[other])) >= threshold * (size + sizes[other]) - 1e-6:
                 yield other, have
         work.extend((child, have) for child in node.children)
 
@@ -200,11 +201,14 @@ def near_duplicates(
     Shingles are 48-bit tokens, ordered by their frequency, rarest first; one that occurs once cannot be shared and only
     counts in the size.  Texts are shingled once, in blocks of about ``block_tokens`` tokens.  A block sends its tokens to
     ranges of about ``range_tokens``; a range sends each shared token back to its blocks, with its place in the global order
-    and its home, the first document that holds it.  So each set becomes a sequence in the global order.  The prefix tree
-    over these sequences is spread by the homes of its root edges: a set goes to the home of every token of its prefix
-    (as many tokens as must hold one shared with any partner), and two sets that share such a token meet at its home.  There
-    the tree is traversed by each set: overlaps with a run of tokens are counted once for all sets below it, and subtrees
-    are left by what remains of them.  A home of more than ``tree_sets`` sets is split into blocks that meet in pairs.
+    and its home, the first document that holds it.  So each set becomes a sequence in the global order, and the prefix of
+    it that must hold a token shared with any partner is known.
+
+    The tree over these prefixes is spread by the homes of its edges: a home has a tree of the tokens at home there, so each
+    token of a prefix goes to one place.  Each set traverses the trees it is in: overlaps with a run of tokens are counted
+    once for all sets below it, and subtrees are left by what remains in them and elsewhere.  The overlaps of a pair in all
+    homes are added up; pairs whose prefixes share as much as they must meet with their whole sequences in the tree of the
+    first of them.  A home of more than ``tree_sets`` sets is split into parts that meet in pairs.
 
     A token held by ``dense`` documents of a block leaves it once, with their count.  The parameters after ``min_words``
     change cost alone, not results.  ``documents`` must give the same rows when read again.
@@ -321,36 +325,43 @@ def near_duplicates(
                     yield int(blocks[i]), _squeeze(ids[chosen[a:b]][one], rank[a:b][one], at_home[a:b][one], rank[a:b][whole], at_home[a:b][whole]), None
 
     def to_sets(rows: Iterable[tuple]) -> Iterator[tuple]:
-        """Of each document its key and digest; of each set that may have a partner its sequence, once for each home."""
+        """One row of each document (home null), with its sequence if it may have a partner; of those also the parts of
+        the prefix, each with its home."""
         current, pieces, head = None, [], None
 
         def flush() -> Iterator[tuple]:
             digests, mine, sizes, d_tokens, d_counts, d_ids = pickle.loads(head[0])
             keys = head[1]
-            for i, k in enumerate(keys):
-                yield None, k, digests[16 * i : 16 * i + 16], None, None
+            digest = lambda i: digests[16 * i : 16 * i + 16]
+            chosen: dict[int, int] = {}
             parts = [_expand(p) for p in pieces]
-            if not parts:
-                return
-            ids, rank, home = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            d_rank, d_home = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
-            if len(d_rank):
-                at = np.searchsorted(d_tokens, d_rank & np.uint64((1 << _TOKEN_BITS) - 1))
-                ends = np.cumsum(d_counts)
-                ids = np.concatenate([ids, *(d_ids[ends[i] - d_counts[i] : ends[i]] for i in at)])
-                rank = np.concatenate([rank, np.repeat(d_rank, d_counts[at])])
-                home = np.concatenate([home, np.repeat(d_home, d_counts[at])])
-            order = np.lexsort((rank, ids))
-            ids, rank, home = ids[order], rank[order], home[order]
-            edges = np.searchsorted(ids, np.arange(len(mine) + 1))
-            need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
-            for i in np.flatnonzero(np.diff(edges) >= np.maximum(need, 1)):
+            if parts:
+                ids, rank, home = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                d_rank, d_home = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+                if len(d_rank):
+                    at = np.searchsorted(d_tokens, d_rank & np.uint64((1 << _TOKEN_BITS) - 1))
+                    ends = np.cumsum(d_counts)
+                    ids = np.concatenate([ids, *(d_ids[ends[i] - d_counts[i] : ends[i]] for i in at)])
+                    rank = np.concatenate([rank, np.repeat(d_rank, d_counts[at])])
+                    home = np.concatenate([home, np.repeat(d_home, d_counts[at])])
+                order = np.lexsort((rank, ids))
+                ids, rank, home = ids[order], rank[order], home[order]
+                edges = np.searchsorted(ids, np.arange(len(mine) + 1))
+                need = np.maximum(1, np.ceil(threshold * sizes - 1e-9).astype(np.int64))
+                chosen = {int(mine[i]): int(i) for i in np.flatnonzero(np.diff(edges) >= need)}
+            for j, k in enumerate(keys):
+                i = chosen.get(j)
+                if i is None:
+                    yield None, k, digest(j), None, None, None, None
+                    continue
                 a, b = edges[i], edges[i + 1]
-                prefix = b - a - need[i] + 1
-                data = _ranks_bytes(rank[a:b])
-                j = int(mine[i])
-                for h in np.unique(home[a : a + min(prefix, b - a)]).tolist():
-                    yield h, keys[j], digests[16 * j : 16 * j + 16], int(sizes[i]), data
+                yield None, k, digest(j), int(sizes[i]), _ranks_bytes(rank[a:b]), None, None
+                to = b - need[i] + 1
+                back = np.lexsort((rank[a:to], home[a:to]))
+                h, r = home[a:to][back], rank[a:to][back]
+                cuts = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+                for x, y in zip(cuts, cuts[1:]):
+                    yield int(h[x]), k, digest(j), int(sizes[i]), _ranks_bytes(r[x:y]), int(rank[to - 1]), int(b - a - (y - x))
 
         for block, data, keys in rows:
             if block != current:
@@ -367,8 +378,9 @@ def near_duplicates(
     blocks = _mapped(spread(docs), to_blocks, f"_to int, _block long, _range int, _data binary, _keys array<{key_type}>")
     replies = _mapped(blocks.repartitionById(ranges, F.col("_to")), to_shared, f"_block long, _data binary, _keys array<{key_type}>")
     grouped = replies.repartition("_block").sortWithinPartitions("_block")
-    found = cut(_mapped(grouped, to_sets, f"_home long, _k {key_type}, _digest binary, _size int, _ranks binary"))
-    return _links(found.where("_home is not null"), key, key_type, threshold, tree_sets), _members(found.where("_home is null"), key)
+    found = cut(_mapped(grouped, to_sets, f"_home long, _k {key_type}, _digest binary, _size int, _ranks binary, _last long, _rest int"))
+    met = cut(_meet(found.where("_home is not null"), key_type, threshold, tree_sets))
+    return _settle(met, found.where("_home is null and _ranks is not null"), key, key_type, threshold, tree_sets), _members(found.where("_home is null"), key)
 
 
 def _members(rows: DataFrame, key: str) -> DataFrame:
@@ -382,43 +394,82 @@ def _members(rows: DataFrame, key: str) -> DataFrame:
     return common.unionByName(usual.select(F.col("_k").alias(key), F.col("_rep").alias("rep")))
 
 
-def _links(sets: DataFrame, key: str, key_type: str, threshold: float, tree_sets: int) -> DataFrame:
-    """The pairs found in the trees of all homes."""
-    homes = sets.groupBy("_home").agg(F.count("*").alias("_n")).where("_n > 1")
-    split = sets.join(homes, "_home").withColumn("_parts", F.ceil(F.col("_n") / tree_sets).cast("int"))
+def _meet(prefixes: DataFrame, key_type: str, threshold: float, tree_sets: int) -> DataFrame:
+    """(_a, _b), _a < _b, of the sets whose prefixes share as many tokens as a pair within the threshold must."""
+    homes = prefixes.groupBy("_home").agg(F.count("*").alias("_n")).where("_n > 1")
+    split = prefixes.join(homes, "_home").withColumn("_parts", F.ceil(F.col("_n") / tree_sets).cast("int"))
     # copies of one text fall into one part, so that one of them stands for all
     split = split.withColumn("_part", F.pmod(F.xxhash64("_digest"), F.col("_parts")).cast("int"))
     met = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    met = met.select("_home", F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"), "_part", "_k", "_digest", "_size", "_ranks")
+    met = met.select("_home", F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"), "_part", "_digest", "_k", "_size", "_ranks", "_last", "_rest")
     met = met.repartition("_home", "_i", "_j").sortWithinPartitions("_home", "_i", "_j", "_digest", "_k")
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        current, group = None, []
+        current, group, last_digest = None, [], None
 
         def flush() -> Iterator[tuple]:
             if len(group) < 2:
                 return
             group.sort(key=lambda s: s[3])
             across = current[1] != current[2]
-            sizes, ranks = [s[2] for s in group], [_ranks_of(s[3]) for s in group]
-            tree = build_tree(sizes, ranks)
-            for i, (part, k, size, _) in enumerate(group):
-                for j, both in probe_tree(tree, i, sizes, ranks[i], threshold):
-                    if not across or part != group[j][0]:
-                        other = group[j][1]
-                        yield min(k, other), max(k, other), both / (size + sizes[j] - both)
-
-        last = None
-        for home, i, j, part, k, digest, size, data in rows:
+            sizes, rests, ranks = [s[2] for s in group], [s[5] for s in group], [_ranks_of(s[3]) for s in group]
+            tree = build_tree(sizes, rests, ranks)
+            for i, (part, k, size, _, last, _) in enumerate(group):
+                for j, have in probe_tree(tree, i, sizes, rests, ranks[i], threshold):
+                    if across and part == group[j][0]:
+                        continue
+                    # beyond its last prefix token the set whose prefix ends first has one token less than it needs
+                    ends = [least(n, threshold) - 1 for n, x in ((size, last), (sizes[j], group[j][4])) if x == min(last, group[j][4])]
+                    common = math.ceil(threshold / (1 + threshold) * (size + sizes[j]) - 1e-6)
+                    yield min(k, group[j][1]), max(k, group[j][1]), have, common - min(ends)
+
+        for home, i, j, part, digest, k, size, data, last, rest in rows:
             if (home, i, j) != current:
                 yield from flush()
-                current, group, last = (home, i, j), [], None
-            if digest != last:  # the first of equal digests has the least key
-                group.append((part, k, size, data))
-                last = digest
+                current, group, last_digest = (home, i, j), [], None
+            if digest != last_digest:  # the first of equal digests has the least key
+                group.append((part, k, size, data, last, rest))
+                last_digest = digest
+        yield from flush()
+
+    shared = _mapped(met, run, f"_a {key_type}, _b {key_type}, _have int, _least int")
+    return shared.groupBy("_a", "_b").agg(F.sum("_have").alias("_have"), F.max("_least").alias("_least")).where("_have >= _least").select("_a", "_b")
+
+
+def _settle(pairs: DataFrame, sets: DataFrame, key: str, key_type: str, threshold: float, tree_sets: int) -> DataFrame:
+    """Exact overlaps of pairs: each probe meets the tree of its candidates."""
+    full = sets.select("_k", "_size", "_ranks")
+    rows = (
+        pairs.join(full, F.col("_b") == F.col("_k")).select("_a", F.lit(True).alias("_c"), "_k", "_size", "_ranks")
+    ).unionByName(
+        pairs.select("_a").distinct().join(full, F.col("_a") == F.col("_k")).select("_a", F.lit(False).alias("_c"), "_k", "_size", "_ranks")
+    )
+    rows = rows.repartition("_a").sortWithinPartitions("_a", "_c", "_k")
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        probe, group = None, []
+
+        def flush() -> Iterator[tuple]:
+            if group:
+                k, size, data = probe
+                group.sort(key=lambda s: s[2])
+                sizes, none = [*(s[1] for s in group), size], [0] * (len(group) + 1)
+                tree = build_tree(sizes, none, [_ranks_of(s[2]) for s in group])
+                for j, both in probe_tree(tree, -1, sizes, none, _ranks_of(data), threshold):  # it stands before all in the tree
+                    yield k, group[j][0], both / (size + sizes[j] - both)
+
+        for _, candidate, k, size, data in rows:
+            if not candidate:
+                yield from flush()
+                probe, group = (k, size, data), []
+            else:
+                group.append((k, size, data))
+                if len(group) >= tree_sets:  # a probe of very many candidates meets them in several trees
+                    yield from flush()
+                    group = []
         yield from flush()
 
-    return _mapped(met, run, f"`{key}_a` {key_type}, `{key}_b` {key_type}, similarity double").distinct()
+    return _mapped(rows, run, f"`{key}_a` {key_type}, `{key}_b` {key_type}, similarity double")
 
 
 def all_pairs(links: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -284,11 +284,13 @@ def test_shingle_in_half_of_all_texts(spark):
 
 def test_tree_prunes_and_counts():
     ranks = [np.array(s, np.uint64) for s in sorted([[1, 2, 3, 4, 5, 6], [1, 2, 3, 7, 8, 9], [1, 2], [4, 5, 6, 10, 11, 12], [1, 2, 3, 4, 5, 7]])]
-    sizes = [6] * len(ranks)
-    tree = neardup.build_tree(sizes, ranks)
+    sizes, none = [6] * len(ranks), [0] * len(ranks)
+    tree = neardup.build_tree(sizes, none, ranks)
     assert len(tree) == 2
-    assert dict(neardup.probe_tree(tree, 2, sizes, ranks[2], 0.4, after=False)) == {1: 5, 3: 4}
-    assert dict(neardup.probe_tree(tree, 2, sizes, ranks[2], 0.4)) == {3: 4}
+    assert dict(neardup.probe_tree(tree, -1, sizes, none, ranks[2], 0.4)) == {1: 5, 2: 6, 3: 4}
+    assert dict(neardup.probe_tree(tree, 2, sizes, none, ranks[2], 0.4)) == {3: 4}
+    wide = [6] * len(ranks)  # what lies outside the tree may make up for it
+    assert dict(neardup.probe_tree(neardup.build_tree(sizes, wide, ranks), -1, sizes, wide, ranks[2], 0.4)) == {0: 2, 1: 5, 2: 6, 3: 4, 4: 2}
 
 
 # ---- 7
