@@ -107,3 +107,16 @@ def crc_bucket(col, n: int):
 def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df``, a materialised narrow table, marked for broadcast if it is counted to have at most ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def heavy_classes(classes: DataFrame, n: str, total: int) -> DataFrame:
+    """The classes that hold a thousandth of ``total`` rows or more (and 10,000 at least): no more than 1,000 of them."""
+    return cut(classes.where(F.col(n) * 1000 >= max(total, 10_000_000)))
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, on: str, heavy: DataFrame) -> DataFrame:
+    """``rows`` joined to ``classes`` on ``on``; the rows of the ``heavy`` ones, at most 1,000 keys, do not move."""
+    marked = rows.join(F.broadcast(heavy.select(on, F.lit(True).alias("_heavy"))), on, "left")
+    usual = marked.where("_heavy is null").drop("_heavy").join(classes, on)
+    few = classes.join(F.broadcast(heavy.select(on)), on, "left_semi")
+    return usual.unionByName(marked.where("_heavy").drop("_heavy").join(F.broadcast(few), on))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, schema_of, spread
+from .common import cut, heavy_classes, join_classes, schema_of, spread
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 64-bit golden-ratio multiplier
 _TOKEN_BITS = 48
@@ -54,75 +54,109 @@ def least(size: int, threshold: float) -> int:
 # ---- the tree -----------------------------------------------------------------------------------------------------------
 
 
-class Node:
-    """A path-compressed node: a run of tokens, then children and the sets that end here.
+class Sets:
+    """Ordered sets as one array of ranks: those of set i are ``ranks[starts[i] : starts[i + 1]]``; ``rests`` counts the
+    tokens that a set has elsewhere, outside the trees it is looked at in."""
 
-    ``lo`` to ``hi`` are the numbers of the sets below, ``small`` and ``large`` their least and greatest full size, ``left``
-    the most tokens that any of them has after this run, ``rest`` the most that any has outside this tree.
+    def __init__(self, groups: list[int], sequences: list[np.ndarray], sizes: list[int], rests: list[int]):
+        self.groups, self.sizes, self.rests = (np.asarray(x, np.int64) for x in (groups, sizes, rests))
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in sequences])]).astype(np.int64)
+        self.ranks = np.concatenate(sequences) if sequences else np.zeros(0, np.uint64)
+
+
+class Forest:
+    """Prefix trees over sets, one a group; the sets come ordered by group, then lexicographically.
+
+    A level holds the nodes at one depth: their token, the numbers of the sets below (``lo`` to ``hi``), the first ``ends`` of
+    which end there, where their children begin on the next level, and bounds over the sets below: the ``small``est and
+    ``large``st full size, the most tokens still to come (``left``) and the most elsewhere (``rest``).
     """
 
-    __slots__ = ("run", "children", "ends", "lo", "hi", "small", "large", "left", "rest")
-
-    def __init__(self, run: np.ndarray, lo: int, hi: int, sizes: list[int], rests: list[int], left: int):
-        self.run, self.lo, self.hi, self.left = run, lo, hi, left
-        self.small, self.large, self.rest = min(sizes), max(sizes), max(rests)
-        self.children: list[Node] = []
-        self.ends: list[int] = []
-
-
-def build_tree(sizes: list[int], rests: list[int], ranks: list[np.ndarray]) -> list[Node]:
-    """Roots of the tree over sets given in lexicographic order; sets with a common prefix share its nodes."""
-    roots: list[Node] = []
-    work = [(roots, 0, len(ranks), 0)]
-    while work:
-        siblings, lo, end, depth = work.pop()
-        while lo < end:
-            first = ranks[lo]
-            hi = lo + 1
-            while hi < end and len(ranks[hi]) > depth and ranks[hi][depth] == first[depth]:
-                hi += 1
-            last = ranks[hi - 1]
-            n = min(len(first), len(last))
-            differ = np.flatnonzero(first[depth:n] != last[depth:n])
-            to = depth + int(differ[0]) if len(differ) else n
-            node = Node(first[depth:to], lo, hi, sizes[lo:hi], rests[lo:hi], max(len(r) for r in ranks[lo:hi]) - to)
-            deeper = lo
-            while deeper < hi and len(ranks[deeper]) == to:
-                node.ends.append(deeper)
-                deeper += 1
-            siblings.append(node)
-            if deeper < hi:
-                work.append((node.children, deeper, hi, to))
-            lo = hi
-    return roots
-
-
-def probe_tree(roots: list[Node], number: int, sizes: list[int], rests: list[int], ranks: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
-    """(number, overlap) of the later sets in the tree that may lie within ``threshold`` of set ``number``.
-
-    The overlap with a node's run is counted once for all sets below it.  A subtree is left as soon as what it and the
-    probe have still to come, here and outside the tree (``rests``), cannot make up the overlap that its smallest set needs,
-    or its sizes lie too far off.  With nothing outside the tree the sets yielded are those within the threshold.
+    def __init__(self, sets: Sets, token_ids: np.ndarray):
+        self.levels: list[dict[str, np.ndarray]] = []
+        lengths = np.diff(sets.starts)
+        active, above = np.flatnonzero(lengths > 0), sets.groups
+        depth = 0
+        while len(active):
+            token = token_ids[sets.starts[active] + depth]
+            new = np.ones(len(active), bool)
+            new[1:] = (above[active[1:]] != above[active[:-1]]) | (token[1:] != token[:-1])
+            at = np.flatnonzero(new)
+            lo = active[at]
+            hi = active[np.append(at[1:], len(active)) - 1] + 1
+            over = lambda f, x: f.reduceat(x[active], at)
+            last = lengths[active] == depth + 1
+            self.levels.append({
+                "parent": above[lo], "token": token[at], "lo": lo, "hi": hi, "ends": np.add.reduceat(last.astype(np.int64), at), "left": over(np.maximum, lengths) - depth - 1,
+                "small": over(np.minimum, sets.sizes), "large": over(np.maximum, sets.sizes), "rest": over(np.maximum, sets.rests),
+            })
+            below = np.empty(len(lengths), np.int64)
+            below[active] = np.cumsum(new) - 1
+            active, above = active[~last], below
+            depth += 1
+
+
+def join_trees(sets: Sets, probes: Sets, numbers: np.ndarray, threshold: float, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, set, overlap) of the sets later than the probe's own number in the tree of the probe's group that may lie
+    within ``threshold`` of it; with nothing elsewhere they do.
+
+    All probes go down the trees together.  The overlap with a path is counted once for all sets below it.  A subtree is left
+    as soon as what it and the probe have still to come, there and elsewhere, cannot make up the overlap that its smallest
+    set needs, or its sizes lie too far off.  Probes go in bundles of about ``most`` tokens of their trees.
     """
-    size, rest = sizes[number], rests[number]
-    work = [(node, 0) for node in roots]
-    while work:
-        node, have = work.pop()
-        if node.hi <= number + 1 or node.large < threshold * size - 1e-9 or size < threshold * node.small - 1e-9:
-            continue
-        left = len(ranks)
-        if len(node.run):
-            at = np.searchsorted(ranks, node.run)
-            left -= int(at[-1])
-            at = np.minimum(at, len(ranks) - 1)
-            have += int((ranks[at] == node.run).sum())
-        most = have + min(left, node.left) + min(rest, node.rest)
-        if not have + min(left, node.left) or (1 + threshold) * most < threshold * (size + node.small) - 1e-6:
-            continue
-        for other in node.ends:
-            if other > number and have and (1 + threshold) * (have + min(rest, rests[other])) >= threshold * (size + sizes[other]) - 1e-6:
-                yield other, have
-        work.extend((child, have) for child in node.children)
+    known, ids = np.unique(np.concatenate([sets.ranks, probes.ranks]), return_inverse=True)
+    ids = ids.astype(np.int64)
+    forest = Forest(sets, ids[: len(sets.ranks)])
+    n = len(probes.sizes)
+    none = np.zeros(0, np.int64)
+    if not forest.levels or not n:
+        return none, none, none
+    width = np.int64(len(known))
+    held = np.repeat(np.arange(n), np.diff(probes.starts)) * width + ids[len(sets.ranks) :]
+    ends = probes.starts[1:]
+    # tokens of the trees of each group, for the bundles
+    group_of = np.repeat(sets.groups, np.diff(sets.starts))
+    names, weights = np.unique(group_of, return_counts=True)
+    where = np.minimum(np.searchsorted(names, probes.groups), len(names) - 1)
+    cost = np.where(names[where] == probes.groups, weights[where], 0)
+    bundle = np.cumsum(cost) // most
+    found = []
+    for one in np.unique(bundle):
+        members = np.flatnonzero((bundle == one) & (cost > 0))
+        roots = forest.levels[0]["parent"]
+        first, last = np.searchsorted(roots, probes.groups[members]), np.searchsorted(roots, probes.groups[members], side="right")
+        probe, node = _ranges(members, first, last - first)
+        have = np.zeros(len(probe), np.int64)
+        for depth, level in enumerate(forest.levels):
+            if not len(probe):
+                break
+            want = probe * width + level["token"][node]
+            at = np.searchsorted(held, want)
+            hit = held[np.minimum(at, len(held) - 1)] == want
+            have = have + hit
+            here = have + np.minimum(ends[probe] - at - hit, level["left"][node])
+            size, small = probes.sizes[probe], level["small"][node]
+            keep = (here > 0) & (level["hi"][node] > numbers[probe] + 1)
+            keep &= (level["large"][node] >= threshold * size - 1e-9) & (size >= threshold * small - 1e-9)
+            keep &= (1 + threshold) * (here + np.minimum(probes.rests[probe], level["rest"][node])) >= threshold * (size + small) - 1e-6
+            probe, node, have = probe[keep], node[keep], have[keep]
+            done = (level["ends"][node] > 0) & (have > 0)
+            p, j = _ranges(np.flatnonzero(done), level["lo"][node[done]], level["ends"][node[done]])
+            p, h = probe[p], have[p]
+            good = (j > numbers[p]) & ((1 + threshold) * (h + np.minimum(probes.rests[p], sets.rests[j])) >= threshold * (probes.sizes[p] + sets.sizes[j]) - 1e-6)
+            found.append((p[good], j[good], h[good]))
+            if depth + 1 < len(forest.levels):
+                parent = forest.levels[depth + 1]["parent"]
+                first, last = np.searchsorted(parent, node), np.searchsorted(parent, node, side="right")
+                back, node = _ranges(np.arange(len(node)), first, last - first)
+                probe, have = probe[back], have[back]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none)
+
+
+def _ranges(names: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each name with each number of its range, ``counts`` from ``first`` on."""
+    at = np.repeat(first - np.cumsum(counts) + counts, counts)
+    return np.repeat(names, counts), at + np.arange(len(at))
 
 
 # ---- packed pieces ------------------------------------------------------------------------------------------------------
@@ -149,6 +183,13 @@ def _class_of(df: np.ndarray) -> np.ndarray:
     return np.where(df < 200, df, high).astype(np.uint64)
 
 
+def _home_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for the first two documents that hold a token; where two pairs get the same number they share a tree."""
+    with np.errstate(over="ignore"):
+        x = (first.astype(np.uint64) * _MIX ^ second.astype(np.uint64)) * _MIX
+    return ((x ^ (x >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
+
 def _ranks_bytes(ranks: np.ndarray) -> bytes:
     """Ranks of 56 bits, highest byte first, so that comparing bytes compares sequences of ranks."""
     return np.ascontiguousarray(ranks.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
@@ -201,12 +242,12 @@ def near_duplicates(
     Shingles are 48-bit tokens, ordered by their frequency, rarest first; one that occurs once cannot be shared and only
     counts in the size.  Texts are shingled once, in blocks of about ``block_tokens`` tokens.  A block sends its tokens to
     ranges of about ``range_tokens``; a range sends each shared token back to its blocks, with its place in the global order
-    and its home, the first document that holds it.  So each set becomes a sequence in the global order, and the prefix of
+    and its home, the first two documents that hold it.  So each set becomes a sequence in the global order, and the prefix of
     it that must hold a token shared with any partner is known.
 
     The tree over these prefixes is spread by the homes of its edges: a home has a tree of the tokens at home there, so each
-    token of a prefix goes to one place.  Each set traverses the trees it is in: overlaps with a run of tokens are counted
-    once for all sets below it, and subtrees are left by what remains in them and elsewhere.  The overlaps of a pair in all
+    token of a prefix goes to one place.  Each set traverses the trees it is in: overlaps with a path are counted once for
+    all sets below it, and subtrees are left by what remains in them and elsewhere.  The overlaps of a pair in all
     homes are added up; pairs whose prefixes share as much as they must meet with their whole sequences in the tree of the
     first of them.  A home of more than ``tree_sets`` sets is split into parts that meet in pairs.
 
@@ -303,13 +344,13 @@ def near_duplicates(
                 times[at + p[2].astype(np.int64)] = p[3]
             of = np.repeat(np.arange(len(pieces)), lengths)
             del parts
-            order = np.argsort(tokens, kind="stable")
+            place = (blocks[of] << 16) | ids
+            order = np.lexsort((place, tokens))
             t = tokens[order]
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             n = np.diff(np.append(starts, len(t)))
             df = np.add.reduceat(times[order], starts)
-            place = (blocks[of] << 16) | ids
-            home = np.minimum.reduceat(place[order], starts)
+            home = _home_of(place[order[starts]], place[order[np.minimum(starts + 1, starts + n - 1)]])
             shared = np.repeat(df > 1, n)
             chosen = order[shared]
             rank = (_class_of(np.repeat(df, n)[shared]) << np.uint64(_TOKEN_BITS)) | t[shared]
@@ -380,18 +421,14 @@ def near_duplicates(
     grouped = replies.repartition("_block").sortWithinPartitions("_block")
     found = cut(_mapped(grouped, to_sets, f"_home long, _k {key_type}, _digest binary, _size int, _ranks binary, _last long, _rest int"))
     met = cut(_meet(found.where("_home is not null"), key_type, threshold, tree_sets))
-    return _settle(met, found.where("_home is null and _ranks is not null"), key, key_type, threshold, tree_sets), _members(found.where("_home is null"), key)
+    return _settle(met, found.where("_home is null and _ranks is not null"), key, key_type, threshold), _members(found.where("_home is null"), key)
 
 
 def _members(rows: DataFrame, key: str) -> DataFrame:
-    """(key, rep): a text copied to more than a thousandth of all rows is one of at most 1,000, met by broadcast; others are joined."""
-    classes = rows.groupBy("_digest").agg(F.min("_k").alias("_rep"), F.count("*").alias("_n"))
-    total = rows.count()
-    heavy = cut(classes.where(F.col("_n") * 1000 >= max(total, 10_000_000)).select("_digest", F.col("_rep").alias("_heavy")))
-    marked = rows.select("_k", "_digest").join(F.broadcast(heavy), "_digest", "left")
-    common = marked.where("_heavy is not null").select(F.col("_k").alias(key), F.col("_heavy").alias("rep"))
-    usual = marked.where("_heavy is null").select("_k", "_digest").join(classes.select("_digest", "_rep"), "_digest")
-    return common.unionByName(usual.select(F.col("_k").alias(key), F.col("_rep").alias("rep")))
+    """(key, rep) of every document."""
+    classes = cut(rows.groupBy("_digest").agg(F.min("_k").alias("_rep"), F.count("*").alias("_n")))
+    heavy = heavy_classes(classes, "_n", rows.count())
+    return join_classes(rows.select("_k", "_digest"), classes, "_digest", heavy).select(F.col("_k").alias(key), F.col("_rep").alias("rep"))
 
 
 def _meet(prefixes: DataFrame, key_type: str, threshold: float, tree_sets: int) -> DataFrame:
@@ -405,38 +442,42 @@ def _meet(prefixes: DataFrame, key_type: str, threshold: float, tree_sets: int)
     met = met.repartition("_home", "_i", "_j").sortWithinPartitions("_home", "_i", "_j", "_digest", "_k")
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        current, group, last_digest = None, [], None
+        current, last_digest, number, tokens = None, None, -1, 0
+        batch: list[tuple] = []
 
         def flush() -> Iterator[tuple]:
-            if len(group) < 2:
-                return
-            group.sort(key=lambda s: s[3])
-            across = current[1] != current[2]
-            sizes, rests, ranks = [s[2] for s in group], [s[5] for s in group], [_ranks_of(s[3]) for s in group]
-            tree = build_tree(sizes, rests, ranks)
-            for i, (part, k, size, _, last, _) in enumerate(group):
-                for j, have in probe_tree(tree, i, sizes, rests, ranks[i], threshold):
-                    if across and part == group[j][0]:
-                        continue
-                    # beyond its last prefix token the set whose prefix ends first has one token less than it needs
-                    ends = [least(n, threshold) - 1 for n, x in ((size, last), (sizes[j], group[j][4])) if x == min(last, group[j][4])]
-                    common = math.ceil(threshold / (1 + threshold) * (size + sizes[j]) - 1e-6)
-                    yield min(k, group[j][1]), max(k, group[j][1]), have, common - min(ends)
+            batch.sort(key=lambda s: (s[0], s[5]))
+            groups, across, parts, keys, sizes, _, lasts, rests = zip(*batch)
+            sets = Sets(groups, [_ranks_of(s[5]) for s in batch], sizes, rests)
+            p, j, have = join_trees(sets, sets, np.arange(len(batch)), threshold)
+            across, parts, lasts = (np.asarray(x) for x in (across, parts, lasts))
+            ok = ~(across[p] & (parts[p] == parts[j]))
+            p, j, have = p[ok], j[ok], have[ok]
+            need = np.ceil(threshold * sets.sizes - 1e-9).astype(np.int64)
+            # beyond its last prefix token the set whose prefix ends first has one token less than it needs
+            beyond = np.where(lasts[p] < lasts[j], need[p], np.where(lasts[j] < lasts[p], need[j], np.minimum(need[p], need[j]))) - 1
+            common = np.ceil(threshold / (1 + threshold) * (sets.sizes[p] + sets.sizes[j]) - 1e-6).astype(np.int64)
+            for x, y, h, m in zip(p.tolist(), j.tolist(), have.tolist(), (common - beyond).tolist()):
+                yield min(keys[x], keys[y]), max(keys[x], keys[y]), h, m
 
         for home, i, j, part, digest, k, size, data, last, rest in rows:
             if (home, i, j) != current:
-                yield from flush()
-                current, group, last_digest = (home, i, j), [], None
+                if tokens > 1 << 20:
+                    yield from flush()
+                    batch.clear()
+                    tokens = 0
+                current, last_digest, number = (home, i, j), None, number + 1
             if digest != last_digest:  # the first of equal digests has the least key
-                group.append((part, k, size, data, last, rest))
-                last_digest = digest
-        yield from flush()
+                batch.append((number, i != j, part, k, size, data, last, rest))
+                last_digest, tokens = digest, tokens + len(data) // 7
+        if batch:
+            yield from flush()
 
     shared = _mapped(met, run, f"_a {key_type}, _b {key_type}, _have int, _least int")
     return shared.groupBy("_a", "_b").agg(F.sum("_have").alias("_have"), F.max("_least").alias("_least")).where("_have >= _least").select("_a", "_b")
 
 
-def _settle(pairs: DataFrame, sets: DataFrame, key: str, key_type: str, threshold: float, tree_sets: int) -> DataFrame:
+def _settle(pairs: DataFrame, sets: DataFrame, key: str, key_type: str, threshold: float) -> DataFrame:
     """Exact overlaps of pairs: each probe meets the tree of its candidates."""
     full = sets.select("_k", "_size", "_ranks")
     rows = (
@@ -447,27 +488,29 @@ def _settle(pairs: DataFrame, sets: DataFrame, key: str, key_type: str, threshol
     rows = rows.repartition("_a").sortWithinPartitions("_a", "_c", "_k")
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        probe, group = None, []
+        probes: list[tuple] = []
+        group: list[tuple] = []
+        tokens = 0
 
         def flush() -> Iterator[tuple]:
-            if group:
-                k, size, data = probe
-                group.sort(key=lambda s: s[2])
-                sizes, none = [*(s[1] for s in group), size], [0] * (len(group) + 1)
-                tree = build_tree(sizes, none, [_ranks_of(s[2]) for s in group])
-                for j, both in probe_tree(tree, -1, sizes, none, _ranks_of(data), threshold):  # it stands before all in the tree
-                    yield k, group[j][0], both / (size + sizes[j] - both)
+            group.sort(key=lambda s: (s[0], s[3]))
+            sets = Sets([s[0] for s in group], [_ranks_of(s[3]) for s in group], [s[2] for s in group], [0] * len(group))
+            own = Sets([*range(len(probes))], [_ranks_of(s[2]) for s in probes], [s[1] for s in probes], [0] * len(probes))
+            p, j, both = join_trees(sets, own, np.full(len(probes), -1), threshold)
+            for x, y, b in zip(p.tolist(), j.tolist(), both.tolist()):
+                yield probes[x][0], group[y][1], b / (probes[x][1] + group[y][2] - b)
 
         for _, candidate, k, size, data in rows:
-            if not candidate:
+            if tokens > 1 << 20:
                 yield from flush()
-                probe, group = (k, size, data), []
+                probes, group, tokens = ([] if not candidate else probes[-1:]), [], 0
+            if not candidate:
+                probes.append((k, size, data))
             else:
-                group.append((k, size, data))
-                if len(group) >= tree_sets:  # a probe of very many candidates meets them in several trees
-                    yield from flush()
-                    group = []
-        yield from flush()
+                group.append((len(probes) - 1, k, size, data))
+                tokens += len(data) // 7
+        if group:
+            yield from flush()
 
     return _mapped(rows, run, f"`{key}_a` {key_type}, `{key}_b` {key_type}, similarity double")
 

@@ -282,15 +282,28 @@ def test_shingle_in_half_of_all_texts(spark):
         assert sorted((r.doc_id_a, r.doc_id_b) for r in links.collect()) == want
 
 
-def test_tree_prunes_and_counts():
-    ranks = [np.array(s, np.uint64) for s in sorted([[1, 2, 3, 4, 5, 6], [1, 2, 3, 7, 8, 9], [1, 2], [4, 5, 6, 10, 11, 12], [1, 2, 3, 4, 5, 7]])]
-    sizes, none = [6] * len(ranks), [0] * len(ranks)
-    tree = neardup.build_tree(sizes, none, ranks)
-    assert len(tree) == 2
-    assert dict(neardup.probe_tree(tree, -1, sizes, none, ranks[2], 0.4)) == {1: 5, 2: 6, 3: 4}
-    assert dict(neardup.probe_tree(tree, 2, sizes, none, ranks[2], 0.4)) == {3: 4}
-    wide = [6] * len(ranks)  # what lies outside the tree may make up for it
-    assert dict(neardup.probe_tree(neardup.build_tree(sizes, wide, ranks), -1, sizes, wide, ranks[2], 0.4)) == {0: 2, 1: 5, 2: 6, 3: 4, 4: 2}
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.sets(st.integers(0, 12), min_size=1, max_size=9), st.integers(0, 3)), max_size=14), st.sampled_from([0.4, 0.5, 0.8]), st.sampled_from([1, 50]))
+def test_trees_equal_brute_force(rows, threshold, most):
+    rows = sorted((g, sorted(s), extra) for g, s, extra in rows)
+    sets = neardup.Sets([r[0] for r in rows], [np.array(r[1], np.uint64) for r in rows], [len(r[1]) + r[2] for r in rows], [r[2] for r in rows])
+    found = neardup.join_trees(sets, sets, np.arange(len(rows)), threshold, most)
+    want = set()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        (g, x, a), (h, y, b) = rows[i], rows[j]
+        both = len(set(x) & set(y))
+        if g == h and both and (1 + threshold) * (both + min(a, b)) >= threshold * (len(x) + a + len(y) + b) - 1e-9:
+            small, large = sorted((len(x) + a, len(y) + b))
+            if small >= threshold * large - 1e-9:
+                want.add((i, j, both))
+    assert set(zip(*(x.tolist() for x in found))) == want
+
+
+def test_trees_share_paths():
+    rows = [[1, 2], [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 7], [1, 2, 3, 7, 8, 9], [4, 5, 6, 10, 11, 12]]
+    sets = neardup.Sets([0] * 5, [np.array(r, np.uint64) for r in rows], [6] * 5, [0] * 5)
+    forest = neardup.Forest(sets, sets.ranks.astype(np.int64))
+    assert [len(x["token"]) for x in forest.levels] == [2, 2, 2, 3, 3, 4] and forest.levels[0]["hi"].tolist() == [4, 5]
 
 
 # ---- 7
