@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,24 +29,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder so that later passes neither recompute nor depend on executors."""
+    """Materialise ``df`` in the reliable checkpoint folder so that later passes neither recompute nor depend on executors.
+
+    The folder is that of ``spark.checkpoint.dir``, which all executors must share.  Where it is unset a folder of this
+    machine is taken if Spark runs on this machine alone; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="quern-checkpoint-")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver find that materialised steps no longer need their shuffles, whose files are then deleted.
-
-    Spark deletes shuffle files when the driver collects the objects that name them, which a small driver heap may put off
-    for as long as the job runs.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
@@ -99,16 +96,6 @@ def with_tokens(df: DataFrame, text: str, tokenizer: str, out: str = "n_tokens")
     return map_rows(spread(df), count, ddl)
 
 
-def crc_bucket(col, n: int):
-    """A salt in [0, n) that depends on the row alone."""
-    return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-
-def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df``, a materialised narrow table, marked for broadcast if it is counted to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def heavy_classes(classes: DataFrame, n: str, total: int) -> DataFrame:
     """The classes that hold a thousandth of ``total`` rows or more (and 10,000 at least): no more than 1,000 of them."""
     return cut(classes.where(F.col(n) * 1000 >= max(total, 10_000_000)))

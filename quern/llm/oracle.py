@@ -31,3 +31,10 @@ n as (select doc_id, count(*) n from s group by 1),
 o as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
 select x as doc_id_a, y as doc_id_b from o join n p on p.doc_id = x join n q on q.doc_id = y where 2 * c >= p.n + q.n - c
 """
+
+ORACLE["p5_nearest"] = """
+with v as (select "rowid" id, embedding::double[] e from vec_index where embedding is not null and list_inner_product(embedding::double[], embedding::double[]) > 0),
+s as (select a.id x, b.id y, list_cosine_similarity(a.e, b.e) c from v a join v b on a.id <> b.id where a.id % 20 = 0),
+r as (select x, y, c, row_number() over (partition by x order by round(c, 9) desc, y) n from s)
+select x as query, y as neighbour, round(c, 6) as similarity, n::int as rank from r where n <= 10
+"""

@@ -91,7 +91,7 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     from .knn import nearest_of
 
     vectors = read(spark, d, "vec_index")
-    return nearest_of(vectors, vectors.where("rowid % 20 = 0"))
+    return nearest_of(vectors, vectors.where("rowid % 20 = 0")).withColumn("similarity", F.round("similarity", 6))
 
 
 def _near(spark: SparkSession, d: str, threshold: float):
@@ -132,10 +132,11 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens and share of room used of each pack."""
+    """Containers, the fewest that could do, tokens and share of room used of each pack."""
     sizes = read(spark, d, "pack_sizes").select("pack", "capacity")
     used = p8_pack(spark, d).where("container is not null").groupBy("pack").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("n_tokens"))
-    return used.join(sizes, "pack").withColumn("fill", F.col("n_tokens") / (F.col("containers") * F.col("capacity")))
+    used = used.join(sizes, "pack").withColumn("fewest", F.ceil(F.col("n_tokens") / F.col("capacity")))
+    return used.withColumn("fill", F.col("n_tokens") / (F.col("containers") * F.col("capacity")))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +151,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached when each mix is to have as many tokens as its sources hold: nearer to the target than to the natural
+    shares as far as the repeats allow."""
+    from .mixing import mix
+
+    return mix(read(spark, d, "documents"), read(spark, d, "mix_targets"), total="available")[1]
+
+
 def _books(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").where("doc_type = 'book'")
 
@@ -172,5 +181,5 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_languages, p3_chunks, p4_found, p4_repaired, p4_chunks, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p7_chunks, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_sentences)
+    f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_languages, p3_chunks, p4_found, p4_repaired, p4_chunks, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_clean, p7_chunks, p8_pack, p8_report, p9_mix, p9_shares, p9_tempered, p10_found, p10_sentences)
 }
