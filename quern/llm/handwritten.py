@@ -45,7 +45,6 @@ GENERATED_PATHS = (
 VENDORED_PATHS = ("vendor/", "vendored/", "_vendor/", "vendors/", "third_party/", "third-party/", "thirdparty/", "node_modules/", "bower_components/", "Pods/", "deps/", "extern/", "external/", "contrib/vendored/")
 MINIFIED_PATHS = ("*.min.*", "*-min.js")
 
-_HEAD_LINES = 12
 _GENERATED = re.compile("|".join(GENERATED_TEXT), re.I | re.M)
 _VENDORED = re.compile("|".join(VENDORED_TEXT), re.I | re.M)
 _COMMENT = re.compile(r"^\s*(?://|#|/?\*|--|;|<!--|\"\"\"|''')")
@@ -56,17 +55,20 @@ _LITERAL_GLUE = re.compile(r"[\s\[\](){},;:+\"'\\-]+|\bNULL\b|\b(?:true|false|nu
 _QUOTED = re.compile(r"[\"'][\w .:/-]{1,24}[\"']")
 
 
-def head_comments(text: str) -> str:
-    lines = text.split("\n", _HEAD_LINES)[:_HEAD_LINES]
-    return "\n".join(x[:400] for x in lines if _COMMENT.match(x))
+def outer_comments(text: str) -> str:
+    """The comment lines before the first and after the last line of code, however many there are."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    head = next((i for i, x in enumerate(lines) if not _COMMENT.match(x)), len(lines))
+    tail = next((i for i in range(len(lines), head, -1) if not _COMMENT.match(lines[i - 1])), head)
+    return "\n".join(lines[:head] + lines[tail:])
 
 
 def content_kind(text: str) -> str | None:
     """'generated', 'vendored', 'minified' or 'data' by what the file says or looks like; None for hand-written."""
-    head = head_comments(text)
-    if _GENERATED.search(head):
+    said = outer_comments(text)
+    if _GENERATED.search(said):
         return "generated"
-    if _VENDORED.search(head):
+    if _VENDORED.search(said):
         return "vendored"
     body = "\n".join(x for x in text.split("\n") if not _COMMENT.match(x))
     n = len(body)
@@ -105,13 +107,16 @@ def path_features(path: str) -> list[str]:
 
 @lru_cache(maxsize=4096)
 def _glob(pattern: str) -> re.Pattern:
-    """An attribute-file pattern as an expression over the path below its directory."""
-    anchored = "/" in pattern.rstrip("/")[0:] and not pattern.endswith("/") or pattern.startswith("/")
-    p = pattern.lstrip("/")
-    tail = ""
+    """An attribute-file pattern as an expression over the path below its directory.
+
+    A slash at the beginning or inside anchors the pattern to the directory; one at the end asks for a directory and takes
+    all that lies below.
+    """
+    p, tail = pattern, ""
     if p.endswith("/"):
-        p, tail = p[:-1], "/.*"
-        anchored = "/" in p
+        p, tail = p.rstrip("/"), "/.*"
+    anchored = "/" in p or pattern.startswith("/")
+    p = p.lstrip("/")
     out, i = "", 0
     while i < len(p):
         if p.startswith("**/", i):
@@ -130,8 +135,12 @@ def _glob(pattern: str) -> re.Pattern:
     return re.compile(("" if anchored else "(?:.*/)?") + out + tail + r"\Z", re.S)
 
 
-def parse_attributes(text: str) -> list[tuple[str, str, bool]]:
-    """(pattern, 'generated' | 'vendored', set) of an attribute file's lines, in their order."""
+def parse_attributes(text: str) -> list[tuple[str, str, bool | None]]:
+    """(pattern, 'generated' | 'vendored', value) of an attribute file's lines, in their order.
+
+    The value is True where the attribute is set, False where it is unset by a minus or set to false, and None where an
+    exclamation mark takes back what was said before.
+    """
     out = []
     for line in text.splitlines():
         parts = line.split()
@@ -140,20 +149,27 @@ def parse_attributes(text: str) -> list[tuple[str, str, bool]]:
         for a in parts[1:]:
             m = re.fullmatch(r"([-!]?)linguist-(generated|vendored)(?:=(\w+))?", a)
             if m:
-                out.append((parts[0], m[2], not m[1] and (m[3] or "true").lower() not in ("false", "0", "no")))
+                value = {"!": None, "-": False}.get(m[1], (m[3] or "true").lower() not in ("false", "0", "no"))
+                out.append((parts[0], m[2], value))
     return out
 
 
+@lru_cache(maxsize=1024)
+def rules_of(files: tuple[tuple[str, str], ...]) -> list[tuple[str, list[tuple[re.Pattern, str, bool | None]]]]:
+    """The rules of a repository's attribute files (directory, text) by directory, higher ones first; parsed once."""
+    ordered = sorted(files, key=lambda f: (f[0].count("/") + bool(f[0]), f[0]))
+    return [(folder + "/" if folder else "", [(_glob(p), what, on) for p, what, on in parse_attributes(text)]) for folder, text in ordered]
+
+
 def declared(path: str, files: list[tuple[str, str]]) -> dict[str, bool]:
     """What the attribute files (directory, text) say of a path: deeper files win over higher ones, later lines over earlier."""
-    out: dict[str, bool] = {}
-    for folder, text in sorted(files, key=lambda f: (f[0].count("/") + bool(f[0]), f[0])):
-        base = folder + "/" if folder else ""
+    out: dict[str, bool | None] = {}
+    for base, rules in rules_of(tuple(files)):
         if path.startswith(base):
-            for pattern, what, on in parse_attributes(text):
-                if _glob(pattern).match(path[len(base) :]):
+            for pattern, what, on in rules:
+                if pattern.match(path[len(base) :]):
                     out[what] = on
-    return out
+    return {what: on for what, on in out.items() if on is not None}
 
 
 def _known(path: str) -> str | None:
@@ -196,10 +212,12 @@ def not_handwritten(
 ) -> DataFrame:
     """(key, kind, evidence) of the code files that nobody wrote by hand for their project.
 
-    ``kind`` is generated, vendored, minified or data; ``evidence`` is declared, content, path or mined.  A repository's
-    attribute files (documents named .gitattributes) decide for the paths they name, also that a path is hand-written;
-    otherwise the content decides, then the catalogue of known paths, then patterns mined from the files whose content
-    tells.  A null path is judged by content alone, a null text by path alone; files of both null are never cases.
+    ``kind`` is generated, vendored, minified or data; ``evidence`` is declared, mined, path or content.  A repository's
+    attribute files (documents named .gitattributes) decide for the paths they name, also that a path is hand-written: not
+    generated spares a file that looks generated, minified or like data.  What they declare and what the content of files
+    shows are the seeds from which path patterns are mined; these are applied to all paths that no file declares, then a
+    catalogue of patterns in common use, and where no pattern matches the content itself decides.  The kind is that of the
+    content where it has one.  A null path is judged by content alone, a null text by path alone; files of both null are never cases.
     Several rows of one key give one row.  Further columns are ignored.
     """
     key_type = documents.schema[key].dataType.simpleString()
@@ -213,23 +231,31 @@ def not_handwritten(
         for k, g, p, t in zip(cols["_k"], cols["_g"], cols["_p"], cols["_t"]):
             yield k, g, p, content_kind(t) if t else None, path_features(p) if p else []
 
-    evidence = cut(map_rows(spread(files), look, f"_k {key_type}, _g string, _p string, _kind string, _patterns array<string>"))
+    evidence = map_rows(spread(files), look, f"_k {key_type}, _g string, _p string, _kind string, _patterns array<string>").join(rules, "_g", "left")
+
+    def seed(cols: dict[str, list]):
+        for k, p, content, patterns, r in zip(*(cols[c] for c in ("_k", "_p", "_kind", "_patterns", "_rules"))):
+            said = declared(p, [(x["d"], x["t"]) for x in r]) if r and p else {}
+            named = next((w for w, on in said.items() if on), None)
+            spared = {"generated": ("generated", "minified", "data"), "vendored": ("vendored",)}
+            no = {x for w, on in said.items() if not on for x in spared[w]}
+            yield k, p, named, content if content not in no else None, named or (content if content not in no else None), sorted(no), patterns
+
+    evidence = cut(
+        map_rows(evidence.select("_k", "_p", "_kind", "_patterns", "_rules"), seed, f"_k {key_type}, _p string, _named string, _content string, _kind string, _no array<string>, _patterns array<string>")
+    )
     mined = mined_patterns(evidence)
     by_mined = (
         evidence.select("_k", F.explode("_patterns").alias("_pattern")).join(mined, "_pattern").groupBy("_k").agg(F.min("_kind").alias("_mined"))
     )
-    rows = evidence.select("_k", "_g", "_p", "_kind").join(by_mined, "_k", "left").join(rules, "_g", "left")
+    rows = evidence.select("_k", "_p", "_named", "_content", "_no").join(by_mined, "_k", "left")
 
     def decide(cols: dict[str, list]):
-        for k, p, k_content, k_mined, r in zip(cols["_k"], cols["_p"], cols["_kind"], cols["_mined"], cols["_rules"]):
-            said = declared(p, [(x["d"], x["t"]) for x in r]) if r and p else {}
-            if any(said.values()):
-                yield k, next(w for w, on in said.items() if on), "declared"
-                continue
-            for found, how in ((k_content, "content"), (_known(p) if p else None, "path"), (k_mined, "mined")):
-                if found and said.get(found) is not False:
-                    yield k, found, how
+        for k, p, named, content, no, mined_kind in zip(*(cols[c] for c in ("_k", "_p", "_named", "_content", "_no", "_mined"))):
+            for found, how in ((named, "declared"), (mined_kind, "mined"), (_known(p) if p else None, "path"), (content, "content")):
+                if found and found not in no:
+                    yield k, (found if how == "declared" else content or found), how
                     break
 
-    found = map_rows(rows.select("_k", "_p", "_kind", "_mined", "_rules"), decide, f"`{key}` {key_type}, kind string, evidence string")
+    found = map_rows(rows, decide, f"`{key}` {key_type}, kind string, evidence string")
     return found.groupBy(key).agg(F.min_by("kind", F.struct("kind", "evidence")).alias("kind"), F.min_by("evidence", F.struct("kind", "evidence")).alias("evidence"))
