@@ -16,10 +16,18 @@ from .common import schema_of, spread
 
 # ---- byte classes and the automaton ---------------------------------------------------------------------------------
 
-_OTHER, _NL, _DQ, _SQ, _BQ, _BS, _SL, _ST, _HA, _DA = range(10)
+_OTHER, _NL, _DQ, _SQ, _BQ, _BS, _SL, _ST, _HA, _DA, _WD, _OP, _LB, _RB, _LC, _RC, _DO = _CLASSES = range(17)
 _CLASS = np.zeros(256, np.uint8)
 for _c, _k in (("\n", _NL), ('"', _DQ), ("'", _SQ), ("`", _BQ), ("\\", _BS), ("/", _SL), ("*", _ST), ("#", _HA), ("-", _DA)):
     _CLASS[ord(_c)] = _k
+# where a slash may begin a pattern, what stands before it counts, and templates hold code in braces
+_CLASS_JS = _CLASS.copy()
+for _c in range(256):
+    if _c >= 128 or chr(_c).isalnum() or chr(_c) in "_)":
+        _CLASS_JS[_c] = _WD
+for _c, _k in (*((x, _OP) for x in "=(,:;!&|?+%^~<>"), ("[", _LB), ("]", _RB), ("{", _LC), ("}", _RC), ("$", _DO)):
+    _CLASS_JS[ord(_c)] = _k
+_CLASS_JS[ord("*")], _CLASS_JS[ord("-")] = _ST, _OP
 
 CODE, COMMENT, STRING = 0, 1, 2
 
@@ -33,12 +41,12 @@ class _Machine:
         self.starts: dict[str, int] = {}
 
     def state(self, kind: int) -> int:
-        self.rows.append([len(self.rows)] * 10)
+        self.rows.append([len(self.rows)] * len(_CLASSES))
         self.kind.append(kind)
         return len(self.rows) - 1
 
     def on(self, s: int, to: int, *classes: int) -> None:
-        for c in classes or range(10):
+        for c in classes or _CLASSES:
             self.rows[s][c] = to
 
     def string(self, home: int, quote: int, escapes: bool, lines: bool) -> int:
@@ -104,21 +112,88 @@ class _Machine:
         for q in long:
             self.on(home, self.triple(home, q), q)
 
+    def character(self, home: int) -> None:
+        """A quote that begins a character, which may be a quote or an escape, or else stands alone before a name."""
+        one, two, esc = self.state(CODE), self.state(CODE), self.state(CODE)
+        self.on(home, one, _SQ)
+        self.on(one, two)
+        self.on(one, esc, _BS)
+        self.on(esc, two)
+        self.rows[two] = list(self.rows[home])
+        self.on(two, home, _SQ)
+
+    def script(self, name: str, depth: int = 3) -> None:
+        """A syntax with comments, strings, patterns between slashes and templates.  Templates and
+        braces in templates are told apart to ``depth`` within each other."""
+
+        def code(leave: int | None, level: int) -> int:
+            """The state before an operand of code that a closing brace leaves to ``leave``."""
+            before, after = self.state(CODE), self.state(CODE)
+            quoted = {q: self.string(after, q, True, False) for q in (_DQ, _SQ)}
+            for s in (before, after):
+                for q, string in quoted.items():
+                    self.on(s, string, q)
+                self.on(s, after, _WD, _RB, _DO)
+                self.on(s, before, _OP, _LB, _LC, _DA, _ST)
+                self.on(s, after if leave is None else leave, _RC)
+            body, star, line = self.state(COMMENT), self.state(COMMENT), self.state(COMMENT)
+            self.on(body, star, _ST)
+            self.on(star, body)
+            self.on(star, star, _ST)
+            self.on(star, before, _SL)
+            self.on(line, before, _NL)
+            rx, rx_esc, rx_set, set_esc = (self.state(CODE) for _ in range(4))
+            self.on(rx, after, _SL)
+            self.on(rx, before, _NL)
+            self.on(rx, rx_esc, _BS)
+            self.on(rx_esc, rx)
+            self.on(rx, rx_set, _LB)
+            self.on(rx_set, rx, _RB)
+            self.on(rx_set, before, _NL)
+            self.on(rx_set, set_esc, _BS)
+            self.on(set_esc, rx_set)
+            starts, divides = self.state(CODE), self.state(CODE)
+            self.rows[starts], self.rows[divides] = list(self.rows[rx]), list(self.rows[before])
+            for s in (starts, divides):
+                self.on(s, line, _SL)
+                self.on(s, body, _ST)
+            self.on(before, starts, _SL)
+            self.on(after, divides, _SL)
+            template, escape, dollar = self.state(STRING), self.state(STRING), self.state(STRING)
+            for s in (before, after):
+                self.on(s, template, _BQ)
+            self.on(template, escape, _BS)
+            self.on(escape, template)
+            self.on(template, after, _BQ)
+            self.on(template, dollar, _DO)
+            self.rows[dollar] = list(self.rows[template])
+            self.on(dollar, code(template, level - 1) if level else template, _LC)
+            if leave is not None and level:  # braces of its own
+                inner = code(after, level - 1)
+                for s in (before, after):
+                    self.on(s, inner, _LC)
+            self.rows[divides][_BQ], self.rows[starts][_BQ] = template, rx
+            return before
+
+        self.starts[name] = code(None, depth)
+
 
 _M = _Machine()
 _M.syntax("c", line="//", block=True, quotes={_DQ: (True, False), _SQ: (True, False)})
-_M.syntax("js", line="//", block=True, quotes={_DQ: (True, False), _SQ: (True, False), _BQ: (True, True)})
+_M.script("js")
+_M.syntax("java", line="//", block=True, quotes={_SQ: (True, False)}, long=(_DQ,))
 _M.syntax("go", line="//", block=True, quotes={_DQ: (True, False), _SQ: (True, False), _BQ: (False, True)})
 _M.syntax("rust", line="//", block=True, quotes={_DQ: (True, True)})
+_M.character(_M.starts["rust"])
 _M.syntax("css", block=True, quotes={_DQ: (True, False), _SQ: (True, False)})
 _M.syntax("sql", line="--", block=True, quotes={_SQ: (False, True), _DQ: (False, False)})
 _M.syntax("shell", line="#", quotes={_DQ: (True, True), _SQ: (False, True)})
 _M.syntax("python", line="#", quotes={}, long=(_DQ, _SQ))
-_NEXT, _KIND = np.array(_M.rows, np.uint8), np.array(_M.kind, np.uint8)
+_NEXT, _KIND = np.array(_M.rows, np.uint16), np.array(_M.kind, np.uint8)
 # The syntax of each language name; unknown names are read as C.
 SYNTAX = {
     "python": "python", "bash": "shell", "shell": "shell", "sh": "shell", "ruby": "shell", "perl": "shell", "yaml": "shell", "r": "shell", "sql": "sql",
-    "javascript": "js", "typescript": "js", "go": "go", "rust": "rust", "css": "css", "c": "c", "cpp": "c", "java": "c",
+    "javascript": "js", "typescript": "js", "go": "go", "rust": "rust", "css": "css", "c": "c", "cpp": "c", "java": "java", "kotlin": "java", "scala": "java", "swift": "java",
 }
 
 
@@ -132,14 +207,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, syntaxes: list[str]) -> list[lis
     events: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(n):
         raw = data[offsets[i] : offsets[i + 1]]
-        cls = _CLASS[raw]
+        cls = (_CLASS_JS if syntaxes[i] == "js" else _CLASS)[raw]
         if syntaxes[i] in ("shell",):
             hashes = np.flatnonzero(cls == _HA)
             before = raw[np.maximum(hashes - 1, 0)]
             word = (hashes > 0) & ~np.isin(before, np.frombuffer(b" \t\n;(|&", np.uint8))
             cls[hashes[word]] = _OTHER
         keep = np.ones(len(cls), bool)
-        keep[1:] = (cls[1:] != _OTHER) | (cls[:-1] != _OTHER)
+        same = cls[1:] == cls[:-1]
+        keep[1:] = ~(same & ((cls[1:] == _OTHER) | (cls[1:] == _WD)))
         at = np.flatnonzero(keep)
         events.append((at, cls[at]))
     order = sorted(range(n), key=lambda i: -len(events[i][0]))
@@ -156,8 +232,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, syntaxes: list[str]) -> list[lis
             lanes[: len(events[i][1]), j] = events[i][1]
         lengths = np.array([len(events[i][0]) for i in group])
         alive = len(group) - np.searchsorted(lengths[::-1], np.arange(1, steps + 1), side="left")
-        state = np.array([_M.starts[syntaxes[i]] for i in group], np.uint8)
-        states = np.empty((steps, len(group)), np.uint8)
+        state = np.array([_M.starts[syntaxes[i]] for i in group], np.uint16)
+        states = np.empty((steps, len(group)), np.uint16)
         for t in range(steps):
             k = alive[t]
             state[:k] = _NEXT[state[:k], lanes[t, :k]]
@@ -204,6 +280,8 @@ def passages(raw: bytes, found: list[tuple[int, int, int]]) -> list[tuple[str, i
     for kind, a, b in found:
         piece = raw[a:b].decode("utf-8", "replace")
         if kind == COMMENT:
+            if piece.endswith("*") and raw[b : b + 1] == b"/":
+                piece = piece[:-1]  # the first half of the mark that closes it
             body = _MARKS.sub("", piece)
             between = raw[last_end:a] if last_kind == COMMENT else b"x"
             if last_kind == COMMENT and between.count(b"\n") <= 1 and not between.strip(b" \t\n/#-*"):
@@ -250,13 +328,13 @@ def train(texts: list[str], discount: float = 0.75) -> np.ndarray:
 
 
 def fit_models(books: DataFrame, *, text: str = "full_text", lang: str = "lang", per_language: int = 150, chars: int = 20000) -> np.ndarray:
-    """Models of the languages of ``LATIN``, fitted to at most ``per_language`` labelled texts each, ``chars`` characters of
-    each.  A second fit leaves out the tenth of each sample that its own language explains worst against the others, as
+    """Models of the languages of ``LATIN``, fitted to at most ``per_language`` labelled texts each, the least by a hash,
+    ``chars`` characters of each.  A second fit leaves out the tenth of each sample that its own language explains worst against the others, as
     labels may be wrong."""
     samples = []
     for code in LATIN:
-        own = books.where(F.lower(F.substring(lang, 1, 2)) == code).where(F.length(text) > 300)
-        samples.append([r[0] for r in own.select(F.substring(text, 1, chars)).limit(per_language).collect()])
+        own = books.where(F.lower(F.substring(lang, 1, 2)) == code).where(F.length(text) > 300).select(F.substring(text, 1, chars).alias("_t"))
+        samples.append([r[0] for r in own.orderBy(F.xxhash64("_t")).limit(per_language).collect()])
     models = np.stack([train(s) for s in samples])
     kept = []
     for i, s in enumerate(samples):
@@ -276,6 +354,7 @@ def fit_models(books: DataFrame, *, text: str = "full_text", lang: str = "lang",
 _SCRIPTS = {
     "ru": re.compile(r"[Ѐ-ӿ]+(?:-[Ѐ-ӿ]+)*"), "el": re.compile(r"[Ͱ-Ͽἀ-῿]+"), "hi": re.compile(r"[ऀ-ॿ]+"), "ar": re.compile(r"[؀-ۿ]+"),
 }
+_NOT_RUSSIAN = re.compile(r"[іїєґўђјљњћџІЇЄҐЎЂЈЉЊЋЏ]")
 _HAN, _KANA = re.compile(r"[㐀-鿿]"), re.compile(r"[぀-ヿ]")
 _LATIN_WORD = re.compile(r"(?<![\w$@.\\/:-])[A-Za-zÀ-ÿœŒ]+(?:[’'-][A-Za-zÀ-ÿœ]+)*(?![\w(=\\/\[{@]|\.\w|-\w|:\w)")
 _TOKEN = re.compile(r"\S+")
@@ -292,7 +371,7 @@ def languages(text: str, models: np.ndarray, comment_words: int = 4, cjk_chars:
     if not text.isascii():
         for code, rx in _SCRIPTS.items():
             words = rx.findall(text)
-            if len(words) >= comment_words:
+            if len(words) >= comment_words and not (code == "ru" and _NOT_RUSSIAN.search(text)):
                 out[code] = sum(map(len, words))
         han = len(_HAN.findall(text))
         kana = len(_KANA.findall(text))
@@ -332,7 +411,8 @@ def code_languages(
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = batch.column(2)
-                offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+                wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+                offsets = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
                 data = np.frombuffer(texts.buffers()[2], np.uint8)
                 keys, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 out = []
