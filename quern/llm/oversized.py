@@ -30,7 +30,8 @@ def boundary_of(text: str, size: int) -> str:
 def cohesion(text: str, gaps: np.ndarray, width: int) -> np.ndarray:
     """Cosine similarity of the ``width`` words on either side of each gap (character offsets).
 
-    The dot product of two count vectors is the number of equal pairs of their words, so no vocabulary is built.
+    The dot product of two count vectors is the number of equal pairs of their words; pairs are counted by their distance,
+    as differences of running sums, so no vocabulary is built and a text of any length takes 2 * ``width`` passes.
     """
     ids: dict[str, int] = {}
     starts, words = [], []
@@ -39,19 +40,18 @@ def cohesion(text: str, gaps: np.ndarray, width: int) -> np.ndarray:
         words.append(ids.setdefault(m.group(), len(ids)))
     if not words:
         return np.zeros(len(gaps))
-    pad = np.concatenate([np.full(width, -1), np.asarray(words), np.full(width, -2)])
-    at = np.searchsorted(np.asarray(starts), gaps) + width
-    out = np.empty(len(gaps))
-    span = np.arange(width)
-    for lo in range(0, len(gaps), 4096):
-        k = at[lo : lo + 4096, None]
-        left, right = pad[k - width + span], pad[k + span]
-        left_ok, right_ok = left >= 0, right >= 0
-        dot = (left[:, :, None] == right[:, None, :]).sum((1, 2))
-        a = ((left[:, :, None] == left[:, None, :]) & left_ok[:, :, None]).sum((1, 2))
-        b = ((right[:, :, None] == right[:, None, :]) & right_ok[:, :, None]).sum((1, 2))
-        out[lo : lo + 4096] = dot / np.sqrt(np.maximum(a * b, 1))
-    return out
+    w, n = np.asarray(words), len(words)
+    at = np.searchsorted(np.asarray(starts), gaps)
+    first, last = np.maximum(at - width, 0), np.minimum(at + width, n)
+    dot, left, right = np.zeros(len(gaps)), (at - first).astype(float), (last - at).astype(float)
+    for lag in range(1, min(2 * width, n)):
+        equal = np.concatenate([[0], np.cumsum(w[:-lag] == w[lag:])])
+        count = lambda a, b: np.where(b > a, equal[np.clip(b, 0, n - lag)] - equal[np.clip(a, 0, n - lag)], 0)  # noqa: B023, E731
+        dot += count(np.maximum(first, at - lag), np.minimum(at, last - lag))
+        if lag < width:
+            left += 2 * count(first, at - lag)
+            right += 2 * count(at, last - lag)
+    return dot / np.sqrt(np.maximum(left * right, 1))
 
 
 def depths(sim: np.ndarray) -> np.ndarray:
@@ -67,11 +67,12 @@ def depths(sim: np.ndarray) -> np.ndarray:
     return np.asarray(climb(values)) + np.asarray(climb(values[::-1])[::-1]) - 2 * sim
 
 
-def pieces(text: str, size: int, overlap: int, width: int = 20) -> Iterator[tuple[int, int]]:
-    """Character ranges, none longer than ``size``, each starting ``overlap`` before the end of the one before.
+def pieces(text: str, size: int, overlap: int, width: int = 20) -> Iterator[tuple[int, int, str]]:
+    """(start, end, boundary) of pieces none longer than ``size``, each starting ``overlap`` before the end of the one before.
 
-    In each window the coarsest kind of boundary found in its later half (else anywhere in it) is used, and of these the
-    gap at the deepest valley of cohesion; a text without any boundary is cut at the limit.
+    Each window is cut at a blank line or else a line feed in its later half, else at one anywhere in it, else between words
+    in its later half or anywhere, and of these at the deepest valley of cohesion; without any boundary it is cut at the
+    limit ('none').  The last piece ends with the text ('end').
     """
     n = len(text)
     levels = [np.unique([m.end() for m in rx.finditer(text)]).astype(int) for rx in (_BLANK, re.compile("\n"), _SPACE)]
@@ -79,27 +80,19 @@ def pieces(text: str, size: int, overlap: int, width: int = 20) -> Iterator[tupl
     start = 0
     while n - start > size:
         low, high = start + overlap + 1, start + size
-        cut = high
-        for floor in (max(low, start + (size + overlap) // 2), low):
-            found = False
-            for k, gaps in enumerate(levels):
-                i, j = np.searchsorted(gaps, [floor, high + 1])
-                if i == j:
-                    continue
-                if k == 2:  # words lie so close that the last one serves
-                    cut = int(gaps[j - 1])
-                else:
-                    if scores[k] is None:
-                        scores[k] = depths(cohesion(text, gaps, width))
-                    d = scores[k][i:j]
-                    cut = int(gaps[i + len(d) - 1 - int(np.argmax(d[::-1]))])
-                found = True
+        half = max(low, start + (size + overlap) // 2)
+        cut, kind = high, "none"
+        for k, floor in ((0, half), (1, half), (0, low), (1, low), (2, half), (2, low)):
+            i, j = np.searchsorted(levels[k], [floor, high + 1])
+            if i < j:
+                if scores[k] is None:
+                    scores[k] = depths(cohesion(text, levels[k], width))
+                d = scores[k][i:j]
+                cut, kind = int(levels[k][i + len(d) - 1 - int(np.argmax(d[::-1]))]), LEVELS[k]
                 break
-            if found:
-                break
-        yield start, cut
+        yield start, cut, kind
         start = cut - overlap
-    yield start, n
+    yield start, n, "end"
 
 
 def split_oversized(
@@ -113,10 +106,12 @@ def split_oversized(
     overlap: str = "overlap",
     width: int = 20,
 ) -> DataFrame:
-    """Pieces (key, text, chunk_idx, chunk_of, start_char, boundary) of every text longer than its group's limit.
+    """Pieces (key, text, chunk_idx, chunk_of, start_char, boundary, cut) of every text longer than its group's limit.
 
     Lengths are code points.  Each piece fits the limit and repeats exactly the last ``overlap`` characters of the piece
-    before, so dropping these restores the text.  ``boundary`` is that of ``boundary_of`` for the whole text.  A null
+    before, so dropping these restores the text.  ``cut`` is the kind of boundary at which the piece ends (paragraph, line,
+    word, none or end), see ``pieces``; ``boundary`` is that of ``boundary_of`` for the whole text, whose stretches would fit
+    without an overlap.  A null
     text, a group without a limit, a null or non-positive limit give no rows; a null overlap is 0 and one not below the
     limit is cut to limit - 1.  Further columns of either input are ignored.  ``limits`` needs one row per group.
     """
@@ -134,7 +129,7 @@ def split_oversized(
             lap = min(max(lap or 0, 0), limit - 1)
             level = boundary_of(t, limit)
             spans = list(pieces(t, limit, lap, width))
-            for i, (a, b) in enumerate(spans):
-                yield k, t[a:b], i, len(spans), a, level
+            for i, (a, b, how) in enumerate(spans):
+                yield k, t[a:b], i, len(spans), a, level, how
 
-    return map_rows(spread(rows), run, f"`{key}` {key_type}, text string, chunk_idx int, chunk_of int, start_char int, boundary string")
+    return map_rows(spread(rows), run, f"`{key}` {key_type}, text string, chunk_idx int, chunk_of int, start_char int, boundary string, cut string")
