@@ -31,33 +31,37 @@ def bisect_exponent(holds, low: float = 0.0, high: float = 1.0, steps: int = 60)
     return low
 
 
-def weights_for_entropy(tokens: dict[str, int], goal: float) -> dict[str, float]:
-    """Source token shares raised to the exponent in [0, 1] at which their entropy is ``goal`` (or the nearest it gets)."""
+def weights_for_entropy(tokens: dict[str, int], goal: float) -> tuple[dict[str, float], float]:
+    """Source token shares raised to a power in [0, 1] and normalised so that their entropy is ``goal`` (or the nearest it
+    gets), and one minus the power: 0 leaves the natural shares, 1 makes all even."""
     total = sum(tokens.values())
     natural = {k: v / total for k, v in tokens.items() if v > 0}
     even = {k: 1 / len(natural) for k in natural}
-    return tempered(natural, even, bisect_exponent(lambda e: entropy(tempered(natural, even, e)) <= goal))
+    exponent = bisect_exponent(lambda e: entropy(tempered(natural, even, e)) <= goal)
+    return tempered(natural, even, exponent), exponent
 
 
-def budgets(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[str, float]:
-    """Tokens to take from each source.
+def budgets(tokens: dict[str, int], target: dict[str, float], repeats: dict[str, int], total: float | str | None = None, goal_entropy: float | None = None) -> tuple[dict[str, float], float]:
+    """Tokens to take from each source, and the exponent of the target in their weights.
 
-    Sources without tokens or with no share take no part.  Without ``total``, the largest total is used at which every
-    other source can give its exact share within its repeats.  With it, the exponent of the target is bisected to the
-    largest at which the repeats suffice, so shares move from the natural ones as far towards the target as can be.
+    Sources without tokens or with no share take no part.  Weights are the natural token shares times (target / natural) to
+    the exponent: natural shares at 0, the target at 1.  The exponent is bisected to the largest at which the repeats of
+    every source suffice for ``total`` tokens ('available': as many as the sources hold).  Without ``total`` it is as many
+    as the repeats allow at the exact target, so the exponent comes out as 1.  With ``goal_entropy`` the target is not
+    the given shares but the natural ones raised to the power that meets this entropy.
     """
     live = {k: n for k, n in tokens.items() if n > 0 and target.get(k, 0) > 0 and repeats.get(k, 0) > 0}
     if not live:
-        return {}
+        return {}, 1.0
+    held = sum(live.values())
+    natural = {k: n / held for k, n in live.items()}
     share_sum = sum(target[k] for k in live)
-    goal = {k: target[k] / share_sum for k in live}
-    if total is None:
-        size = min(live[k] * repeats[k] / goal[k] for k in live)
-        return {k: goal[k] * size for k in live}
-    natural = {k: n / sum(live.values()) for k, n in live.items()}
-    fits = lambda e: all(w * total <= live[k] * repeats[k] * (1 + 1e-12) for k, w in tempered(natural, goal, e).items())
-    weights = tempered(natural, goal, bisect_exponent(fits))
-    return {k: min(w * total, live[k] * repeats[k]) for k, w in weights.items()}
+    goal = {k: target[k] / share_sum for k in live} if goal_entropy is None else weights_for_entropy(live, goal_entropy)[0]
+    most = {k: live[k] * repeats[k] for k in live}
+    size = min(most[k] / goal[k] for k in live if goal[k] > 0) if total is None else held if total == "available" else total
+    fits = lambda e: all(w * size <= most[k] * (1 + 1e-9) for k, w in tempered(natural, goal, e).items())
+    exponent = bisect_exponent(fits)
+    return {k: min(w * size, most[k]) for k, w in tempered(natural, goal, exponent).items()}, exponent
 
 
 def mix(
@@ -71,7 +75,8 @@ def mix(
     share: str = "target_share",
     repeats: str = "max_repeats",
     tokenizer: str = TOKENIZER_PATH,
-    total: int | None = None,
+    total: float | str | None = None,
+    goal_entropy: float | None = None,
     block_rows: int = 20000,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +84,8 @@ def mix(
 
     ``selection`` (mix, source, key, copies, n_tokens) has one row per document used, ``copies`` times, at most its
     source's repeats.  ``shares`` (mix, source, target_share, max_repeats, available_tokens, n_docs, n_tokens,
-    reached_share, most_copies) has one row per target, also where a source is empty (then all zero).  Null texts and
+    reached_share, most_copies, exponent, entropy) has one row per target, also where a source is empty (then all zero);
+    ``exponent`` and the entropy of the shares reached are those of the mix, see ``budgets`` for these and ``total``.  Null texts and
     texts without tokens are not used; null shares or repeats count as 0.  Keys are taken to be unique.
 
     A source's documents are put in an order by hash, in blocks of about ``block_rows``; whole passes are taken first
@@ -94,10 +100,11 @@ def mix(
     # one number a source named in the targets
     size = {r["_s"]: (r["_n"], r["_c"]) for r in counted.groupBy("_s").agg(F.sum("_n").alias("_n"), F.count("*").alias("_c")).collect()}
     rows = goals.collect()
-    wanted = []
+    wanted, exponents = [], []
     for m in sorted({r["_mix"] for r in rows if r["_mix"] is not None}):
         own = [r for r in rows if r["_mix"] == m]
-        take = budgets({r["_s"]: size.get(r["_s"], (0, 0))[0] for r in own}, {r["_s"]: r["_share"] for r in own}, {r["_s"]: r["_max"] for r in own}, total)
+        take, exponent = budgets({r["_s"]: size.get(r["_s"], (0, 0))[0] for r in own}, {r["_s"]: r["_share"] for r in own}, {r["_s"]: r["_max"] for r in own}, total, goal_entropy)
+        exponents.append((m, exponent))
         for s, b in take.items():
             passes = int(b // size[s][0])
             wanted.append((m, s, passes, float(b - passes * size[s][0]), max(1, -(-size[s][1] // block_rows))))
@@ -126,10 +133,13 @@ def mix(
     shares = (
         goals.join(got, ["_mix", "_s"], "left").join(held, "_s", "left").fillna(0, ["_d", "_g", "_c", "_have"])
         .withColumn("_all", F.sum("_g").over(Window.partitionBy("_mix")))
+        .withColumn("_reached", F.when(F.col("_all") > 0, F.col("_g") / F.col("_all")).otherwise(0.0))
+        .withColumn("_entropy", F.sum(F.when(F.col("_reached") > 0, -F.col("_reached") * F.log("_reached")).otherwise(0.0)).over(Window.partitionBy("_mix")))
+        .join(F.broadcast(spark.createDataFrame(exponents, "_mix string, _e double")), "_mix", "left")
         .select(
             F.col("_mix").alias(name), F.col("_s").alias(source), F.col("_share").alias("target_share"), F.col("_max").alias("max_repeats"),
             F.col("_have").alias("available_tokens"), F.col("_d").alias("n_docs"), F.col("_g").alias("n_tokens"),
-            F.when(F.col("_all") > 0, F.col("_g") / F.col("_all")).otherwise(0.0).alias("reached_share"), F.col("_c").alias("most_copies"),
+            F.col("_reached").alias("reached_share"), F.col("_c").alias("most_copies"), F.col("_e").alias("exponent"), F.col("_entropy").alias("entropy"),
         )
     )
     return selection, shares

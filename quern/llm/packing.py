@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_PATH, crc_bucket, cut, map_rows, with_tokens
+from .common import TOKENIZER_PATH, cut, map_rows, with_tokens
 
 
 def _complement(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
@@ -128,7 +128,7 @@ def pack(
     name: str = "pack",
     capacity: str = "capacity",
     tokenizer: str = TOKENIZER_PATH,
-    salts: int = 64,
+    per_salt: int = 20000,
 ) -> DataFrame:
     """(pack, container, key, part, start_token, n_tokens): the container of every document, or part of one, in each pack.
 
@@ -138,18 +138,22 @@ def pack(
     packed as often as they occur.  Columns beyond those named are ignored.
 
     The driver sees only how many items there are of each length, at most ``capacity`` numbers a pack; which item takes
-    which place follows from its rank among the items of its length, counted in ``salts`` independent parts.
+    which place follows from its rank among the items of its length, counted in independent parts by a hash of key and
+    part, as many as keep about ``per_salt`` items in each though all had one length.
     """
     key_type = documents.schema[key].dataType.simpleString()
     docs = documents.select(F.col(key).alias("_k"), F.col(kind).alias("_kind"), F.col(text).alias("_t")).where("_t is not null")
     sizes = packs.select(F.col(name).alias("_pack"), F.col(capacity).alias("_cap"), F.col(kind).alias("_kind")).where("_cap > 0")
     counted = cut(with_tokens(docs.join(sizes.select("_kind").distinct(), "_kind", "left_semi"), "_t", tokenizer, "_n"))
+    held = counted.agg(F.count("*").alias("c"), F.sum("_n").alias("n")).first()
+    least_cap = sizes.agg(F.min("_cap")).first()[0] or 1
+    salts = max(16, ((held["n"] or 0) // least_cap + held["c"]) // per_salt + 1)
     items = (
         counted.join(sizes, "_kind")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_n") / F.col("_cap")) - 1).cast("int"))))
         .withColumn("_start", F.col("_part").cast("long") * F.col("_cap"))
         .withColumn("_size", F.least(F.col("_cap").cast("long"), F.col("_n") - F.col("_start")))
-        .withColumn("_salt", crc_bucket(F.col("_k"), salts))
+        .withColumn("_salt", F.pmod(F.xxhash64("_k", "_part"), F.lit(salts)).cast("int"))
     )
     items = items.where("_size > 0")
     groups = items.groupBy("_pack", "_cap", "_size", "_salt").agg(F.count("*").alias("_c"))
