@@ -34,11 +34,11 @@ _WIKI_CODE = re.compile(r"<(pre|source|syntaxhighlight|nowiki)(?:\s[^>]*)?>(.*?)
 
 _MATH = re.compile(r"\$\$(?P<a>.+?)\$\$|\\\[(?P<b>.+?)\\\]|\\\((?P<c>.+?)\\\)|(?<![\\$\w])\$(?P<d>[^\s$](?:[^$\n]*[^\s$\\])?)\$(?![\w$])", re.S)
 _MATHLIKE = re.compile(r"[\\^_=<>+/{}]|^[A-Za-z]'?$|^[A-Za-z]\(|^\d+[A-Za-z]$|^-?[A-Za-z]\b")
-_TEX = re.compile(r"\\(?:begin|end)\{|(?<![A-Za-z0-9\\])\\[A-Za-z]+\*?(?![A-Za-z])|(?<=[^\W_])\\[a-z]+\{|\w\\(?:ldots|dots|textbf|emph|textit|footnote|cite|label|ref)\b|``[^`\n]{1,400}?''|\\[%&#](?=[\s\w,.;])")
+_TEX = re.compile(r"\\(?:begin|end)\{|(?<![A-Za-z0-9\\])\\[A-Za-z]+\*?(?![A-Za-z])|(?<=[^\W_])\\[a-z]+\{|\w\\(?:ldots|dots|textbf|emph|textit|footnote|cite|label|ref)\b|``[^`\n]+?''|\\[%&#](?=[\s\w,.;])")
 _MD_HEAD = re.compile(r"(?m)^ {0,3}#{1,6}[ \t]+\S.*$")
 _MD = re.compile(
     r"\*\*(?=\S)[^*\n]+(?<=\S)\*\*|(?<!\w)__(?=\S)[^_\n]+(?<=\S)__(?!\w)|~~(?=\S)[^~\n]+~~"
-    r"|(?<![\w*\\])\*(?=[^\s*])[^*\n]{0,200}?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]{0,200}?(?<=[^\s_])_(?![\w_])"
+    r"|(?<![\w*\\])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])"
     r"|(?<!`)`(?!`)[^`\n]+`(?!`)|!?\[[^\]\n]*\]\([^)\s][^)\n]*\)|\[[^\]\n]+\]\[[^\]\n]*\]|\[\^[^\]\s]+\]|(?m:^\[[^\]\n]+\]:\s+\S)|(?m:^```|^~~~)"
     r"|(?m:^ {0,3}> \S)|(?m:^[ \t]*[-*+] \[[ xX]\] )|(?m:^\|?[ \t]*:?-{3,}:?[ \t]*\|)|(?m:^[^\n|#>\-=\s][^\n]*\n={3,}[ \t]*$)"
 )
@@ -103,7 +103,7 @@ def _strip_wiki(text: str) -> str:
         text = _MATH.sub(" ", text)
         text = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?", " ", text)
     if "``" in text and "''" in text:
-        text = re.sub(r"``[^`\n]{1,400}?''", " ", text)
+        text = re.sub(r"``[^`\n]+?''", " ", text)
     if "__" in text:
         text = re.sub(r"__(?:NO)?TOC__", " ", text)
     if "<" in text:
@@ -287,8 +287,9 @@ def markdown_to_text(text: str) -> str:
 
 def wiki_to_text(text: str) -> str:
     text = re.sub(r"<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "", text, flags=re.S)
-    for _ in range(3):  # templates in templates
-        text = re.sub(r"\{\{([^{}]*)\}\}", lambda m: m[1].rsplit("|", 1)[-1], text)
+    changed = 1
+    while changed:  # templates in templates
+        text, changed = re.subn(r"\{\{([^{}]*)\}\}", lambda m: m[1].rsplit("|", 1)[-1], text)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[https?://\S+ ([^\]\n]+)\]", r"\1", text)
     text = re.sub(r"'''''|'''|(?<![\w'])''(?=\S)|(?<=\S)''(?![\w'])", "", text)
@@ -319,7 +320,9 @@ def latex_to_text(text: str) -> str:
 
     text = re.sub(r"\\begin\{(?P<e>equation|align|gather|displaymath|math)\*?\}(?P<a>.+?)\\end\{(?P=e)\*?\}", lambda m: kept.append(m["a"].strip()) or f"\ue000{len(kept) - 1}\ue001", text, flags=re.S)
     text = _MATH.sub(formula, text)
-    for _ in range(4):  # commands in arguments
+    before = None
+    while text != before:  # commands in arguments
+        before = text
         text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
         text = re.sub(r"(?<![A-Za-z]:)(?<![\w.-]\\)\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
     text = text.replace("\\ldots", "…").replace("\\dots", "…").replace("\\\\", "\n")

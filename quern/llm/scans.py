@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, if_small, map_rows, spread
+from .common import cut, map_rows, spread
 
 # What a reader of pages takes for what (seen, meant).
 CONFUSIONS = (
@@ -149,13 +149,9 @@ def variants(word: str, most: int = 2) -> set[str]:
 
 
 def distinct_texts(books: DataFrame, text: str) -> DataFrame:
-    """(_t): each text once.  Copies are told by digests, so only digests are shuffled; the texts that occur more than once
-    are met in a join with one row an occurrence of them left."""
-    rows = books.select(F.col(text).alias("_t")).where(F.length("_t") > 0).withColumn("_h", F.sha2("_t", 256))
-    copied = cut(rows.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
-    single = rows.join(if_small(copied), "_h", "left_anti").select("_t")
-    again = rows.join(if_small(copied), "_h", "left_semi").groupBy("_h").agg(F.first("_t").alias("_t")).select("_t")
-    return single.unionByName(again)
+    """(_t): each text once, by an aggregate over digests that combines the copies of a text before they are shuffled."""
+    rows = books.select(F.col(text).alias("_t")).where(F.length("_t") > 0).withColumn("_h", F.md5("_t"))
+    return rows.groupBy("_h").agg(F.first("_t").alias("_t")).select("_t")
 
 
 def word_counts(books: DataFrame, text: str) -> DataFrame:
