@@ -1,57 +1,62 @@
 """Fixed values of the engine: lists and patterns that define which files it takes and how it reads them."""
 
-# Language of each source-code extension, one language a line.
-LANGUAGE_TABLE = """
-python .py .pyx .pyi
-javascript .js .jsx .mjs .cjs
-typescript .ts .tsx .mts
-c .c .h
-cpp .cpp .hpp .cc .hh .cxx
-rust .rs
-go .go
-java .java
-ruby .rb
-elixir .ex .exs
-zig .zig
-lua .lua
-haskell .hs
-julia .jl
-perl .pl .pm
-r .r .R
-swift .swift
-kotlin .kt .kts
-scala .scala
-csharp .cs
-fsharp .fs .fsx
-clojure .clj .cljs
-erlang .erl .hrl
-ocaml .ml .mli
-nim .nim
-bash .sh .bash
-zsh .zsh
-fish .fish
-powershell .ps1
-sql .sql
-mojo .mojo
-html .html .htm
-css .css
-scss .scss
-sass .sass
-less .less
-vue .vue
-svelte .svelte
-toml .toml
-yaml .yaml .yml
-json .json
-xml .xml
-markdown .md
-rst .rst
-text .txt
-"""
-LANGUAGES = {ext: line.split()[0] for line in LANGUAGE_TABLE.strip().splitlines() for ext in line.split()[1:]}
+# Language of each source-code extension.
+LANGUAGES = {
+    ".py": "python", ".pyx": "python", ".pyi": "python",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript",
+    ".c": "c", ".h": "c",
+    ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".hh": "cpp", ".cxx": "cpp",
+    ".rs": "rust",
+    ".go": "go",
+    ".java": "java",
+    ".rb": "ruby",
+    ".ex": "elixir", ".exs": "elixir",
+    ".zig": "zig",
+    ".lua": "lua",
+    ".hs": "haskell",
+    ".jl": "julia",
+    ".pl": "perl", ".pm": "perl",
+    ".r": "r", ".R": "r",
+    ".swift": "swift",
+    ".kt": "kotlin", ".kts": "kotlin",
+    ".scala": "scala",
+    ".cs": "csharp",
+    ".fs": "fsharp", ".fsx": "fsharp",
+    ".clj": "clojure", ".cljs": "clojure",
+    ".erl": "erlang", ".hrl": "erlang",
+    ".ml": "ocaml", ".mli": "ocaml",
+    ".nim": "nim",
+    ".sh": "bash", ".bash": "bash",
+    ".zsh": "zsh",
+    ".fish": "fish",
+    ".ps1": "powershell",
+    ".sql": "sql",
+    ".mojo": "mojo",
+    ".html": "html", ".htm": "html",
+    ".css": "css",
+    ".scss": "scss",
+    ".sass": "sass",
+    ".less": "less",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".toml": "toml",
+    ".yaml": "yaml", ".yml": "yaml",
+    ".json": "json",
+    ".xml": "xml",
+    ".md": "markdown",
+    ".rst": "rst",
+    ".txt": "text",
+}
 
-# Extensions taken as code beyond those with a language, exact names, directories never entered.
-CODE_EXTENSIONS = (*LANGUAGES, ".v", ".sv", ".ini", ".cfg", ".conf", ".cmake", ".mk")
+# Extensions taken as code, exact names, directories never entered.
+CODE_EXTENSIONS = (
+    ".py", ".pyx", ".pyi", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".c", ".h", ".cpp", ".hpp", ".cc", ".hh", ".cxx", ".rs", ".go",
+    ".java", ".rb", ".ex", ".exs", ".zig", ".lua", ".hs", ".jl", ".pl", ".pm", ".r", ".R", ".swift", ".kt", ".kts", ".scala", ".cs", ".fs", ".fsx",
+    ".clj", ".cljs", ".erl", ".hrl", ".ml", ".mli", ".nim", ".sh", ".bash", ".zsh", ".fish", ".ps1", ".sql", ".mojo", ".html", ".htm", ".css",
+    ".scss", ".sass", ".less", ".vue", ".svelte", ".toml", ".yaml", ".yml", ".json", ".xml", ".md", ".rst", ".txt", ".v", ".sv", ".ini", ".cfg",
+    ".conf", ".cmake", ".mk",
+)
 CODE_NAMES = ("Makefile", "Dockerfile", "Containerfile", "CMakeLists.txt", "Cargo.toml", "go.mod", "package.json", "pyproject.toml", "setup.py", "setup.cfg", ".env.example")
 SKIPPED_DIRECTORIES = (
     ".git", "node_modules", "__pycache__", "build", "dist", "vendor", ".venv", "venv", ".tox", "target", ".next", "coverage",
@@ -59,16 +64,15 @@ SKIPPED_DIRECTORIES = (
 )
 
 # The reader of each document extension.
-READER_TABLE = """
-pdf .pdf
-epub .epub
-mobi .mobi
-text .txt .md .rst
-image .png .jpg .jpeg .bmp .webp .pbm .pgm .ppm .pnm
-tiff .tiff .tif
-djvu .djvu .djv
-"""
-READERS = {ext: line.split()[0] for line in READER_TABLE.strip().splitlines() for ext in line.split()[1:]}
+READERS = {
+    ".pdf": "pdf",
+    ".epub": "epub",
+    ".mobi": "mobi",
+    ".txt": "text", ".md": "text", ".rst": "text",
+    ".png": "image", ".jpg": "image", ".jpeg": "image", ".bmp": "image", ".webp": "image", ".pbm": "image", ".pgm": "image", ".ppm": "image", ".pnm": "image",
+    ".tiff": "tiff", ".tif": "tiff",
+    ".djvu": "djvu", ".djv": "djvu",
+}
 
 # Where a top-level unit begins, by language (Python expressions, applied at line starts).
 UNIT_STARTS = {

@@ -69,14 +69,12 @@ def project_summary(docs: DataFrame, *, group: str = "index_name", path: str = "
     """(group, summary, n_files): each project's file tree, folders below ``depth`` collapsed, and the head of its readme."""
     parts = F.split(path, "/")
     entry = F.when(F.size(parts) <= depth, F.col(path)).otherwise(F.concat(F.array_join(F.slice(parts, 1, depth), "/"), F.lit("/...")))
-    first = F.min(path).over(Window.partitionBy(group, "_entry"))
-    files = docs.select(group, path, entry.alias("_entry")).distinct().withColumn("_first", first)
-    entries = files.groupBy(group, "_entry").agg(F.min("_first").alias("_first"), F.count("*").alias("_n"))
-    order = F.row_number().over(Window.partitionBy(group).orderBy("_first"))
-    shown = entries.withColumn("_i", order)
-    tree = shown.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_i") <= lines, F.struct("_i", "_entry")))).alias("_tree"), F.sum("_n").alias("n_files")
-    )
+    files = docs.select(group, path, entry.alias("_entry")).distinct()
+    entries = files.groupBy(group, "_entry").agg(F.min(path).alias("_first"), F.count("*").alias("_n"))
+    sums = entries.groupBy(group).agg(F.sum("_n").alias("n_files"))
+    # the limit of a window's rank is applied before the shuffle too, so no task sees all entries of a large project
+    shown = entries.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy("_first", "_entry"))).where(F.col("_i") <= lines)
+    tree = shown.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_i", "_entry"))).alias("_tree")).join(sums, group)
     names = ("README.md", "README.rst", "README.txt", "README")
     rank = F.array_position(F.array(*map(F.lit, names)), F.col(path))
     readme = docs.where(F.col(path).isin(*names)).groupBy(group).agg(F.min_by(F.substring(text, 1, readme_chars), rank).alias("_readme"))

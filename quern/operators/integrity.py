@@ -24,6 +24,18 @@ def states(records: DataFrame, indexes: DataFrame) -> DataFrame:
     return rows.join(here, "index_name", "left").select("index_name", "fname", state.alias("state"))
 
 
+def compare(recorded: DataFrame, found: DataFrame, on: list[str], value: str = "sha256") -> DataFrame:
+    """(on, state) of recorded and found files: ok, mismatch, MISSING (recorded only), UNTRACKED_FILE (found only) or
+    untracked (recorded without a value).  Both sides have one row a file."""
+    a = recorded.select(*on, F.col(value).alias("_was"), F.lit(True).alias("_r"))
+    b = found.select(*on, F.col(value).alias("_is"), F.lit(True).alias("_f"))
+    state = (
+        F.when(F.col("_r").isNull(), "UNTRACKED_FILE").when(F.col("_f").isNull(), "MISSING").when(F.col("_was").isNull(), "untracked")
+        .when(F.col("_was") == F.col("_is"), "ok").otherwise("mismatch")
+    )
+    return a.join(b, on, "full").select(*on, state.alias("state"))
+
+
 def _sha256(path: Path) -> str:
     h = hashlib.sha256()
     with path.open("rb") as f:

@@ -32,16 +32,75 @@ def positions(chunks: DataFrame, *, by: list[str], order: list[str]) -> DataFram
     return chunks.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
-def read_range(chunks: DataFrame, *, by: list[str], order: list[str], start: int = 0, count: int = 10, most: int = 30) -> DataFrame:
-    """(by, text, n, remaining): ``count`` chunks (``most`` at once) of each group from ``start``, joined by blank lines."""
+def documents_by_source(asked: DataFrame, documents: DataFrame, *, source: str = "source", text: str = "full_text", most: int = 10) -> DataFrame:
+    """(asked, found, source, text): the documents whose source is exactly the one asked for; where there is none, up to
+    ``most`` sources that contain it, by name, without text; where there are none either, one row with nulls.
+
+    ``asked`` has the column ``asked``.  Sources list the stretches they have of the lengths asked for, so suggestions are
+    an equi-join; only the lengths, one number each, are broadcast.
+    """
+    want = asked.select("asked").where("asked is not null").distinct()
+    docs = documents.select(F.col(source).alias("_s"), F.col(text).alias("_t")).where("_s is not null")
+    exact = want.join(docs, F.col("asked") == F.col("_s")).select("asked", F.lit(True).alias("found"), F.col("_s").alias("source"), F.col("_t").alias("text"))
+    other = want.join(docs.select(F.col("_s").alias("asked")).distinct(), "asked", "left_anti")
+    lengths = other.agg(F.collect_set(F.length("asked")).alias("_ns"))
+    names = docs.select("_s").distinct().join(F.broadcast(lengths))
+    names = names.select("_s", F.explode("_ns").alias("_n")).where((F.col("_n") > 0) & (F.col("_n") <= F.length("_s")))
+    starts = names.select("_s", "_n", F.explode(F.sequence(F.lit(1), F.length("_s") - F.col("_n") + 1)).alias("_i"))
+    like = starts.select("_s", F.expr("substring(_s, _i, _n)").alias("asked")).distinct().join(other, "asked")
+    first = like.withColumn("_r", F.row_number().over(Window.partitionBy("asked").orderBy("_s"))).where(F.col("_r") <= most)
+    some = other.join(first, "asked", "left").select("asked", F.lit(False).alias("found"), F.col("_s").alias("source"), F.lit(None).cast("string").alias("text"))
+    return exact.unionByName(some)
+
+
+def nth_chunk(asked: DataFrame, chunks: DataFrame, *, by: str = "doc_id", order: tuple[str, ...] = ("chunk_idx", "id"), key: str = "id", context: int = 0) -> DataFrame:
+    """(by, n, key, pos, total, is_hit, text): chunk ``n`` (from 0) of each group asked for and ``context`` chunks on either
+    side of it, as they lie in order; a number out of range gives one row with the total alone.
+
+    ``asked`` has the columns ``by`` and ``n``.  Places are counted on keys; texts are fetched for the chunks shown.
+    """
+    want = asked.select(by, "n").where(F.col(by).isNotNull() & F.col("n").isNotNull()).distinct()
+    placed = positions(chunks.select(by, *order).join(want.select(by).distinct(), by, "left_semi"), by=[by], order=[*order])
+    totals = placed.groupBy(by).agg(F.count("*").alias("total"))
+    inside = want.join(totals, by).withColumn("_ok", (F.col("n") >= 0) & (F.col("n") < F.col("total")))
+    spots = inside.where("_ok").withColumn("pos", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - context), F.least(F.col("n") + context, F.col("total") - 1).cast("int"))))
+    shown = spots.join(placed.select(by, "pos", key), [by, "pos"]).join(chunks.select(key, "text"), key)
+    cols = [by, "n", key, "pos", "total", (F.col("pos") == F.col("n")).alias("is_hit"), "text"]
+    kinds = {c: chunks.schema[c].dataType for c in (key, "text")}
+    out = inside.where("not _ok").select(by, "n", F.lit(None).cast(kinds[key]).alias(key), F.lit(None).cast("int").alias("pos"), "total", F.lit(False).alias("is_hit"), F.lit(None).cast("string").alias("text"))
+    return shown.select(*cols).unionByName(out)
+
+
+def listing(documents: DataFrame, chunks: DataFrame, *, index: str = "index_name", containing: str | None = None, most: int | None = 50) -> DataFrame:
+    """(index, total, shown): how many sources each index has and up to ``most`` of them by name with their chunks.
+
+    ``containing`` keeps the sources that contain it, whatever the case, and then all of them are shown.
+    """
+    docs = documents.where(F.col("source").isNotNull())
+    if containing is not None:
+        docs, most = docs.where(F.contains(F.lower("source"), F.lit(containing.lower()))), None
+    counts = chunks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_c"))
+    names = docs.join(counts, "doc_id", "left").groupBy(index, "source").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_chunks"))
+    totals = names.groupBy(index).agg(F.count("*").alias("total"))
+    placed = names.withColumn("_r", F.row_number().over(Window.partitionBy(index).orderBy("source")))
+    placed = placed if most is None else placed.where(F.col("_r") <= most)
+    return placed.join(totals, index).select(index, "total", F.col("_r").alias("n"), "source", "n_chunks")
+
+
+def read_range(chunks: DataFrame, *, by: list[str], order: list[str], key: str = "id", start: int = 0, count: int = 10, most: int = 30) -> DataFrame:
+    """(by, text, n, remaining): ``count`` chunks (``most`` at once) of each group from ``start``, joined by blank lines.
+
+    Places are counted on keys alone; texts are fetched for the chunks shown.
+    """
     if count < 1:
         raise ValueError("count must be at least 1")
     a, b = max(0, start), max(0, start) + min(count, most)
-    placed = positions(chunks, by=by, order=order)
-    inside = (F.col("pos") >= a) & (F.col("pos") < b)
-    got = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "text")))).alias("_t"), F.count("*").alias("_n"))
+    placed = positions(chunks.select(*dict.fromkeys([*by, *order, key])), by=by, order=order)
+    totals = placed.groupBy(*by).agg(F.count("*").alias("_n"))
+    inside = placed.where((F.col("pos") >= a) & (F.col("pos") < b)).select(*by, "pos", key).join(chunks.select(key, "text"), key)
+    got = inside.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t")).join(totals, by)
     joined = F.array_join(F.transform("_t", lambda x: x["text"]), "\n\n")
-    return got.where(F.col("_n") > a).select(*by, joined.alias("text"), F.size("_t").alias("n"), F.greatest(F.col("_n") - b, F.lit(0)).alias("remaining"))
+    return got.select(*by, joined.alias("text"), F.size("_t").alias("n"), F.greatest(F.col("_n") - b, F.lit(0)).alias("remaining"))
 
 
 def detect_source(questions: DataFrame, sources: DataFrame, *, question: str = "text", source: str = "source", least: int = 8) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import integrity
-from .dedup import merge_hashes
+from .dedup import first_of, merge_hashes
 
 TABLES = ("documents", "chunks", "hashes")
 
@@ -31,18 +31,21 @@ class Unsupported(RuntimeError):
 def dense_ids(items: DataFrame, key: str, count: str, base: int, buckets: int = 64, sample: int = 10_000) -> DataFrame:
     """``items`` with ``_first``, the first of ``count`` successive ids of each, from ``base`` in the order of the unique ``key``.
 
-    Keys are cut into ranges at fixed bounds, taken from the ``sample`` keys least by hash, so that a lost task falls into
-    the same range again; totals of the ranges are summed first, and no window holds more than one range.
+    Keys are cut into ranges of about a million, at least ``buckets``, at fixed bounds taken from about ``sample`` keys chosen
+    by hash, so that a lost task falls into the same range again; totals of the ranges are summed first, and no window holds
+    more than one range.
     """
-    seen = sorted(r[0] for r in items.select(key).orderBy(F.xxhash64(key), key).limit(sample).collect())
+    n = items.count()
+    buckets, sample = max(buckets, n // 1_000_000), max(sample, 10 * (n // 1_000_000))
+    share = max(1, n // sample)  # of the keys, by hash: about ``sample`` of them whatever the number
+    seen = sorted(r[0] for r in items.select(key).where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).collect())
     bounds = sorted({seen[i * len(seen) // buckets] for i in range(1, buckets)}) if seen else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    part = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
     ranged = items.withColumn("_part", part)
     totals = ranged.groupBy("_part").agg(F.sum(count).alias("_s"))
     before = totals.withColumn("_off", F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).select("_part", "_off")
     inside = F.sum(count).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col(count)
-    # at most ``buckets`` rows are broadcast
-    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn("_first", F.lit(base) + F.col("_off") + F.col("_in")).drop("_part", "_off", "_in")
+    return ranged.withColumn("_in", inside).join(before, "_part").withColumn("_first", F.lit(base) + F.col("_off") + F.col("_in")).drop("_part", "_off", "_in")
 
 
 def number_documents(documents: DataFrame, base: int) -> DataFrame:
@@ -60,6 +63,23 @@ def add_source(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(docs, "doc_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
 
 
+def ignore_known(new: DataFrame, known: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """The rows of ``new`` whose ``on`` is not in ``known``, the first of each by ``order``: insert or ignore."""
+    fresh = new.join(known.select(*on).distinct(), on, "left_anti")
+    return first_of(fresh.select(*new.columns), on, order)
+
+
+def split_by_source(rows: DataFrame, sources: DataFrame, *, on: list[str], documents: DataFrame | None = None, column: str = "source") -> DataFrame:
+    """``rows`` with ``gone``: whether their source (in ``column``), or that of their document, is one of ``sources``."""
+    gone = sources.select(*on, F.col("source").alias(column)).distinct().withColumn("_g", F.lit(True))
+    marked = rows.join(gone, [*on, column], "left")
+    flag = F.col("_g").isNotNull()
+    if documents is not None:
+        ids = documents.join(sources.select(*on, "source").distinct(), [*on, "source"], "left_semi").select("doc_id").distinct().withColumn("_d", F.lit(True))
+        marked, flag = marked.join(ids, "doc_id", "left"), flag | F.col("_d").isNotNull()
+    return marked.withColumn("gone", flag).select(*rows.columns, "gone")
+
+
 class Index:
     """One index in a folder.  ``kind`` 'documents' also stores whole documents and allows navigation."""
 
@@ -158,7 +178,7 @@ class Index:
             fresh = known.limit(0)
             if documents is not None:
                 last = known.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
-                fresh = number_documents(documents.join(known.select("source"), "source", "left_anti"), last)
+                fresh = number_documents(ignore_known(documents, known, ["source"], documents.columns), last)
             tables["documents"] = known.unionByName(fresh, allowMissingColumns=True)
             ids = tables["documents"].groupBy("source").agg(F.min("doc_id").alias("doc_id"))
             numbered = numbered.drop("doc_id").join(ids, "source", "left")
@@ -169,22 +189,17 @@ class Index:
 
     def remove_source(self, source: str) -> dict[str, int]:
         """Drop everything of one source; a source that nothing names is an error."""
-        out, tables = {}, {}
+        sources = self.spark.createDataFrame([(source,)], "source string")
         docs = self.read("documents") if self.has("documents") else None
-        chunks = self.read("chunks")
-        own = F.col("source").eqNullSafe(source)
+        parts = {
+            "chunks": split_by_source(self.read("chunks"), sources, on=[], documents=docs),
+            "hashes": split_by_source(self.read("hashes"), sources, on=[], column="filename"),
+        }
         if docs is not None:
-            ids = docs.where(own).select(F.col("doc_id").alias("_gone"))
-            chunks = chunks.join(ids, F.col("doc_id") == F.col("_gone"), "left").withColumn("_x", own | F.col("_gone").isNotNull()).drop("_gone")
-            tables["documents"] = docs.where(~own)
-            out["documents"] = docs.where(own).count()
-        else:
-            chunks = chunks.withColumn("_x", own)
-        out["chunks"] = chunks.where("_x").count()
-        if not sum(out.values()):
+            parts["documents"] = split_by_source(docs, sources, on=[])
+        out = {name: df.where("gone").count() for name, df in parts.items()}
+        if not out["chunks"] + out.get("documents", 0):
             raise KeyError(source)
-        hashes = self.read("hashes")
-        tables |= {"chunks": chunks.where("not _x").drop("_x"), "hashes": hashes.where(~F.col("filename").eqNullSafe(source))}
-        out["hashes"] = hashes.where(F.col("filename").eqNullSafe(source)).count()
+        tables = {name: df.where("not gone").drop("gone") for name, df in parts.items()}
         self._commit(tables, {}, self.locked())
         return out

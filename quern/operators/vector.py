@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+def _blocks(rows: DataFrame, parts: int, number: str, keys: str, vecs: str) -> DataFrame:
+    """``rows`` (_k, _v) as ``parts`` numbered rows a length, arrays of keys and vectors."""
+    part = F.pmod(F.xxhash64("_k", F.lit(number)), F.lit(parts)).cast("int").alias(number)
+    return rows.groupBy(part, F.size("_v").alias("_d")).agg(F.collect_list("_k").alias(keys), F.collect_list("_v").alias(vecs))
 
-from .rows import map_columns
 
+def _matrix(column: pa.ListArray, row: int) -> np.ndarray:
+    """A cell that is a list of equally long vectors, without a detour over Python objects."""
+    vectors = column[row].values
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
-def packed(df: DataFrame, key: str, vec: str, block: int, salt: int) -> DataFrame:
-    """Rows of up to about ``block`` vectors, as arrays of keys and vectors."""
-    rows = df.select(F.col(key).alias("_k"), F.col(vec).alias("_v")).where("_k is not null and _v is not null and size(_v) > 0")
-    parts = max(1, -(-rows.count() // block))
-    return rows.groupBy(F.pmod(F.xxhash64("_k", F.lit(salt)), F.lit(parts)).alias("_p"), F.size("_v").alias("_d")).agg(F.collect_list("_k").alias("_ks"), F.collect_list("_v").alias("_vs"))
+
+def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest entries of each row, in order; equal ones by the smaller column."""
+    n = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    row, col = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[keep], col[keep]
 
 
 def top_k(
@@ -25,33 +45,42 @@ def top_k(
     out there.  Scores are rounded to 9 digits before ranking, so that equal vectors tie.  Vectors of another length than
     the query's never meet it, nulls never take part.
 
-    Blocks of queries meet blocks of vectors; each meeting is one matrix product that keeps ``k`` a query, so what is
-    shuffled is k rows a query and block.
+    Numbered blocks of queries meet numbered blocks of vectors.  The side of fewer blocks goes to every block of the other,
+    so the meetings are spread by the numbers of the larger side and that side moves once; each meeting is one matrix
+    product that keeps ``k`` a query, so what is shuffled after it is k rows a query and block.
     """
-    data = packed(vectors, key, vec, block, 0)
-    asks = packed(queries, query_key, vec, max(1, block // 4), 1).select("_d", F.col("_ks").alias("_qs"), F.col("_vs").alias("_qv"))
+    usable = lambda df, c: df.select(F.col(c).alias("_k"), F.col(vec).alias("_v")).where("_k is not null and _v is not null and size(_v) > 0")
+    data, asks = usable(vectors, key), usable(queries, query_key)
+    p, q = (max(1, -(-x.count() // n)) for x, n in ((data, block), (asks, max(1, block // 4))))
     types = [d.schema[c].dataType.simpleString() for d, c in ((queries, query_key), (vectors, key))]
+    data, asks = _blocks(data, p, "_p", "_ks", "_vs"), _blocks(asks, q, "_q", "_qs", "_qv")
+    if p >= q:
+        met = data.join(asks.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))), ["_p", "_d"])
+    else:
+        met = data.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q - 1)))).join(asks, ["_q", "_d"])
+    ddl = f"`{query_key}` {types[0]}, `{key}` {types[1]}, raw double"
+    arrow = to_arrow_schema(T._parse_datatype_string(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs, ks = batch.column(0)[i].values, batch.column(2)[i].values
+                a, b = _matrix(batch.column(1), i), _matrix(batch.column(3), i)
+                if mode == "cosine":
+                    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+                    qs, ks = qs.filter(pa.array(na > 0)), ks.filter(pa.array(nb > 0))
+                    a, b = a[na > 0] / na[na > 0, None], b[nb > 0] / nb[nb > 0, None]
+                if not len(ks) or not len(qs):
+                    continue
+                order = pc.sort_indices(ks)
+                ks, b = ks.take(order), b[order.to_numpy()]
+                s = a @ b.T
+                s = np.round((1 + s) / 2 if mode == "cosine" else s, 9)
+                row, col = best(s, k)
+                yield pa.RecordBatch.from_arrays([qs.take(pa.array(row)), ks.take(pa.array(col)), pa.array(s[row, col])], schema=arrow)
 
-    def run(cols):
-        for qs, qv, ks, vs in zip(cols["_qs"], cols["_qv"], cols["_ks"], cols["_vs"]):
-            a, b, keys = np.asarray(qv, np.float64), np.asarray(vs, np.float64), np.asarray(ks)
-            if mode == "cosine":
-                na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-                qs = [q for q, n in zip(qs, na) if n > 0]
-                keys, a, b = keys[nb > 0], a[na > 0] / na[na > 0, None], b[nb > 0] / nb[nb > 0, None]
-            if not len(keys) or not len(qs):
-                continue
-            s = a @ b.T
-            s = np.round((1 + s) / 2 if mode == "cosine" else s, 9)
-            n = min(k, len(keys))
-            for i, q in enumerate(qs):
-                least = np.partition(s[i], len(keys) - n)[len(keys) - n]
-                at = np.flatnonzero(s[i] >= least)
-                for j in at[np.lexsort((keys[at], -s[i][at]))][:n]:
-                    yield q, keys[j].item() if hasattr(keys[j], "item") else keys[j], float(s[i][j])
-
-    met = map_columns(data.join(asks, "_d").select("_qs", "_qv", "_ks", "_vs"), run, f"`{query_key}` {types[0]}, `{key}` {types[1]}, raw double", 1)
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("raw"), key)))
+    found = met.select("_qs", "_qv", "_ks", "_vs").mapInArrow(run, ddl)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("raw"), key)))
     return ranked.where(F.col("rank") <= k)
 
 

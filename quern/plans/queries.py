@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..fixed import CODE_EXTENSIONS, CODE_NAMES, LANGUAGES, READERS
 from ..functions import text as T
 from ..functions.vectors import l2_normalize
-from ..operators import chunking, dedup, navigation, vector
+from ..operators import chunking, dedup, navigation, search, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,7 +97,7 @@ def nonblank(spark, d):
 def html_to_text(spark, d):
     from ..sources.extract import html_documents
 
-    return html_documents(t(spark, d, "documents").where("full_text rlike '(?i)<(html|body|p|div)[ >]'"), key="doc_id", text="full_text")
+    return html_documents(t(spark, d, "documents"), key="doc_id", text="full_text")
 
 
 # ---- text -----------------------------------------------------------------------------------------------------------
@@ -327,10 +327,32 @@ def auto_source(spark, d):
 # ---- navigation -----------------------------------------------------------------------------------------------------
 
 
-@query("select doc_id, source, full_text, length(full_text) as n_chars from documents d where doc_type = 'book' and source is not null and contains(lower(source), 'tower')")
+@query(
+    "with a as (select distinct filename asked from hashes where filename is not null), e as (select asked, source, full_text from a join documents on source = asked), "
+    "o as (select asked from a where asked not in (select asked from e)), n as (select distinct source from documents where source is not null), "
+    "l as (select asked, source from o join n on contains(source, asked) where asked <> '' qualify row_number() over (partition by asked order by source) <= 10) "
+    "select asked, true as found, source, length(full_text) as n_chars from e union all select o.asked, false, l.source, null from o left join l using (asked)"
+)
 def get_document(spark, d):
-    docs = t(spark, d, "documents").where("doc_type = 'book' and source is not null").where(F.lower("source").contains("tower"))
-    return docs.select("doc_id", "source", "full_text", F.length("full_text").cast("long").alias("n_chars"))
+    """Every name in the hashes, a path or only a base name, asked for as a document."""
+    asked = t(spark, d, "hashes").select(F.col("filename").alias("asked"))
+    return navigation.documents_by_source(asked, t(spark, d, "documents")).select("asked", "found", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "with n as (select index_name, source, sum(coalesce(c, 0))::bigint n_chunks from documents left join (select doc_id, count(*) c from chunks group by 1) using (doc_id) where source is not null group by all) "
+    "select index_name, total, n, source, n_chunks from (select *, count(*) over (partition by index_name) total, row_number() over (partition by index_name order by source) n from n) where n <= 50"
+)
+def listing(spark, d):
+    return navigation.listing(t(spark, d, "documents"), t(spark, d, "chunks"))
+
+
+@query(
+    "with n as (select index_name, source, sum(coalesce(c, 0))::bigint n_chunks from documents left join (select doc_id, count(*) c from chunks group by 1) using (doc_id) where contains(lower(source), 'tower') group by all) "
+    "select *, count(*) over (partition by index_name) total, row_number() over (partition by index_name order by source) n from n"
+)
+def listing_containing(spark, d):
+    return navigation.listing(t(spark, d, "documents"), t(spark, d, "chunks"), containing="Tower")
 
 
 @query("select d.doc_id, d.index_name, d.source, d.doc_type, d.language, d.ocr, count(c.id) as n_chunks from documents d left join chunks c on c.doc_id = d.doc_id group by all")
@@ -375,10 +397,24 @@ def context_window(spark, d):
     return t(spark, d, "chunks").where("doc_id is not null").select("id", "doc_id", F.array_join(F.collect_list("text").over(w), "|").alias("around"))
 
 
-@query("select id, doc_id, (row_number() over (partition by doc_id order by chunk_idx, id) - 1)::int as pos, text from chunks where doc_id is not null qualify pos = 0")
+_NTH = (
+    "with p as (select doc_id, id, text, (row_number() over (partition by doc_id order by chunk_idx, id) - 1)::int pos, count(*) over (partition by doc_id) total from chunks where doc_id is not null), "
+    "k as (select distinct doc_id, total from p) select k.doc_id, {n} as n, p.id, p.pos, k.total, coalesce(p.pos = {n}, false) as is_hit, p.text from k left join p on p.doc_id = k.doc_id and {n} < k.total and p.pos between {n} - {c} and {n} + {c}"
+)
+
+
+@query(_NTH.format(n=1, c=0))
 def get_chunk(spark, d):
-    first = dedup.first_of(t(spark, d, "chunks").where("doc_id is not null").select("doc_id", "chunk_idx", "id", "text"), ["doc_id"], ["chunk_idx", "id"])
-    return first.select("id", "doc_id", F.lit(0).alias("pos"), "text")
+    """The second chunk of every document, and the number of chunks of those that have no second one."""
+    chunks = t(spark, d, "chunks")
+    return navigation.nth_chunk(chunks.select("doc_id", F.lit(1).alias("n")), chunks)
+
+
+@query(_NTH.format(n=3, c=2))
+def chunk_context(spark, d):
+    """The fourth chunk of every document with two on either side."""
+    chunks = t(spark, d, "chunks")
+    return navigation.nth_chunk(chunks.select("doc_id", F.lit(3).alias("n")), chunks, context=2)
 
 
 @query(
@@ -545,24 +581,44 @@ def append_ids(spark, d):
     return dense_ids(pieces, "doc_id", "_n", base).select("doc_id", F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_idx", "_i"), "_first").select("doc_id", "chunk_idx", (F.col("_first") + F.col("chunk_idx")).alias("id"))
 
 
-@query("select doc_id, source from (select *, row_number() over (partition by index_name, source order by doc_id) n from documents) where n = 1 and source is not null")
+_LATE = "timestamptz '2023-01-06'"
+
+
+@query(
+    f"with o as (select index_name, source from documents where source is not null and indexed_at < {_LATE}) "
+    f"select doc_id, source from documents d where source is not null and indexed_at >= {_LATE} and not exists (select 1 from o where o.index_name = d.index_name and o.source = d.source) "
+    "qualify row_number() over (partition by index_name, source order by doc_id) = 1"
+)
 def append_documents_ignore(spark, d):
-    docs = t(spark, d, "documents").where("source is not null").select("index_name", "source", "doc_id")
-    return dedup.first_of(docs, ["index_name", "source"], ["doc_id"]).select("doc_id", "source")
+    """Documents of the later half appended to those before: a known source is ignored, of a repeated one the first counts."""
+    from ..operators.store import ignore_known
+
+    docs = t(spark, d, "documents").where("source is not null").select("index_name", "source", "doc_id", "indexed_at")
+    late = F.col("indexed_at") >= F.lit("2023-01-06 00:00:00").cast("timestamp")
+    return ignore_known(docs.where(late), docs.where(~late), ["index_name", "source"], ["doc_id"]).select("doc_id", "source")
 
 
 @query(
-    "with d as (select index_name, source, count(*) docs from documents where source is not null group by all), c as (select index_name, source, count(*) chunks from chunks where source is not null group by all), "
-    "h as (select index_name, filename source, count(*) hashes from hashes where filename is not null group by all) "
-    "select index_name, source, coalesce(docs, 0) as docs, coalesce(chunks, 0) as chunks, coalesce(hashes, 0) as hashes from d full join c using (index_name, source) full join h using (index_name, source)"
+    "with s as (select distinct index_name, source from documents where contains(source, 'tower')), g as (select doc_id from documents join s using (index_name, source)), "
+    "a as (select 'documents' kind, index_name, (index_name, source) in (select (index_name, source) from s) gone from documents union all "
+    "select 'chunks', index_name, coalesce((index_name, source) in (select (index_name, source) from s), false) or coalesce(doc_id in (select doc_id from g), false) from chunks union all "
+    "select 'hashes', index_name, coalesce((index_name, filename) in (select (index_name, source) from s), false) from hashes) "
+    "select kind, index_name, count(*) filter (gone) as removed, count(*) filter (not gone) as kept from a group by all"
 )
 def remove_source_counts(spark, d):
-    key = ["index_name", "source"]
-    docs = t(spark, d, "documents").where("source is not null").select(*key, F.lit("docs").alias("_w"))
-    chunks = t(spark, d, "chunks").where("source is not null").select(*key, F.lit("chunks").alias("_w"))
-    hashes = t(spark, d, "hashes").where("filename is not null").select("index_name", F.col("filename").alias("source"), F.lit("hashes").alias("_w"))
-    count = lambda w: F.count(F.when(F.col("_w") == w, 1)).alias(w)
-    return docs.unionByName(chunks).unionByName(hashes).groupBy(*key).agg(count("docs"), count("chunks"), count("hashes"))
+    """What goes and what stays when every source with 'tower' in its name is removed."""
+    from ..operators.store import split_by_source
+
+    docs, chunks, hashes = (t(spark, d, x) for x in ("documents", "chunks", "hashes"))
+    sources, on = docs.where(F.col("source").contains("tower")).select("index_name", "source"), ["index_name"]
+    parts = {
+        "documents": split_by_source(docs.select("doc_id", "index_name", "source"), sources, on=on),
+        "chunks": split_by_source(chunks.select("doc_id", "index_name", "source"), sources, on=on, documents=docs),
+        "hashes": split_by_source(hashes.select("index_name", "filename"), sources, on=on, column="filename"),
+    }
+    rows = [df.select(F.lit(kind).alias("kind"), "index_name", "gone") for kind, df in parts.items()]
+    whole = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return whole.groupBy("kind", "index_name").agg(F.count(F.when(F.col("gone"), 1)).alias("removed"), F.count(F.when(~F.col("gone"), 1)).alias("kept"))
 
 
 @query("select id, coalesce(c.source, d.source, '') as source from chunks c left join documents d on c.doc_id = d.doc_id")
@@ -588,3 +644,87 @@ def integrity_diff(spark, d):
 
     known = t(spark, d, "index_meta").select("index_name")
     return states(t(spark, d, "integrity"), known)
+
+
+@query(
+    "with r as (select index_name, filename fname, max_by(hash, (seen_at, hash)) was from hashes where filename is not null group by all), f as (select index_name, source fname, min_by(sha256(full_text), doc_id) now from documents where source is not null group by all) "
+    "select index_name, fname, case when r.fname is null then 'UNTRACKED_FILE' when f.fname is null then 'MISSING' when was is null then 'untracked' when was = now then 'ok' else 'mismatch' end as state "
+    "from (select *, true from r) r full join (select *, true from f) f using (index_name, fname)"
+)
+def integrity_compare(spark, d):
+    """Stored hashes, the latest of each name, against the texts there are."""
+    from ..operators.integrity import compare
+
+    on = ["index_name", "fname"]
+    was = t(spark, d, "hashes").where("filename is not null").groupBy("index_name", F.col("filename").alias("fname")).agg(F.max_by("hash", F.struct("seen_at", "hash")).alias("sha256"))
+    docs = t(spark, d, "documents").where("source is not null").withColumn("_h", dedup.content_hash(F.col("full_text")))
+    now = docs.groupBy("index_name", F.col("source").alias("fname")).agg(F.min_by("_h", "doc_id").alias("sha256"))
+    return compare(was, now, on)
+
+
+# ---- whole runs -----------------------------------------------------------------------------------------------------
+
+
+def _questions(spark, d) -> DataFrame:
+    """The stated query set; every third question is limited to sources of Python."""
+    return _asked(_vectors(spark, d)).withColumn("source_filter", F.when(F.col("qid") % 60 == 0, ".py"))
+
+
+@query(
+    _IP + ", f as (select qid, h.id, raw, coalesce(source, '') source, chunk_idx, chunk_of, coalesce(ocr, false) ocr, c.text from r h join chunks c on c.id = h.id where case when qid % 60 = 0 then rank <= 50 and contains(coalesce(source, ''), '.py') else rank <= 5 end) "
+    "select qid, rank, id, source, chunk_idx, chunk_of, ocr, round(raw, 6) as score, length(text) as n_chars from (select *, (row_number() over (partition by qid order by raw desc, id))::int rank from f) where rank <= 5"
+)
+def search_hits(spark, d):
+    hits = search.search(_questions(spark, d), t(spark, d, "chunks"), _vectors(spark, d), 5)
+    return hits.select("qid", "rank", "id", "source", "chunk_idx", "chunk_of", "ocr", F.round("score", 6).alias("score"), F.length("text").cast("long").alias("n_chars"))
+
+
+_CONTEXT = "string_agg('[context: chunk ' || (n.chunk_idx + 1) || ']' || chr(10) || substring(n.text, 1, 1500), chr(10) || chr(10) order by n.chunk_idx, n.id) filter (n.chunk_idx {0} c.chunk_idx)"
+
+
+@query(
+    _IP + ", h as (select qid, c.id, c.doc_id, raw, coalesce(source, '') source, chunk_idx, chunk_of, coalesce(ocr, false) ocr, text, row_number() over (partition by qid order by raw desc, c.id) rank from r join chunks c on c.id = r.id where rank <= 3), "
+    f"x as (select c.id, {_CONTEXT.format('<')} b, {_CONTEXT.format('>')} a from chunks c join chunks n on n.doc_id = c.doc_id and n.chunk_idx between c.chunk_idx - 1 and c.chunk_idx + 1 and n.id <> c.id where c.id in (select id from h) group by c.id) "
+    "select qid, string_agg('[' || rank || '] ' || source || ' | chunk ' || (chunk_idx + 1) || '/' || chunk_of || ' | score ' || printf('%.3f', raw) || case when ocr then ' [OCR]' || chr(10) || '" + search.OCR_NOTE + "' || chr(10) else '' end || chr(10) || "
+    "coalesce(b || chr(10) || chr(10), '') || substring(text, 1, 3000) || coalesce(chr(10) || chr(10) || a, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as body from h left join x using (id) group by 1"
+)
+def search_rendered(spark, d):
+    """Questions to the text that is shown, each hit with its neighbours."""
+    asked = _asked(_vectors(spark, d))
+    return search.render(search.search(asked, t(spark, d, "chunks"), _vectors(spark, d), 3, context=1))
+
+
+@query()
+def ask_in_words(spark, d):
+    """Questions in words about every source, answered from chunks embedded by hashed words, limited to the source named."""
+    from ..operators.embed import HashingEmbedder, embed
+
+    chunks = t(spark, d, "chunks")
+    embedded = chunks.join(embed(chunks, HashingEmbedder(64), key="id", text="text"), "id")
+    docs = t(spark, d, "documents").where("source is not null")
+    asked = docs.where("doc_type = 'book'").groupBy("source").agg(F.min("doc_id").alias("qid")).select("qid", F.concat(F.lit("What does "), "source", F.lit(" say of the vault?")).alias("text"))
+    return search.ask(asked, embedded, HashingEmbedder(64), 3, sources=docs).select("qid", "rank", "id", "source", F.round("score", 6).alias("score"))
+
+
+_INDEXED = _REASONS.replace("from documents)", "from documents where source is not null)")
+
+
+@query(
+    "with w as (" + _INDEXED + ") select index_name, count(*) filter (reason = 'new') as n_files, count(*) filter (reason in ('stored hash', 'stored name')) as n_known, count(*) filter (reason = 'batch duplicate') as n_repeated, "
+    "coalesce(sum(length(full_text)) filter (reason = 'new'), 0)::bigint as n_chars from w join documents using (doc_id) group by 1"
+)
+def index_outcome(spark, d):
+    """A run that indexes all documents beside the hashes stored by a date: what is new, known and repeated in each index."""
+    return _indexed(spark, d)["meta"].drop("n_chunks")
+
+
+@query()
+def index_chunks(spark, d):
+    """The chunks that such a run stores, with the summaries of projects."""
+    return _indexed(spark, d)["chunks"]
+
+
+def _indexed(spark, d) -> dict[str, DataFrame]:
+    from ..operators.indexing import index_files
+
+    return index_files(t(spark, d, "documents"), t(spark, d, "hashes").where("seen_at < timestamp '2024-07-01 00:00:00'"))
