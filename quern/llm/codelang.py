@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -331,10 +332,13 @@ def fit_models(books: DataFrame, *, text: str = "full_text", lang: str = "lang",
     """Models of the languages of ``LATIN``, fitted to at most ``per_language`` labelled texts each, the least by a hash,
     ``chars`` characters of each.  A second fit leaves out the tenth of each sample that its own language explains worst against the others, as
     labels may be wrong."""
-    samples = []
-    for code in LATIN:
-        own = books.where(F.lower(F.substring(lang, 1, 2)) == code).where(F.length(text) > 300).select(F.substring(text, 1, chars).alias("_t"))
-        samples.append([r[0] for r in own.orderBy(F.xxhash64("_t")).limit(per_language).collect()])
+    rows = books.where(F.length(text) > 300).select(F.lower(F.substring(lang, 1, 2)).alias("_l"), F.xxhash64(text).alias("_h"), F.substring(text, 1, chars).alias("_t"))
+    rows = rows.where(F.col("_l").isin(*LATIN))
+    # only hashes go through the choice; of the texts no more than are asked for leave their tasks
+    least = {code: [r[0] for r in rows.where(F.col("_l") == code).select("_h").orderBy("_h").limit(per_language).collect()] for code in LATIN}
+    wanted = functools.reduce(lambda x, y: x | y, ((F.col("_l") == code) & (F.col("_h") <= max(h)) for code, h in least.items() if h), F.lit(False))
+    found = rows.where(wanted).select("_l", "_h", "_t").distinct().collect() if any(least.values()) else []
+    samples = [[t for _, t in sorted((r["_h"], r["_t"]) for r in found if r["_l"] == code)[:per_language]] for code in LATIN]
     models = np.stack([train(s) for s in samples])
     kept = []
     for i, s in enumerate(samples):

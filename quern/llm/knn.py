@@ -76,8 +76,8 @@ class Codes:
     """The usable vectors of a table, their learned codes and how these are cut into substrings.
 
     ``rows`` holds (_k, _code array<bigint>, _same binary): words of whole substrings, ``each`` a word, the first in the
-    lowest bits; ``_same`` is equal for equal unit vectors.  The rotations are fitted to ``sample`` vectors, the least by a
-    hash of their keys; every vector is coded.
+    lowest bits; ``_same`` is equal for equal unit vectors.  The rotations are fitted to about ``sample`` vectors at most,
+    chosen by a hash of their keys; every vector is coded.
     """
 
     def __init__(self, vectors: DataFrame, key: str, embedding: str, *, similarity: float, miss: float, sample: int):
@@ -88,7 +88,8 @@ class Codes:
         self.floats = usable.where(F.size("_v") == self.dim)
         self.bits, self.tables = code_shape(self.n, similarity, miss)
         self.each = 64 // self.bits
-        chosen = self.floats.orderBy(F.xxhash64("_k")).limit(sample).select("_v").collect()
+        share = -(-self.n // sample) or 1
+        chosen = self.floats.where(F.pmod(F.xxhash64("_k"), F.lit(share)) == 0).select("_v").collect()
         first, ok = _unit([r["_v"] for r in chosen], self.dim)
         dim, bits, tables, each = self.dim, self.bits, self.tables, self.each
         basis = learn_rotations(first[ok], -(-tables * bits // dim))[:, : tables * bits]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -44,8 +45,13 @@ def _shape(line: str) -> str:
     return re.sub(r"[IL1]", "I", s)
 
 
+_LOWER = re.compile("[a-km-zß-öø-ÿα-ωа-я]")
+
+
 def _capitals(line: str) -> bool:
     """A line of capitals with at least two words; digits may stand for letters."""
+    if len(_LOWER.findall(line)) > 0.03 * len(line):
+        return False
     words = line.split()
     letters = [c for c in line if c.isalpha()]
     return len(words) >= 2 and len(letters) >= 6 and sum(c.isupper() or c == "l" for c in letters) >= 0.97 * len(letters) and sum(c.isupper() for c in letters) >= 0.7 * len(letters)
@@ -58,7 +64,7 @@ def page_lines(lines: list[str]) -> set[int]:
     heads: dict[str, list[int]] = defaultdict(list)
     for i, raw in enumerate(lines):
         line = raw.strip()
-        if not line or len(line) > 90:
+        if not line:
             continue
         m = _NUMBER.match(line)
         if m and (v := _value(m["n"])) is not None:
@@ -73,7 +79,11 @@ def page_lines(lines: list[str]) -> set[int]:
             numbers[i] = (v, True)
         elif _capitals(line):
             heads[_shape(line)].append(i)
-        elif len(line) < 60 and not _TERMINAL.search(line):
+    near_numbers = {j for i in numbers for j in (i - 1, i + 1)}
+    for i, raw in enumerate(lines):
+        line = raw.strip()
+        # a running head in small letters is short or stands beside a number
+        if line and i not in numbers and (len(line) < 60 or i in near_numbers) and not _CHAPTER.match(line) and not _capitals(line) and not _TERMINAL.search(line):
             heads["~" + _shape(line)].append(i)
     values = Counter(v for v, _ in numbers.values())
     for i, (v, marked) in numbers.items():
@@ -101,11 +111,12 @@ def page_lines(lines: list[str]) -> set[int]:
     return out
 
 
-def scan_lines(text: str, ocr: bool | None) -> tuple[list[str], set[int], list[tuple[int, str, str, str]], bool]:
-    """Lines, page lines, breaks (line, head, mark, tail) and whether the text comes from a scan."""
+def scan_lines(text: str, ocr: bool | None) -> tuple[list[str], set[int], list[tuple[int, str, str, str, int]]]:
+    """Lines (blank where they are markup), page lines, and breaks (line, head, mark, tail, line of the tail)."""
     lines = text.split("\n")
-    if "```" in text or "\\begin{" in text or re.search(r"</?(?:p|div|html|pre|li|h\d)\b", text, re.I):
-        return lines, set(), [], False  # marked-up text was not read from pages
+    marked = marked_lines(lines) if "```" in text or "\\begin{" in text or _BLOCK_TAG.search(text) else set()
+    # stretches of markup were not read from pages; their lines are blank to what is asked here
+    lines = ["" if i in marked else x for i, x in enumerate(lines)] if marked else lines
     pages = page_lines(lines)
     if not ocr and len(pages) == 1 and not any(c.isdigit() for c in lines[min(pages)].strip()):
         i = min(pages)
@@ -125,8 +136,8 @@ def scan_lines(text: str, ocr: bool | None) -> tuple[list[str], set[int], list[t
             continue
         tail = re.match(r"\s*((?:[^\W_]|[@|$!](?=[^\W_]))+(?:[-’'][^\W\d_]+)*)", lines[j])
         if tail:
-            breaks.append((i, m[1], m[2], tail[1]))
-    return lines, pages, breaks, bool(ocr) or bool(pages) or bool(breaks)
+            breaks.append((i, m[1], m[2], tail[1], j))
+    return lines, pages, breaks
 
 
 def variants(word: str, most: int = 2) -> set[str]:
@@ -141,8 +152,6 @@ def variants(word: str, most: int = 2) -> set[str]:
                     if w.startswith(a, i):
                         following.add((w[:i] + b + w[i + len(a) :], i + len(b)))
         found |= {w for w, _ in following}
-        if len(following) > 400:
-            break
         layer = following
     found.discard(word)
     return {w for w in found if w.isalpha()}
@@ -169,14 +178,25 @@ def word_counts(books: DataFrame, text: str) -> DataFrame:
     return map_rows(spread(distinct_texts(books, text)), run, "word string, n bigint", 2048).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def misread_words(counts: DataFrame, *, known: int = 10, ratio: int = 20) -> DataFrame:
-    """(word, fix) of the words that are a known word seen through misreadings: the known word occurs at least ``known``
-    times and ``ratio`` times as often for each misreading it takes.  Only shares of words decide, whatever the size.  Of several the one with fewest misreadings, then the
-    most frequent, is meant."""
+# ---- the lattice ------------------------------------------------------------------------------------------------------
+#
+# A word costs -log of its share of all words, a misreading log(20), two log(40), one that leaves a sign in the word log(3), a
+# blank lost or added log(1000).  An edge of the lattice takes one or two words of the text to the words they stand for; its
+# gain is what it saves against the words as they stand.  Edges depend on the words alone, so each is found once for all
+# places where the words stand; the best path through a line is chosen there.
+
+BLANK, LETTER = math.log(1000), 0.75
+
+
+def misread_words(words: DataFrame, counts: DataFrame, *, known: int = 10, ratio: int = 20) -> DataFrame:
+    """(word, fix, gain) of ``words`` (word, n) that are a known word seen through one or two misreadings.
+
+    The known word occurs at least ``known`` times and gains: it is ``ratio`` times as frequent for each misreading, three
+    times if a sign shows it.  Of several the one with fewest misreadings, then the most frequent, is meant."""
 
     def run(cols: dict[str, list]):
         for w, n in zip(cols["word"], cols["n"]):
-            if len(w) >= 2 and len(w) <= 40 and not _CJK.search(w):
+            if len(w) >= 2 and not _CJK.search(w):
                 one = variants(w, 1)
                 for v in one:
                     yield w, n, v, 1
@@ -188,11 +208,55 @@ def misread_words(counts: DataFrame, *, known: int = 10, ratio: int = 20) -> Dat
                     for v in variants(low, 1) - {x[0].lower() + x[1:] for x in one}:
                         yield w, n, v, 2
 
-    guesses = map_rows(counts, run, "word string, n bigint, fix string, edits int", 1024)
+    guesses = map_rows(words, run, "word string, n bigint, fix string, edits int", 1024)
     good = counts.where(F.col("n") >= known).select(F.col("word").alias("fix"), F.col("n").alias("m"))
     odd = F.col("word").rlike(f"[{_SYMBOL}]")
-    hits = guesses.join(good, "fix").where((F.col("m") >= ratio * F.col("edits") * F.col("n")) | (odd & (F.col("m") >= 3 * F.col("n"))))
-    return hits.groupBy("word").agg(F.max_by("fix", F.struct(-F.col("edits"), "m", "fix")).alias("fix"))
+    least = F.when(odd, F.least(F.lit(3), ratio * F.col("edits"))).otherwise(ratio * F.col("edits"))
+    gain = (F.log("m") - F.log("n") - F.log(least)).alias("gain")
+    hits = guesses.join(good, "fix").select("word", "fix", "edits", "m", gain).where("gain >= -1e-9")
+    best = F.struct(-F.col("edits"), "m", "fix")
+    return hits.groupBy("word").agg(F.max_by("fix", best).alias("fix"), F.max_by("gain", best).alias("gain"))
+
+
+def blank_edges(words: DataFrame, pairs: DataFrame, counts: DataFrame, total: int, *, known: int = 10) -> DataFrame:
+    """(word, other, fix, gain): words that are two with the blank lost (other null), and pairs that are one word with a
+    blank added or two with the blank displaced by up to two letters."""
+    size = F.lit(math.log(max(2, total)))
+    good = counts.where((F.col("n") >= known) & F.col("word").rlike(r"^\p{L}{2,}$"))
+    first = good.select(F.col("word").alias("_u"), F.log("n").alias("_lu"))
+    second = good.select(F.col("word").alias("_v"), F.log("n").alias("_lv"))
+    as_seen = F.log("n") - F.when(F.col("n") < known, LETTER * F.length("word")).otherwise(0.0)  # a word as it stands
+    log_n = counts.select("word", as_seen.alias("_ln"))
+    long = words.where(F.length("word") >= 4).withColumn("_i", F.explode(F.sequence(F.lit(2), F.length("word") - 2)))
+    cut_ = long.select("word", as_seen.alias("_ln"), F.expr("substring(word, 1, _i)").alias("_u"), F.expr("substring(word, _i + 1)").alias("_v"))
+    lost = cut_.join(first, "_u").join(second, "_v")
+    lost = lost.select("word", F.lit(None).cast("string").alias("other"), F.concat_ws(" ", "_u", "_v").alias("fix"), (F.col("_lu") + F.col("_lv") - F.col("_ln") - size - BLANK).alias("gain"))
+    own = pairs.join(log_n, "word").withColumnRenamed("_ln", "_la").join(log_n.select(F.col("word").alias("other"), F.col("_ln").alias("_lb")), "other")
+    added = own.withColumn("_u", F.concat("word", "other")).join(first, "_u")
+    added = added.select("word", "other", F.col("_u").alias("fix"), (size - F.col("_la") - F.col("_lb") + F.col("_lu") - BLANK).alias("gain"))
+    moved = own.withColumn("_d", F.explode(F.array(*map(F.lit, (-2, -1, 1, 2))))).withColumn("_at", F.length("word") + F.col("_d"))
+    moved = moved.withColumn("_w", F.concat("word", "other")).where((F.col("_at") >= 2) & (F.col("_at") <= F.length("_w") - 2))
+    moved = moved.select("word", "other", "_la", "_lb", F.expr("substring(_w, 1, _at)").alias("_u"), F.expr("substring(_w, _at + 1)").alias("_v")).join(first, "_u").join(second, "_v")
+    moved = moved.select("word", "other", F.concat_ws(" ", "_u", "_v").alias("fix"), (F.col("_lu") + F.col("_lv") - F.col("_la") - F.col("_lb") - 2 * BLANK).alias("gain"))
+    edges = lost.unionByName(added).unionByName(moved).where(F.col("gain") >= math.log(20))
+    return edges.groupBy("word", "other").agg(F.max_by("fix", F.struct("gain", "fix")).alias("fix"), F.max("gain").alias("gain"))
+
+
+def best_path(edges: list[tuple[int, int, float, int]]) -> list[int]:
+    """Of edges (first word, number of words, gain, name) of one line the names of those on its best path."""
+    by_start: dict[int, list[tuple[int, int, float, int]]] = defaultdict(list)
+    for e in edges:
+        by_start[e[0]].append(e)
+    best: dict[int, tuple[float, list[int]]] = {}
+    last = max((e[0] + e[1] for e in edges), default=0)
+    for at in range(last, -1, -1):
+        found = best.get(at + 1, (0.0, []))
+        for _, n, gain, name in by_start.get(at, ()):
+            rest = best.get(at + n, (0.0, []))
+            if gain + rest[0] >= found[0]:
+                found = (gain + rest[0], [name, *rest[1]])
+        best[at] = found
+    return best[0][1] if best else []
 
 
 def scan_noise(
@@ -201,63 +265,91 @@ def scan_noise(
     """Noisy lines of books, and what repairs them.
 
     ``noise`` (key, line_no, kind) names lines from 1: 'page' for running heads, feet and page numbers, 'hyphen' for a word
-    broken by the line end alone, 'chars' for a line with a misread word.  ``fixes`` (key, line_no, word, fix) are the
-    words to put.  Null and empty texts give no rows; a null ocr counts as unknown.  Keys should be unique.
-
-    The words of every book are judged, whatever its flag and whether or not it shows lines of pages.  Words are judged by the counts of the whole corpus, in joins.  Only the ``common`` most frequent words, a bound, go to
-    the workers, to spare words that need no judgement the way through a shuffle.
+    broken by the line end alone, 'chars' for a line with a misread word.  ``fixes`` (key, line_no, word, fix, glued) are the
+    words to put: a word for a word, two for one, one or two for two, and with ``glued`` for the word that a broken line
+    makes with the next.  Null and empty texts give no rows; a null ocr counts as unknown.  Keys should be unique.
+
+    The words of every book are judged, whatever its flag and whether or not it shows lines of pages, in one lattice over
+    its stream of words without page lines: misread words, blanks lost, added and displaced, and words broken by line ends,
+    joined and read together.  Counts are those of the whole corpus, met in joins.  Only the ``common`` most frequent words, a
+    bound, go to the workers: these need no judgement by themselves, and pairs of two of them are not looked at.
     """
     key_type = documents.schema[key].dataType.simpleString()
     books = documents.where(F.col(kind) == book)
     counts = cut(word_counts(books, text))
-    misread = cut(misread_words(counts))
-    lexicon = frozenset(
-        r[0] for r in counts.join(misread.select("word"), "word", "left_anti").where("n >= 20").orderBy(F.desc("n"), "word").limit(common).select("word").collect()
-    )
+    misread = cut(misread_words(counts, counts))
+    usual = counts.join(misread.select("word"), "word", "left_anti").where("n >= 20")
+    lexicon = frozenset(r[0] for r in usual.orderBy(F.desc("n"), "word").limit(common).select("word").collect())
     rows = books.select(F.col(key).alias("_k"), F.col(ocr).alias("_ocr"), F.col(text).alias("_t")).where(F.length("_t") > 0)
 
     def look(cols: dict[str, list]):
         for k, flag, t in zip(cols["_k"], cols["_ocr"], cols["_t"]):
-            lines, pages, breaks, _ = scan_lines(t, flag)
+            lines, pages, breaks = scan_lines(t, flag)
             for i in pages:
-                yield k, i + 1, "page", None, None, None
-            broken = {i: head for i, head, _, _ in breaks}
-            carried = set()
-            for i, head, mark, tail in breaks:
+                yield k, i + 1, 0, "page", None, None, None, None
+            broken, carried = {b[0] for b in breaks}, {b[4] for b in breaks}
+            for i, head, mark, tail, j in breaks:
                 first = re.match(r"(?:[^\W_]|[@|$!])+", tail).group()
-                yield k, i + 1, "hyphen", head.lstrip("’'") + first, head + "-" + first, mark
-                j = i + 1
-                while j < len(lines) and (j in pages or not lines[j].strip()):
-                    j += 1
-                carried.add(j)
-            if lexicon.issuperset(WORD.findall(t)):
-                continue
+                head = head.lstrip("’'")
+                yield k, i + 1, len(head), "hyphen", head + first, head + "-" + first, mark, j + 1
             for i, line in enumerate(lines):
-                if i in pages or not line:
+                if not line or i in pages:
                     continue
                 words = WORD.findall(line)
-                if i in broken and words:
-                    words = words[:-1]
-                if i in carried and words:
-                    words = words[1:]
-                for w in words:
-                    if w not in lexicon:
-                        yield k, i + 1, "word", w, None, None
-
-    asked = cut(map_rows(spread(rows), look, f"_k {key_type}, line_no int, what string, word string, other string, mark string", 256))
+                lo, hi = int(i in carried), len(words) - (i in broken)
+                odd = [x for x in range(lo, hi) if words[x] not in lexicon]
+                if not odd:
+                    continue
+                for x in odd:
+                    yield k, i + 1, x, "word", words[x], None, None, None
+                spans = None
+                for x in sorted({y for x in odd for y in (x - 1, x) if lo <= y < hi - 1}):
+                    a, b = words[x], words[x + 1]
+                    if a.isalpha() and b.isalpha() and not _CJK.search(a):
+                        spans = spans or [m.span() for m in WORD.finditer(line)]
+                        if spans[x + 1][0] - spans[x][1] == 1 and line[spans[x][1]] == " ":
+                            yield k, i + 1, x, "pair", a, b, None, None
+
+    asked = cut(map_rows(spread(rows), look, f"_k {key_type}, line_no int, pos int, what string, word string, other string, mark string, tail_no int", 256))
     page = asked.where("what = 'page'").select(F.col("_k").alias(key), "line_no", F.lit("page").alias("kind"))
-    words = asked.where("what = 'word'").select("_k", "line_no", "word").join(misread, "word")
+    odd_words = asked.where("what = 'word'").select("_k", "line_no", "pos", "word")
+    odd_pairs = asked.where("what = 'pair'").select("_k", "line_no", "pos", "word", "other")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    alone = odd_words.select("word").distinct().join(counts, "word").where(F.col("word").rlike(r"^\p{L}+$"))
+    blanks = cut(blank_edges(alone, odd_pairs.select("word", "other").distinct(), counts, total))
+
+    one = odd_words.join(misread.withColumn("chars", F.lit(True)).unionByName(blanks.where("other is null").drop("other").withColumn("chars", F.lit(False))), "word")
+    two = odd_pairs.join(blanks.where("other is not null").withColumn("chars", F.lit(False)), ["word", "other"])
+    edges = one.select("_k", "line_no", F.struct("pos", F.lit(1).alias("n"), "word", "fix", "gain", "chars").alias("_e"))
+    edges = edges.unionByName(two.select("_k", "line_no", F.struct("pos", F.lit(2).alias("n"), F.concat_ws(" ", "word", "other").alias("word"), "fix", "gain", "chars").alias("_e")))
+
+    def decode(cols: dict[str, list]):
+        for k, line, found in zip(cols["_k"], cols["line_no"], cols["_es"]):
+            found = sorted(found, key=lambda e: (e["pos"], e["n"], e["fix"]))
+            for i in best_path([(e["pos"], e["n"], e["gain"], i) for i, e in enumerate(found)]):
+                yield k, line, found[i]["word"], found[i]["fix"], found[i]["chars"]
+
+    by_line = edges.groupBy("_k", "line_no").agg(F.collect_list("_e").alias("_es"))
+    chosen = cut(map_rows(by_line, decode, f"_k {key_type}, line_no int, word string, fix string, chars boolean", 2048))
+
+    hyphens = asked.where("what = 'hyphen'").select("_k", "line_no", "pos", "word", "other", "mark", "tail_no")
     joined = (
-        asked.where("what = 'hyphen'").select("_k", "line_no", "word", "other", "mark")
-        .join(counts.select("word", F.col("n").alias("n_joined")), "word", "left")
+        hyphens.join(counts.select("word", F.col("n").alias("n_joined")), "word", "left")
         .join(counts.select(F.col("word").alias("other"), F.col("n").alias("n_hyphen")), "other", "left")
         .fillna(0, ["n_joined", "n_hyphen"])
     )
     hyphen = joined.where((F.col("n_joined") > F.col("n_hyphen")) | (F.col("n_hyphen") == 0))
-    noise = page.unionByName(words.select(F.col("_k").alias(key), "line_no", F.lit("chars").alias("kind")).distinct()).unionByName(
+    # a broken word is read as the word it makes: one that is known nowhere else counts as seen once
+    strange = hyphen.where("n_joined < 20 and mark <> '='").select("word", F.greatest("n_joined", F.lit(1)).alias("n")).distinct()
+    glued = cut(hyphen.join(misread_words(strange, counts), "word"))
+    head_same = F.expr("substring(fix, 1, pos) = substring(word, 1, pos)")
+    where_ = glued.select("_k", F.when(head_same, F.col("tail_no")).otherwise(F.col("line_no")).alias("line_no"))
+    chars = chosen.where("chars").select("_k", "line_no").unionByName(where_).distinct()
+    noise = page.unionByName(chars.select(F.col("_k").alias(key), "line_no", F.lit("chars").alias("kind"))).unionByName(
         hyphen.select(F.col("_k").alias(key), "line_no", F.lit("hyphen").alias("kind")).distinct()
     )
-    return noise, words.select(F.col("_k").alias(key), "line_no", "word", "fix")
+    fixes = chosen.select("_k", "line_no", "word", "fix", F.lit(False).alias("glued")).unionByName(glued.select("_k", "line_no", "word", "fix", F.lit(True).alias("glued")))
+    return noise, fixes.withColumnRenamed("_k", key)
 
 
 def paragraphs(lines: list[str], hard: set[int]) -> list[list[int]]:
@@ -298,8 +390,12 @@ def paragraphs(lines: list[str], hard: set[int]) -> list[list[int]]:
     return out[::-1]
 
 
-def decode(word: str, fixes: dict[str, str]) -> str:
-    return fixes.get(word, word)
+def put(line: str, fixes: dict[str, str]) -> str:
+    """A line with words, and pairs of words, put for others."""
+    for pair, fix in fixes.items():
+        if " " in pair:
+            line = re.sub(rf"(?<!\w){re.escape(pair)}(?!\w)", lambda _: fix, line)  # noqa: B023
+    return WORD.sub(lambda m: fixes.get(m.group(), m.group()), line)
 
 
 def marked_lines(lines: list[str]) -> set[int]:
@@ -325,9 +421,9 @@ def hard_wrapped(lines: list[str]) -> bool:
     return len(inner) >= 2 and width <= 120 and full >= 0.7 * len(inner)
 
 
-def repair(text: str, pages: set[int], hyphens: set[int], fixes: dict[int, dict[str, str]]) -> str:
-    """Continuous paragraphs of a scanned text: page lines go, broken words are joined, misread words are put right.
-    Lines of marked-up stretches stay lines."""
+def repair(text: str, pages: set[int], hyphens: set[int], fixes: dict[int, dict[str, str]], glued: dict[str, str] | None = None) -> str:
+    """Continuous paragraphs of a scanned text: page lines go, broken words are joined, misread words are put right, also
+    joined ones (``glued``).  Lines of marked-up stretches stay lines."""
     lines, hard, gap, at_page = [], set(), False, False
     glue: set[int] = set()
     raw: set[int] = set()
@@ -345,7 +441,7 @@ def repair(text: str, pages: set[int], hyphens: set[int], fixes: dict[int, dict[
         gap = at_page = False
         own = fixes.get(i + 1)
         if own:
-            line = WORD.sub(lambda m: decode(m.group(), own), line)
+            line = put(line, own)
         if i in marked:
             raw.add(len(lines))
         elif i + 1 in hyphens:
@@ -368,7 +464,7 @@ def repair(text: str, pages: set[int], hyphens: set[int], fixes: dict[int, dict[
                     piece = lines[i].strip()
                     joined = bool(s) and (i - 1 in glue or s.endswith("-") and piece[:1].islower() or (_CJK.search(s[-1]) is not None and _CJK.search(piece[:1]) is not None))
                     s = s + piece if joined or not s else s + " " + piece
-                out.append(s)
+                out.append(put(s, glued) if glued else s)
         at = to
     return "\n\n".join(out)
 
@@ -381,18 +477,19 @@ def repair_scans(documents: DataFrame, *, key: str = "doc_id", text: str = "full
     lines = noise.groupBy(key).agg(
         *(F.collect_set(F.when(F.col("kind") == k, F.col("line_no"))).alias(f"_{k}") for k in ("page", "hyphen", "chars"))
     )
-    words = fixes.groupBy(key).agg(F.collect_set(F.struct("line_no", "word", "fix")).alias("_fixes"))
+    words = fixes.groupBy(key).agg(F.collect_set(F.struct("line_no", "word", "fix", "glued")).alias("_fixes"))
     books = documents.where((F.col(kind) == book) & (F.length(text) > 0))
     rows = books.select(F.col(key), F.col(ocr).alias("_ocr"), F.col(text).alias("_t")).join(lines, key, "left").join(words, key, "left")
 
     def run(cols: dict[str, list]):
         for k, flag, t, p, h, c, f in zip(*(cols[x] for x in (key, "_ocr", "_t", "_page", "_hyphen", "_chars", "_fixes"))):
             p, h, c = p or (), h or (), c or ()
-            if not (flag or p or h or c or hard_wrapped(t.split("\n"))):
+            if not (flag or p or h or c or f or hard_wrapped(t.split("\n"))):
                 continue
             own: dict[int, dict[str, str]] = defaultdict(dict)
+            glued = {}
             for x in f or ():
-                own[x["line_no"]][x["word"]] = x["fix"]
-            yield k, repair(t, set(p), set(h), own), len(p), len(h), len(c)
+                (glued if x["glued"] else own[x["line_no"]])[x["word"]] = x["fix"]
+            yield k, repair(t, set(p), set(h), own, glued), len(p), len(h), len(c)
 
     return map_rows(rows, run, f"`{key}` {key_type}, text string, n_page int, n_hyphen int, n_chars int", 128)

@@ -238,7 +238,30 @@ def test_copies_and_size_do_not_decide(spark):
     noise, fixes = scans.scan_noise(docs(spark, *base, *copies))
     assert noise.where("kind = 'chars'").count() == 40 and {r.word for r in fixes.collect()} == {"tbe"}
     counts = spark.createDataFrame([("tbe", 3000), ("the", 900000), ("0f", 2500), ("of", 800000)], "word string, n long")
-    assert {(r.word, r.fix) for r in scans.misread_words(counts).collect()} == {("tbe", "the"), ("0f", "of")}
+    assert {(r.word, r.fix) for r in scans.misread_words(counts, counts).collect()} == {("tbe", "the"), ("0f", "of")}
+
+
+def test_blanks_lost_added_and_displaced(spark):
+    base = [(i, PROSE * 40 + f"Copy {i}.") for i in range(10, 30)]
+    bad = [(1, "The quiet harbourkeeps the old map."), (2, "The quiet harb our keeps the old map."), (3, "The quie tharbour keeps tbe old map."), (4, "The qui-\net harb0ur keeps the old br-\nidgc.")]
+    rows = docs(spark, *base, *bad)
+    noise, fixes = scans.scan_noise(rows)
+    got = {k: {(r.word, r.fix) for r in fixes.where(f"doc_id = {k}").collect()} for k in (1, 2, 3, 4)}
+    assert got == {1: {("harbourkeeps", "harbour keeps")}, 2: {("harb our", "harbour")}, 3: {("quie tharbour", "quiet harbour"), ("tbe", "the")}, 4: {("harb0ur", "harbour"), ("bridgc", "bridge")}}
+    assert {(r.doc_id, r.line_no, r.kind) for r in noise.collect()} == {(3, 1, "chars"), (4, 1, "hyphen"), (4, 2, "chars"), (4, 2, "hyphen"), (4, 3, "chars")}
+    repaired = {r.doc_id: r.text for r in scans.repair_scans(rows).where("doc_id < 5").collect()}
+    assert set(repaired.values()) == {"The quiet harbour keeps the old map.", "The quiet harbour keeps the old bridge."} and repaired.keys() == {1, 2, 3, 4}
+
+
+def test_markup_in_a_scan_hides_only_itself(spark):
+    base = [(i, PROSE * 20) for i in range(10, 20)]
+    noise, _ = scans.scan_noise(docs(spark, *base, (1, "The quiet har-\nbour keeps tbe old map.\n\n— 7 —\n\n<p>tbe</p>\n```\ntbe\n```\n" + "x" * 200 + " br1dge")))
+    assert {(r.line_no, r.kind) for r in noise.where("doc_id = 1").collect()} == {(1, "hyphen"), (2, "chars"), (4, "page"), (10, "chars")}
+
+
+def test_best_path():
+    assert scans.best_path([(0, 1, 3.0, 0), (0, 2, 5.0, 1), (1, 1, 1.0, 2), (2, 1, 1.0, 3)]) == [1, 3] and scans.best_path([]) == []
+    assert scans.best_path([(0, 2, 3.0, 0), (1, 1, 4.0, 1)]) == [1]
 
 
 def test_wrapped_and_flagged_books_are_repaired(spark):
