@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-import shutil
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .folder import Folder
 from .store import Index, Locked
 
 _NAME = re.compile(r"[A-Za-z0-9_-]+")
@@ -25,21 +24,19 @@ class IndexNotFound(KeyError):
 class Catalog:
     """Indexes under one folder, and registered ones elsewhere; a local name wins over a registered one."""
 
-    def __init__(self, spark: SparkSession, folder: str | Path):
-        self.spark, self.folder = spark, Path(folder)
+    def __init__(self, spark: SparkSession, folder):
+        self.spark, self.folder = spark, Folder(spark, folder)
         self._registry = self.folder / "external.json"
 
     def external(self) -> dict[str, str]:
-        return json.loads(self._registry.read_text()) if self._registry.exists() else {}
+        return self._registry.json() if self._registry.exists() else {}
 
     def _register(self, entries: dict[str, str]) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self._registry.write_text(json.dumps(entries, indent=2))
+        self._registry.write(json.dumps(entries, indent=2))
 
-    def _local(self) -> dict[str, Path]:
-        if not self.folder.exists():
-            return {}
-        return {p.name: p for p in self.folder.iterdir() if (p / "current").exists()}
+    def _local(self) -> dict[str, Folder]:
+        places = {n: self.folder / n for n in self.folder.names() if _NAME.fullmatch(n)}
+        return {n: p for n, p in places.items() if any(x.startswith("manifest-") for x in p.names())}
 
     def names(self) -> list[str]:
         return sorted({**self.external(), **self._local()})
@@ -61,7 +58,7 @@ class Catalog:
             raise Locked(old)
         if not _NAME.fullmatch(new) or new in self.names():
             raise ValueError(f"not a free name: {new!r}")
-        index.folder.rename(index.folder.with_name(new))
+        index.folder.move(index.folder.parent() / new)
 
     def delete(self, name: str) -> None:
         """Remove an unlocked local index, or only the registration of an external one."""
@@ -70,26 +67,30 @@ class Catalog:
             return self.unregister(name)
         if index.locked():
             raise Locked(name)
-        shutil.rmtree(index.folder)
+        index.folder.delete()
 
-    def add_external(self, path: str | Path) -> None:
-        p = Path(path).resolve()
-        if p.name in self.names():
-            raise ValueError(f"{p.name} is taken")
-        self._register(self.external() | {p.name: str(p)})
+    def add_external(self, path) -> None:
+        place = Folder(self.spark, path)
+        if place.name in self.names():
+            raise ValueError(f"{place.name} is taken")
+        self._register(self.external() | {place.name: place.path})
 
     def unregister(self, name: str) -> None:
         self._register({k: v for k, v in self.external().items() if k != name})
 
-    def move(self, name: str, to: str | Path) -> None:
+    def move(self, name: str, to) -> None:
         """Move a local index into another folder and register it there."""
         index = self.get(name)
-        target = Path(to).resolve() / name
+        target = Folder(self.spark, to) / name
         if target.exists():
-            raise ValueError(f"{target} exists")
-        target.parent.mkdir(parents=True, exist_ok=True)
-        shutil.move(str(index.folder), str(target))
-        self._register(self.external() | {name: str(target)})
+            raise ValueError(f"{target.path} exists")
+        index.folder.move(target)
+        self._register(self.external() | {name: target.path})
 
     def stats(self) -> list[dict]:
-        return [{"name": n} | {k: self.get(n).meta().get(k) for k in ("storage_backend", "embedding_model", "n_chunks", "n_files")} | {"locked": self.get(n).locked()} for n in self.names()]
+        out = []
+        for n in self.names():
+            index = self.get(n)
+            meta = index.meta()
+            out.append({"name": n} | {k: meta.get(k) for k in ("storage_backend", "embedding_model", "n_chunks", "n_files")} | {"locked": index.locked()})
+        return out

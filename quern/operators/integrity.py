@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-from pathlib import Path
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = ".integrity"
-
 
 class IntegrityError(RuntimeError):
     """An index whose files differ from its record is not served."""
@@ -36,60 +30,27 @@ def compare(recorded: DataFrame, found: DataFrame, on: list[str], value: str = "
     return a.join(b, on, "full").select(*on, state.alias("state"))
 
 
-def _sha256(path: Path) -> str:
-    h = hashlib.sha256()
-    with path.open("rb") as f:
-        while block := f.read(1 << 16):
-            h.update(block)
-    return h.hexdigest()
-
-
-def _files(folder: Path) -> list[Path]:
-    return sorted(p for p in folder.rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
-
-
-def record(folder: str | Path, *, suppressed: bool = False) -> dict:
-    """Write and return the record of a folder's files."""
-    folder = Path(folder)
-    files = {str(p.relative_to(folder)): {"sha256": _sha256(p), "size": p.stat().st_size, "mtime": p.stat().st_mtime} for p in _files(folder)}
-    out = {"version": 1, "files": files, "suppressed": suppressed}
-    (folder / RECORD).write_text(json.dumps(out, indent=2))
-    return out
-
-
-def suppress(folder: str | Path) -> None:
-    path = Path(folder) / RECORD
-    stored = json.loads(path.read_text()) if path.exists() else {"version": 1, "files": {}}
-    path.write_text(json.dumps(stored | {"suppressed": True}, indent=2))
-
-
-def check(folder: str | Path, *, fast: bool = True) -> dict[str, str]:
-    """File -> 'ok', 'mismatch', 'MISSING' or 'UNTRACKED_FILE'; {'': 'untracked' | 'suppressed'} without a usable record.
-
-    The fast check compares size and time (to 0.01 s), the full one contents.  An index without record and metadata is new.
-    """
-    folder = Path(folder)
-    path = folder / RECORD
-    if not path.exists():
-        return {"": "untracked"} if (folder / "meta.json").exists() else {}
-    stored = json.loads(path.read_text())
-    if stored.get("suppressed"):
-        return {"": "suppressed"}
-    out = {}
-    for name, was in stored["files"].items():
-        p = folder / name
-        if not p.exists():
-            out[name] = "MISSING"
-        elif fast:
-            same = p.stat().st_size == was["size"] and abs(p.stat().st_mtime - was["mtime"]) <= 0.01
-            out[name] = "ok" if same else "mismatch"
-        else:
-            out[name] = "ok" if _sha256(p) == was["sha256"] else "mismatch"
-    out |= {n: "UNTRACKED_FILE" for p in _files(folder) if (n := str(p.relative_to(folder))) not in stored["files"]}
-    return out
-
-
-def gate(folder: str | Path, *, fast: bool = True) -> None:
-    bad = {k: v for k, v in check(folder, fast=fast).items() if v in ("mismatch", "MISSING")}
+def files_of(spark: SparkSession, folders: list[str], *, hashed: bool) -> DataFrame:
+    """(fname, size, mtime, sha256) of the data files in ``folders``; contents are read, by the cluster, only to be hashed."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    name = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)  # below the index, which may be moved
+    value = F.sha2("content", 256) if hashed else F.lit(None).cast("string")
+    return rows.select(name.alias("fname"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), value.alias("sha256"))
+
+
+def record(spark: SparkSession, folders: list[str], into: str) -> None:
+    """Write the record of the files in ``folders`` as a dataset of its own."""
+    files_of(spark, folders, hashed=True).write.mode("overwrite").parquet(into)
+
+
+def states_of(recorded: DataFrame, found: DataFrame, *, fast: bool) -> DataFrame:
+    """(fname, state) as in ``compare``; the fast way tells by size and time (to 0.01 s), the other by contents."""
+    if not fast:
+        return compare(recorded, found, ["fname"])
+    stamp = lambda df: df.select("fname", F.concat_ws("/", F.col("size").cast("string"), F.round("mtime", 2).cast("string")).alias("sha256"))
+    return compare(stamp(recorded), stamp(found), ["fname"])
+
+
+def refuse(name: str, bad: list[tuple[str, str]]) -> None:
     if bad:
-        raise IntegrityError(f"{folder}: {bad}")
+        raise IntegrityError(f"{name}: {dict(bad)}")

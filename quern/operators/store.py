@@ -1,22 +1,23 @@
 """Named indexes as versioned Parquet datasets.
 
-A write goes to a fresh version folder; the pointer in ``current`` moves only when everything is there, so a lost write
-leaves the version before it in place.  Data is never changed where it lies.
+A write goes to a new folder and counts only when its manifest is there, so a lost write leaves the version before it in
+place.  Data is never changed where it lies.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import time
-from pathlib import Path
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import integrity
 from .dedup import first_of, merge_hashes
+from .folder import Folder
 
+_MANIFEST = re.compile(r"manifest-(\d+)\.json")
 TABLES = ("documents", "chunks", "hashes")
 
 
@@ -28,6 +29,10 @@ class Unsupported(RuntimeError):
     pass
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed the version that this one was to make."""
+
+
 def dense_ids(items: DataFrame, key: str, count: str, base: int, buckets: int = 64, sample: int = 10_000) -> DataFrame:
     """``items`` with ``_first``, the first of ``count`` successive ids of each, from ``base`` in the order of the unique ``key``.
 
@@ -81,10 +86,17 @@ def split_by_source(rows: DataFrame, sources: DataFrame, *, on: list[str], docum
 
 
 class Index:
-    """One index in a folder.  ``kind`` 'documents' also stores whole documents and allows navigation."""
+    """One index in a folder.  ``kind`` 'documents' also stores whole documents and allows navigation.
+
+    ``manifest-<n>.json`` names the data folders and the metadata of version n; the highest is current.  A write puts new
+    data into ``data-<n>`` and then creates the manifest, which fails if another writer has created it before: that is the
+    commit.  An append names the folders of the version before and its own, and rewrites nothing.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | Path):
-        self.spark, self.folder = spark, Path(folder)
+    def __init__(self, spark: SparkSession, folder):
+        self.spark = spark
+        self.folder = folder if isinstance(folder, Folder) else Folder(spark, folder)
+        self._checked: int | None = None
 
     # -- state
 
@@ -93,37 +105,78 @@ class Index:
         return self.folder.name
 
     @property
-    def version(self) -> str | None:
-        p = self.folder / "current"
-        return p.read_text().strip() if p.exists() else None
+    def version(self) -> int | None:
+        numbers = [int(m[1]) for n in self.folder.names() if (m := _MANIFEST.fullmatch(n))]
+        return max(numbers, default=None)
 
     def exists(self) -> bool:
         return self.version is not None
 
+    def manifest(self) -> dict:
+        version = self.version
+        return {"tables": {}, "records": [], "meta": {}} if version is None else (self.folder / f"manifest-{version}.json").json()
+
     def meta(self) -> dict:
-        p = self.folder / "meta.json"
-        stored = json.loads(p.read_text()) if p.exists() else {}
-        return {"storage_backend": "faiss", "embedding_backend": "local", "embedding_model": "all-MiniLM-L6-v2"} | stored
+        return {"storage_backend": "faiss", "embedding_backend": "local", "embedding_model": "all-MiniLM-L6-v2"} | self.manifest()["meta"]
 
     def locked(self) -> bool:
         return (self.folder / ".locked").exists()
 
     def lock(self) -> None:
-        (self.folder / ".locked").write_text("")
+        (self.folder / ".locked").write("")
 
     def unlock(self) -> None:
-        (self.folder / ".locked").unlink(missing_ok=True)
+        (self.folder / ".locked").delete()
+
+    # -- integrity
+
+    def check(self, *, fast: bool = True) -> dict[str, str]:
+        """File -> 'ok', 'mismatch', 'MISSING' or 'UNTRACKED_FILE'; {'': 'untracked' | 'suppressed'} without a usable record.
+        An index never written is new and has no files."""
+        if (self.folder / ".suppressed").exists():
+            return {"": "suppressed"}
+        if not self.exists():
+            return {}
+        states = self._states(fast)
+        return {"": "untracked"} if states is None else {r["fname"]: r["state"] for r in states.collect()}
+
+    def _states(self, fast: bool) -> DataFrame | None:
+        manifest = self.manifest()
+        records = [self._path(r) for r in manifest["records"] if (self.folder / r).exists()]
+        if not records:
+            return None
+        folders = [self._path(p) for parts in manifest["tables"].values() for p in parts if (self.folder / p).exists()]
+        recorded = self.spark.read.parquet(*records)
+        recorded = recorded.where(F.array_contains(F.lit(sorted({p for parts in manifest["tables"].values() for p in parts})), F.regexp_extract("fname", r"^(.*)/[^/]+$", 1)))
+        found = integrity.files_of(self.spark, folders, hashed=not fast) if folders else recorded.limit(0)
+        return integrity.states_of(recorded, found, fast=fast)
+
+    def suppress(self) -> None:
+        (self.folder / ".suppressed").write("")
+
+    def gate(self, *, fast: bool = True) -> None:
+        """Refuse an index whose files are not those that were written; only the files that differ come to the driver."""
+        if self.exists() and not (self.folder / ".suppressed").exists() and (states := self._states(fast)) is not None:
+            bad = states.where("state in ('mismatch', 'MISSING')").limit(100)
+            integrity.refuse(self.name, [(r["fname"], r["state"]) for r in bad.collect()])
 
     # -- reading
 
+    def _path(self, part: str) -> str:
+        return f"{self.folder.path}/{part}"
+
     def read(self, table: str) -> DataFrame:
-        path = self.folder / (self.version or "") / table
-        if not self.exists() or not path.exists():
+        """A table of the current version; the files are checked, by size and time, when a version is first read."""
+        version, parts = self.version, self.manifest()["tables"].get(table)
+        if not parts:
             raise FileNotFoundError(f"{self.name} has no {table}")
-        return self.spark.read.parquet(str(path))
+        if self._checked != version:
+            self.gate()
+            self._checked = version
+        return self.spark.read.option("mergeSchema", "true").parquet(*map(self._path, parts))
 
     def has(self, table: str) -> bool:
-        return self.exists() and (self.folder / self.version / table).exists()
+        return bool(self.manifest()["tables"].get(table))
 
     def require_documents(self) -> None:
         if not self.has("documents"):
@@ -131,64 +184,97 @@ class Index:
 
     # -- writing
 
-    def _commit(self, tables: dict[str, DataFrame], meta: dict, lock: bool) -> None:
-        version = f"v{time.time_ns()}"
-        target = self.folder / version
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(str(target / name))
-        counts = self.spark.read.parquet(str(target / "chunks")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("f")).first()
-        dims = self.spark.read.parquet(str(target / "chunks")).where("embedding is not null").select(F.size("embedding")).limit(1).collect()
+    def _commit(self, base: int | None, new: dict[str, DataFrame], kept: dict[str, list[str]], records: list[str], meta: dict, lock: bool) -> None:
+        """Write ``new`` beside the folders that are ``kept`` and make both the version after ``base``."""
+        number = (base or 0) + 1
+        token = uuid.uuid4().hex[:12]  # another writer of the same version writes elsewhere
+        parts = {name: f"data-{number}-{token}/{name}" for name in new}
+        for name, df in new.items():
+            df.write.mode("overwrite").parquet(self._path(parts[name]))
+        record = f"record-{number}-{token}"
+        integrity.record(self.spark, [self._path(p) for p in parts.values()], self._path(record))
+        tables = {name: [*kept.get(name, []), *([parts[name]] if name in parts else [])] for name in {*kept, *parts}}
+        chunks = self.spark.read.option("mergeSchema", "true").parquet(*map(self._path, tables["chunks"]))
+        counts = chunks.agg(F.count("*").alias("n"), F.countDistinct("source").alias("f")).first()
+        dims = chunks.where("embedding is not null").select(F.size("embedding")).limit(1).collect() if "embedding" in chunks.columns else []
         meta = self.meta() | meta | {"n_chunks": counts["n"], "n_files": counts["f"], "dim": dims[0][0] if dims else None}
-        swap = self.folder / "current.new"
-        swap.write_text(version)
-        os.replace(swap, self.folder / "current")
-        (self.folder / "meta.json").write_text(json.dumps(meta, indent=2))
-        integrity.record(self.folder)
+        manifest = {"tables": tables, "records": [*records, record], "meta": meta}
+        if not (self.folder / f"manifest-{number}.json").write_new(json.dumps(manifest, indent=2)):
+            for part in (f"data-{number}-{token}", record):
+                (self.folder / part).delete()
+            raise Conflict(f"{self.name}: another writer has made version {number}")
         if lock:
             self.lock()
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Remove data that none of the last ``keep`` versions names, and the manifests of the versions before them."""
+        names = self.folder.names()
+        numbers = sorted((int(m[1]) for n in names if (m := _MANIFEST.fullmatch(n))), reverse=True)
+        manifests = [(self.folder / f"manifest-{n}.json").json() for n in numbers[:keep]]
+        used = {p.split("/")[0] for m in manifests for parts in m["tables"].values() for p in parts} | {r for m in manifests for r in m["records"]}
+        gone = [f"manifest-{n}.json" for n in numbers[keep:]] + [n for n in names if n.startswith(("data-", "record-")) and n not in used]
+        # what a writer is putting down has a number beyond the current version and stays
+        gone = [n for n in gone if not (m := re.match(r"(?:data|record)-(\d+)", n)) or int(m[1]) <= max(numbers, default=0)]
+        for n in gone:
+            (self.folder / n).delete()
+        return gone
+
     def save(self, chunks: DataFrame, hashes: DataFrame, documents: DataFrame | None = None, *, force: bool = False, lock: bool = True, **meta) -> None:
         """Replace everything.  A locked index is replaced only by force."""
         if self.locked() and not force:
             raise Locked(f"{self.name} is locked")
-        self.folder.mkdir(parents=True, exist_ok=True)
+        base = self.version
         tables = {"chunks": chunks, "hashes": hashes}
         if documents is not None:
             if "doc_id" not in documents.columns:
                 documents = number_documents(documents, 1)
             ids = documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
             tables = {"chunks": chunks.drop("doc_id").join(ids, "source", "left"), "hashes": hashes, "documents": documents}
-        self._commit(tables, meta | {"storage_backend": "sqlite-doc" if documents is not None else meta.get("storage_backend", "faiss")}, lock)
+        kind = "sqlite-doc" if documents is not None else meta.get("storage_backend", "faiss")
+        self._commit(base, tables, {}, [], meta | {"storage_backend": kind}, lock)
+
+    def save_hashes(self, hashes: DataFrame) -> None:
+        """Replace the hashes alone; the other tables stay where they lie."""
+        manifest, base = self.manifest(), self.version
+        if base is None:
+            raise FileNotFoundError(f"{self.name} does not exist")
+        kept = {k: v for k, v in manifest["tables"].items() if k != "hashes"}
+        self._commit(base, {"hashes": hashes}, kept, manifest["records"], {}, self.locked())
 
     def append(self, chunks: DataFrame, hashes: DataFrame, documents: DataFrame | None = None, *, order: tuple[str, ...] = ("source", "chunk_idx"), lock: bool = True, **meta) -> None:
-        """Add chunks with the ids after the last, documents whose source is new, hashes not known yet; always allowed."""
+        """Add chunks with the ids after the last, documents whose source is new, hashes not known yet; always allowed.
+
+        Nothing stored is rewritten: only the new rows go into a new folder.
+        """
         if not self.exists():
             return self.save(chunks, hashes, documents, lock=lock, **meta)
         if documents is not None and not self.has("documents"):
             raise Unsupported(f"{self.name} stores no documents")
-        old = self.read("chunks")
-        base = old.agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0]
+        if meta.get("index_type", self.meta().get("index_type")) != self.meta().get("index_type"):
+            raise Unsupported(f"{self.name} is an index of {self.meta().get('index_type')}")
+        base, manifest = self.version, self.manifest()
+        first_id = self.read("chunks").agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0]
         sources = chunks.groupBy("source").agg(F.count("*").alias("_n"))
-        first = dense_ids(sources, "source", "_n", base)
+        first = dense_ids(sources, "source", "_n", first_id)
         rank = F.row_number().over(Window.partitionBy("source").orderBy(*[o for o in order if o != "source"])) - 1
         numbered = chunks.drop("id").withColumn("_r", rank).join(first.select("source", "_first"), "source").withColumn("id", F.col("_first") + F.col("_r")).drop("_r", "_first")
-        tables = {}
+        new = {}
         if self.has("documents"):
             known = self.read("documents")
-            fresh = known.limit(0)
+            ids = known.select("source", "doc_id")
             if documents is not None:
                 last = known.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
-                fresh = number_documents(ignore_known(documents, known, ["source"], documents.columns), last)
-            tables["documents"] = known.unionByName(fresh, allowMissingColumns=True)
-            ids = tables["documents"].groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-            numbered = numbered.drop("doc_id").join(ids, "source", "left")
-        tables["chunks"] = old.unionByName(numbered, allowMissingColumns=True)
-        both = self.read("hashes").select("hash", "filename").withColumn("_o", F.lit(0)).unionByName(hashes.select("hash", "filename").withColumn("_o", F.lit(1)))
-        tables["hashes"] = merge_hashes(both, order=["_o", "filename"], last=False)
-        self._commit(tables, meta | {"source_dir": "multiple"}, lock)
+                new["documents"] = number_documents(ignore_known(documents, known, ["source"], documents.columns), last)
+                ids = ids.unionByName(new["documents"].select("source", "doc_id"))
+            numbered = numbered.drop("doc_id").join(ids.groupBy("source").agg(F.min("doc_id").alias("doc_id")), "source", "left")
+        stored = self.read("hashes")
+        fresh = hashes.select("hash", "filename").join(stored.select("hash"), "hash", "left_anti")
+        new |= {"chunks": numbered, "hashes": merge_hashes(fresh, order=["filename"], last=False)}
+        self._commit(base, new, manifest["tables"], manifest["records"], meta | {"source_dir": "multiple"}, lock)
 
     def remove_source(self, source: str) -> dict[str, int]:
         """Drop everything of one source; a source that nothing names is an error."""
+        base = self.version
         sources = self.spark.createDataFrame([(source,)], "source string")
         docs = self.read("documents") if self.has("documents") else None
         parts = {
@@ -200,6 +286,10 @@ class Index:
         out = {name: df.where("gone").count() for name, df in parts.items()}
         if not out["chunks"] + out.get("documents", 0):
             raise KeyError(source)
-        tables = {name: df.where("not gone").drop("gone") for name, df in parts.items()}
-        self._commit(tables, {}, self.locked())
+        self._commit(base, {name: df.where("not gone").drop("gone") for name, df in parts.items()}, {}, [], {}, self.locked())
         return out
+
+
+def verify_all(indexes: list[Index], *, fast: bool = False) -> dict[str, dict[str, str]]:
+    """The states of all files of each index."""
+    return {i.name: i.check(fast=fast) for i in indexes}

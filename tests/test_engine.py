@@ -6,7 +6,7 @@ from quern.functions.text import sanitize
 from quern.operators import integrity, vector
 from quern.operators.catalog import Catalog, IndexNotFound
 from quern.operators.embed import HashingEmbedder, embed
-from quern.operators.store import Index, Locked, Unsupported, dense_ids
+from quern.operators.store import Conflict, Index, Locked, Unsupported, dense_ids, verify_all
 from quern.settings import Settings
 from quern.sources.extract import epub_text, extract, html_text, split_spread
 from quern.sources.files import code_documents, code_paths, document_paths
@@ -41,7 +41,37 @@ def test_store_round_trip(spark, tmp_path):
     assert index.remove_source("b") == {"documents": 1, "chunks": 2, "hashes": 1}
     with pytest.raises(KeyError):
         index.remove_source("b")
-    assert set(integrity.check(index.folder, fast=False).values()) <= {"ok", "UNTRACKED_FILE"}
+    assert set(index.check(fast=False).values()) == {"ok"}
+
+
+def files_under(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_append_rewrites_nothing(spark, tmp_path):
+    index = Index(spark, tmp_path / "big")
+    index.save(chunk_rows(spark, [f"s{i}" for i in range(50)]), hash_rows(spark, *(f"s{i}" for i in range(50))), doc_rows(spark, *(f"s{i}" for i in range(50))))
+    before = files_under(tmp_path / "big")
+    index.append(chunk_rows(spark, ["new"]), hash_rows(spark, "new", "s1"), doc_rows(spark, "new"))
+    after = files_under(tmp_path / "big")
+    assert before.items() <= after.items()
+    added = [p for p in after if p not in before and "record" not in str(p)]
+    assert sum(spark.read.parquet(str(p)).count() for p in added) == 3  # one document, one chunk, one hash
+    assert index.read("chunks").count() == 51 and index.read("hashes").count() == 51 and index.meta()["n_files"] == 51
+    assert index.vacuum(keep=1) == ["manifest-1.json"] and index.read("documents").count() == 51
+    index.save_hashes(hash_rows(spark, "one"))
+    assert index.read("hashes").count() == 1 and index.read("chunks").count() == 51
+    assert len(index.vacuum(keep=1)) == 1 and set(index.check(fast=False).values()) <= {"ok", "MISSING"}
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = Index(spark, tmp_path / "x"), Index(spark, tmp_path / "x")
+    one.save(chunk_rows(spark, ["a"]), hash_rows(spark, "a"), lock=False)
+    base, manifest = two.version, two.manifest()
+    one.append(chunk_rows(spark, ["b"]), hash_rows(spark, "b"), lock=False)
+    with pytest.raises(Conflict):
+        two._commit(base, {"chunks": chunk_rows(spark, ["c"])}, manifest["tables"], manifest["records"], {}, False)
+    assert sorted(r.source for r in two.read("chunks").collect()) == ["a", "b"]
 
 
 def test_lost_write_keeps_the_version_before(spark, tmp_path):
@@ -84,14 +114,20 @@ def test_catalog(spark, tmp_path):
 def test_integrity(spark, tmp_path):
     index = Index(spark, tmp_path / "three")
     index.save(chunk_rows(spark, ["a"]), hash_rows(spark, "a"))
-    integrity.record(index.folder)
-    integrity.gate(index.folder)
-    (index.folder / "meta.json").write_text("{}")
+    index.gate(fast=False)
+    data = next((tmp_path / "three").glob("data-*/hashes/*.parquet"))
+    data.write_bytes(data.read_bytes() + b"x")
+    data.with_name(f".{data.name}.crc").unlink()
+    with pytest.raises(integrity.IntegrityError):
+        index.gate(fast=False)
     with pytest.raises(integrity.IntegrityError):
-        integrity.gate(index.folder, fast=False)
-    integrity.suppress(index.folder)
-    assert integrity.check(index.folder) == {"": "suppressed"}
-    assert integrity.check(tmp_path) == {}
+        Index(spark, tmp_path / "three").read("chunks")
+    assert set(verify_all([index])["three"].values()) == {"mismatch", "ok"}
+    data.unlink()
+    assert set(index.check().values()) == {"MISSING", "ok"}
+    index.suppress()
+    assert index.check() == {"": "suppressed"} and Index(spark, tmp_path / "three").read("chunks").count() == 1
+    assert Index(spark, tmp_path / "none").check() == {}
 
 
 def test_top_k_equals_brute_force(spark):
