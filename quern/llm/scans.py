@@ -126,7 +126,8 @@ def scan_lines(text: str, ocr: bool | None) -> tuple[list[str], set[int], list[t
     for i, line in enumerate(lines):
         if i in pages:
             continue
-        m = _BROKEN.search(line)
+        end = line.rstrip(" \t")
+        m = _BROKEN.search(line) if end and end[-1] in "-=¬\u00ad" else None
         if not m:
             continue
         j = i + 1
@@ -163,6 +164,26 @@ def distinct_texts(books: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("_h").agg(F.first("_t").alias("_t")).select("_t")
 
 
+_JOINT = re.compile(r"[-=¬\u00ad][ \t]*\n\s*")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+
+
+def without_broken(text: str) -> str:
+    """The text without what a line end breaks: the words on both sides of it."""
+    out, at, n = [], 0, len(text)
+    for m in _JOINT.finditer(text):
+        if m.start() < at:
+            continue
+        a, b = m.start(), m.end()
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        while b < n and not text[b].isspace():
+            b += 1
+        out += [text[at:a], " "]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def word_counts(books: DataFrame, text: str) -> DataFrame:
     """(word, n): how often each word, and each compound with its hyphen, stands in the middle of a line of the distinct
     texts of the corpus; copies of a text count once, so that a word misread in a much copied book stays rare."""
@@ -170,9 +191,10 @@ def word_counts(books: DataFrame, text: str) -> DataFrame:
     def run(cols: dict[str, list]):
         seen: Counter[str] = Counter()
         for t in cols["_t"]:
-            body = re.sub(r"\S*[-=¬­][ \t]*\n\s*\S*", " ", t)
+            body = without_broken(t)
             seen.update(WORD.findall(body))
-            seen.update(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)+", body))
+            if "-" in body:
+                seen.update(x for w in body.split() if "-" in w for x in _COMPOUND.findall(w))
         yield from seen.items()
 
     return map_rows(spread(distinct_texts(books, text)), run, "word string, n bigint", 2048).groupBy("word").agg(F.sum("n").alias("n"))
@@ -243,20 +265,25 @@ def blank_edges(words: DataFrame, pairs: DataFrame, counts: DataFrame, total: in
 
 
 def best_path(edges: list[tuple[int, int, float, int]]) -> list[int]:
-    """Of edges (first word, number of words, gain, name) of one line the names of those on its best path."""
+    """Of edges (first word, number of words, gain, name) of one text the names of those on its best path."""
     by_start: dict[int, list[tuple[int, int, float, int]]] = defaultdict(list)
     for e in edges:
         by_start[e[0]].append(e)
-    best: dict[int, tuple[float, list[int]]] = {}
-    last = max((e[0] + e[1] for e in edges), default=0)
-    for at in range(last, -1, -1):
-        found = best.get(at + 1, (0.0, []))
+    nodes = sorted(by_start.keys() | {e[0] + e[1] for e in edges}, reverse=True)
+    best: dict[int, tuple[float, int | None, int]] = {}  # gain from here on, the edge taken, the node it leads to
+    following = None
+    for at in nodes:
+        found = (best[following][0], None, following) if following is not None else (0.0, None, -1)
         for _, n, gain, name in by_start.get(at, ()):
-            rest = best.get(at + n, (0.0, []))
-            if gain + rest[0] >= found[0]:
-                found = (gain + rest[0], [name, *rest[1]])
-        best[at] = found
-    return best[0][1] if best else []
+            if gain + best[at + n][0] >= found[0]:
+                found = (gain + best[at + n][0], name, at + n)
+        best[at], following = found, at
+    path, at = [], nodes[-1] if nodes else -1
+    while at >= 0:
+        _, name, to = best[at]
+        path += [name] if name is not None else []
+        at = to
+    return path
 
 
 def scan_noise(
@@ -266,8 +293,8 @@ def scan_noise(
 
     ``noise`` (key, line_no, kind) names lines from 1: 'page' for running heads, feet and page numbers, 'hyphen' for a word
     broken by the line end alone, 'chars' for a line with a misread word.  ``fixes`` (key, line_no, word, fix, glued) are the
-    words to put: a word for a word, two for one, one or two for two, and with ``glued`` for the word that a broken line
-    makes with the next.  Null and empty texts give no rows; a null ocr counts as unknown.  Keys should be unique.
+    words to put: a word for a word, two for one, one or two for two, and with ``glued`` what is to be put when the line is
+    joined with the next.  Null and empty texts give no rows; a null ocr counts as unknown.  Keys should be unique.
 
     The words of every book are judged, whatever its flag and whether or not it shows lines of pages, in one lattice over
     its stream of words without page lines: misread words, blanks lost, added and displaced, and words broken by line ends,
@@ -292,45 +319,53 @@ def scan_noise(
                 first = re.match(r"(?:[^\W_]|[@|$!])+", tail).group()
                 head = head.lstrip("’'")
                 yield k, i + 1, len(head), "hyphen", head + first, head + "-" + first, mark, j + 1
+            at, end = 0, None  # the number of the next word in the stream; the last word of the line before, if it ends there
             for i, line in enumerate(lines):
                 if not line or i in pages:
                     continue
                 words = WORD.findall(line)
+                if not words:
+                    end = None
+                    continue
                 lo, hi = int(i in carried), len(words) - (i in broken)
                 odd = [x for x in range(lo, hi) if words[x] not in lexicon]
-                if not odd:
-                    continue
                 for x in odd:
-                    yield k, i + 1, x, "word", words[x], None, None, None
+                    yield k, i + 1, at + x, "word", words[x], None, None, None
+                if end and not lo and hi and (end[2] or 0 in odd) and words[0].isalpha() and not _CJK.search(words[0]) and line.lstrip().startswith(words[0]):
+                    yield k, end[1], at - 1, "pair", end[0], words[0], None, i + 1
                 spans = None
                 for x in sorted({y for x in odd for y in (x - 1, x) if lo <= y < hi - 1}):
                     a, b = words[x], words[x + 1]
                     if a.isalpha() and b.isalpha() and not _CJK.search(a):
                         spans = spans or [m.span() for m in WORD.finditer(line)]
                         if spans[x + 1][0] - spans[x][1] == 1 and line[spans[x][1]] == " ":
-                            yield k, i + 1, x, "pair", a, b, None, None
+                            yield k, i + 1, at + x, "pair", a, b, None, None
+                last = words[-1]
+                end = (last, i + 1, hi - 1 in odd) if i not in broken and last.isalpha() and line.rstrip().endswith(last) else None
+                at += len(words)
 
     asked = cut(map_rows(spread(rows), look, f"_k {key_type}, line_no int, pos int, what string, word string, other string, mark string, tail_no int", 256))
     page = asked.where("what = 'page'").select(F.col("_k").alias(key), "line_no", F.lit("page").alias("kind"))
     odd_words = asked.where("what = 'word'").select("_k", "line_no", "pos", "word")
-    odd_pairs = asked.where("what = 'pair'").select("_k", "line_no", "pos", "word", "other")
+    odd_pairs = asked.where("what = 'pair'").select("_k", "line_no", "pos", "word", "other", "tail_no")
     total = counts.agg(F.sum("n")).first()[0] or 0
     alone = odd_words.select("word").distinct().join(counts, "word").where(F.col("word").rlike(r"^\p{L}+$"))
     blanks = cut(blank_edges(alone, odd_pairs.select("word", "other").distinct(), counts, total))
 
     one = odd_words.join(misread.withColumn("chars", F.lit(True)).unionByName(blanks.where("other is null").drop("other").withColumn("chars", F.lit(False))), "word")
     two = odd_pairs.join(blanks.where("other is not null").withColumn("chars", F.lit(False)), ["word", "other"])
-    edges = one.select("_k", "line_no", F.struct("pos", F.lit(1).alias("n"), "word", "fix", "gain", "chars").alias("_e"))
-    edges = edges.unionByName(two.select("_k", "line_no", F.struct("pos", F.lit(2).alias("n"), F.concat_ws(" ", "word", "other").alias("word"), "fix", "gain", "chars").alias("_e")))
+    edge = lambda n, word, glued: F.struct("pos", F.lit(n).alias("n"), "line_no", word, "fix", "gain", "chars", glued.alias("glued")).alias("_e")
+    edges = one.select("_k", edge(1, F.col("word"), F.lit(False)))
+    edges = edges.unionByName(two.select("_k", edge(2, F.concat_ws(" ", "word", "other").alias("word"), F.col("tail_no").isNotNull())))
 
     def decode(cols: dict[str, list]):
-        for k, line, found in zip(cols["_k"], cols["line_no"], cols["_es"]):
+        for k, found in zip(cols["_k"], cols["_es"]):
             found = sorted(found, key=lambda e: (e["pos"], e["n"], e["fix"]))
             for i in best_path([(e["pos"], e["n"], e["gain"], i) for i, e in enumerate(found)]):
-                yield k, line, found[i]["word"], found[i]["fix"], found[i]["chars"]
+                yield k, found[i]["line_no"], found[i]["word"], found[i]["fix"], found[i]["chars"], found[i]["glued"]
 
-    by_line = edges.groupBy("_k", "line_no").agg(F.collect_list("_e").alias("_es"))
-    chosen = cut(map_rows(by_line, decode, f"_k {key_type}, line_no int, word string, fix string, chars boolean", 2048))
+    by_text = edges.groupBy("_k").agg(F.collect_list("_e").alias("_es"))
+    chosen = cut(map_rows(by_text, decode, f"_k {key_type}, line_no int, word string, fix string, chars boolean, glued boolean", 512))
 
     hyphens = asked.where("what = 'hyphen'").select("_k", "line_no", "pos", "word", "other", "mark", "tail_no")
     joined = (
@@ -340,7 +375,7 @@ def scan_noise(
     )
     hyphen = joined.where((F.col("n_joined") > F.col("n_hyphen")) | (F.col("n_hyphen") == 0))
     # a broken word is read as the word it makes: one that is known nowhere else counts as seen once
-    strange = hyphen.where("n_joined < 20 and mark <> '='").select("word", F.greatest("n_joined", F.lit(1)).alias("n")).distinct()
+    strange = hyphen.where("n_joined < 20").select("word", F.greatest("n_joined", F.lit(1)).alias("n")).distinct()
     glued = cut(hyphen.join(misread_words(strange, counts), "word"))
     head_same = F.expr("substring(fix, 1, pos) = substring(word, 1, pos)")
     where_ = glued.select("_k", F.when(head_same, F.col("tail_no")).otherwise(F.col("line_no")).alias("line_no"))
@@ -348,7 +383,7 @@ def scan_noise(
     noise = page.unionByName(chars.select(F.col("_k").alias(key), "line_no", F.lit("chars").alias("kind"))).unionByName(
         hyphen.select(F.col("_k").alias(key), "line_no", F.lit("hyphen").alias("kind")).distinct()
     )
-    fixes = chosen.select("_k", "line_no", "word", "fix", F.lit(False).alias("glued")).unionByName(glued.select("_k", "line_no", "word", "fix", F.lit(True).alias("glued")))
+    fixes = chosen.select("_k", "line_no", "word", "fix", "glued").unionByName(glued.select("_k", "line_no", "word", "fix", F.lit(True).alias("glued")))
     return noise, fixes.withColumnRenamed("_k", key)
 
 
