@@ -117,12 +117,13 @@ def _strip_wiki(text: str) -> str:
 
 
 class _Element:
-    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "thin")
 
     def __init__(self, tag: str):
         self.tag, self.children = tag, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.thin = False
 
 
 class _Tree(HTMLParser):
@@ -191,7 +192,10 @@ def _measure(e: _Element) -> None:
 
 
 def _main(body: _Element) -> _Element:
-    """The subtree of the largest density sum among those at least as dense as the thinnest node on the way to the densest."""
+    """The subtree of the largest density sum among those at least as dense as the thinnest node on the way to the densest.
+
+    Blocks in it that are thinner than that and mostly links, such as menus, are marked to be left out.
+    """
     _measure(body)
     parents: dict[int, _Element] = {}
     nodes, work = [], [body]
@@ -207,7 +211,11 @@ def _main(body: _Element) -> _Element:
     while id(x) in parents:
         x = parents[id(x)]
         threshold = min(threshold, x.density)
-    return max((x for x in nodes if x.density >= threshold and x.tag in ("body", "#root", "html", "div", "main", "article", "section", "td")), key=lambda x: x.total, default=body)
+    main = max((x for x in nodes if x.density >= threshold and x.tag in ("body", "#root", "html", "div", "main", "article", "section", "td")), key=lambda x: x.total, default=body)
+    for x in nodes:
+        if x is not main and x.tag in _BLOCKS and x.link_tags > 1 and x.density < threshold and 2 * x.link_chars > x.chars:
+            x.thin = True
+    return main
 
 
 def _render(e: _Element, out: list[str], pre: bool = False) -> None:
@@ -220,7 +228,7 @@ def _render(e: _Element, out: list[str], pre: bool = False) -> None:
         if isinstance(x, str):
             out.append(x if pre else x)
             continue
-        if x.tag in _DROPPED:
+        if x.tag in _DROPPED or x.thin:
             continue
         before, after = "", ""
         if x.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -251,14 +259,14 @@ def html_to_text(text: str) -> str:
     tree = _Tree()
     tree.feed(text)
     tree.close()
-    node = tree.root
-    work = [tree.root]
+    body, work = tree.root, [tree.root]  # a fragment without a body is one itself
     while work:
         x = work.pop()
         if x.tag == "body":
-            node = _main(x)
+            body = x
             break
         work.extend(c for c in x.children if isinstance(c, _Element))
+    node = _main(body)
     out: list[str] = []
     _render(node, out)
     got = "".join(out)

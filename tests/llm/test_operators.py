@@ -243,14 +243,15 @@ def test_copies_and_size_do_not_decide(spark):
 
 def test_blanks_lost_added_and_displaced(spark):
     base = [(i, PROSE * 40 + f"Copy {i}.") for i in range(10, 30)]
-    bad = [(1, "The quiet harbourkeeps the old map."), (2, "The quiet harb our keeps the old map."), (3, "The quie tharbour keeps tbe old map."), (4, "The qui-\net harb0ur keeps the old br-\nidgc.")]
+    bad = [(1, "The quiet harbourkeeps the old map."), (2, "The quiet harb our keeps the old map."), (3, "The quie tharbour keeps tbe old map."), (4, "The qui-\net harb0ur keeps the old br-\nidgc."), (5, "The quie\n\n— 7 —\n\ntharbour keeps the old map.")]
     rows = docs(spark, *base, *bad)
     noise, fixes = scans.scan_noise(rows)
-    got = {k: {(r.word, r.fix) for r in fixes.where(f"doc_id = {k}").collect()} for k in (1, 2, 3, 4)}
+    got = {k: {(r.word, r.fix) for r in fixes.where(f"doc_id = {k}").collect()} for k in (1, 2, 3, 4, 5)}
+    assert got.pop(5) == {("quie tharbour", "quiet harbour")}  # over a line end and a page
     assert got == {1: {("harbourkeeps", "harbour keeps")}, 2: {("harb our", "harbour")}, 3: {("quie tharbour", "quiet harbour"), ("tbe", "the")}, 4: {("harb0ur", "harbour"), ("bridgc", "bridge")}}
-    assert {(r.doc_id, r.line_no, r.kind) for r in noise.collect()} == {(3, 1, "chars"), (4, 1, "hyphen"), (4, 2, "chars"), (4, 2, "hyphen"), (4, 3, "chars")}
-    repaired = {r.doc_id: r.text for r in scans.repair_scans(rows).where("doc_id < 5").collect()}
-    assert set(repaired.values()) == {"The quiet harbour keeps the old map.", "The quiet harbour keeps the old bridge."} and repaired.keys() == {1, 2, 3, 4}
+    assert {(r.doc_id, r.line_no, r.kind) for r in noise.collect()} == {(3, 1, "chars"), (4, 1, "hyphen"), (4, 2, "chars"), (4, 2, "hyphen"), (4, 3, "chars"), (5, 3, "page")}
+    repaired = {r.doc_id: r.text for r in scans.repair_scans(rows).where("doc_id <= 5").collect()}
+    assert set(repaired.values()) == {"The quiet harbour keeps the old map.", "The quiet harbour keeps the old bridge."} and repaired.keys() == {1, 2, 3, 4, 5}
 
 
 def test_markup_in_a_scan_hides_only_itself(spark):
@@ -426,6 +427,50 @@ def test_long_and_deep_markup_is_markup():
     assert "\\emph" not in markup.clean("\\emph{" * 9 + "x" + "}" * 9 + " y")
 
 
+def test_menus_of_fragments_go():
+    menu = "<div><ul>" + "".join(f'<li><a href="/{i}">Go to {i}</a></li>' for i in range(6)) + "</ul></div>"
+    text = markup.clean(menu + "<div><h2>Title</h2><p>" + PROSE * 3 + '</p><p>See <a href="x">this</a> too.</p></div>')
+    assert text.startswith("## Title") and text.endswith("See this too.") and "Go to" not in text
+    assert markup.clean("Plain <b>bold</b> text &amp; more.") == "Plain bold text & more."
+
+
+def marked_up(rng, kind):
+    """A text in one markup, and the headings, items, code blocks and formulas that it has."""
+    words = "river clerk bridge harbour map stone letter garden window engine".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(5, 12))).capitalize() + "."
+    heads, items, code, formulas, out = [], [], [], [], []
+    for _ in range(rng.randrange(2, 5)):
+        head, prose = " ".join(rng.choice(words) for _ in range(3)).title(), " ".join(sentence() for _ in range(4))
+        own, body, formula = [sentence() for _ in range(rng.randrange(2, 4))], f"x_{rng.randrange(99)} = f(a) * 2 # *no*\nreturn [x]", f"x^{rng.randrange(9)} + \\frac{{a}}{{b}}"
+        stars = "\n".join(f"* {i}" for i in own)
+        out += {
+            "html": [f"<h2>{head}</h2>", f"<p>{prose} <em>very</em></p>", "<ul>" + "".join(f"<li>{i}</li>" for i in own) + "</ul>", f"<pre>{body}</pre>"],
+            "markdown": [f"## {head}", f"{prose} *very*", stars, f"```\n{body}\n```"],
+            "wiki": [f"== {head} ==", f"{prose} ''very''", stars, f'<syntaxhighlight lang="c">{body}</syntaxhighlight>'],
+            "latex": [f"\\section{{{head}}}", f"{prose} \\emph{{very}}", "\\begin{itemize}\n" + "\n".join(f"\\item {i}" for i in own) + "\n\\end{itemize}", f"\\begin{{verbatim}}\n{body}\n\\end{{verbatim}}"],
+        }[kind]
+        heads, items, code = [*heads, head], items + own, [*code, body]
+        if kind != "wiki":
+            formulas.append(formula)
+            out.append(f"It is so that ${formula}$ holds.")
+    return "\n\n".join(out), heads, items, code, formulas
+
+
+@pytest.mark.parametrize("kind", markup.KINDS)
+def test_structure_kept_is_measured(kind):
+    rng, kept, whole = random.Random(3), Counter(), Counter()
+    for _ in range(40):
+        text, heads, items, code, formulas = marked_up(rng, kind)
+        got = markup.clean(text)
+        assert kind in markup.kinds_of(text) and not re.search(r"</?\w+>|\*very\*|''very|\\emph|\\begin|\\item|==", got)
+        kept["heads"] += sum(re.search(rf"(?m)^#+ {re.escape(h)}$", got) is not None for h in heads)
+        kept["items"] += sum(re.search(rf"(?m)^- {re.escape(i)}$", got) is not None for i in items)
+        kept["code"] += sum(f"```\n{c}\n```" in got for c in code)
+        kept["formulas"] += sum(f in got for f in formulas)
+        whole += Counter(heads=len(heads), items=len(items), code=len(code), formulas=len(formulas))
+    assert all(kept[k] == n for k, n in whole.items())
+
+
 def test_clean_keeps_structure():
     page = "<html><body><nav><a href='x'>zzz</a></nav><h2>Head</h2><p>One <b>two</b> &amp; three and a good deal more text here.</p><ul><li>a<li>b</ul><pre><code>if a &lt; b:\n    c</code></pre></body></html>"
     assert re.sub(r"\n+", "\n", markup.clean(page)) == "## Head\nOne two & three and a good deal more text here.\n- a\n- b\n```\nif a < b:\n    c\n```"
