@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -66,6 +67,63 @@ class HttpEmbedder:
         return (out / np.where(n == 0, 1, n)).astype(np.float32)
 
 
+def best_device(wanted: str | None = None) -> str:
+    """The device asked for, else the fastest that torch reports, else the processor."""
+    if wanted:
+        return wanted
+    try:
+        import torch  # optional
+    except ImportError:
+        return "cpu"
+    for name in ("xpu", "cuda"):
+        part = getattr(torch, name, None)
+        if part is not None and part.is_available() and part.device_count():
+            return name
+    return "cpu"
+
+
+class Resident:
+    """An embedder that each worker process loads when it first needs it and keeps until another is asked for.
+
+    ``load(name, device)`` makes the model; what travels to the workers is only this description."""
+
+    _held: tuple | None = None
+
+    def __init__(self, load: Callable[[str, str], Embedder], name: str, dim: int, device: str | None = None):
+        self.load, self.name, self.dim, self.device = load, name, dim, device
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        key = (self.name, best_device(self.device))
+        if Resident._held is None or Resident._held[0] != key:
+            Resident._held = None  # the one before goes first
+            Resident._held = (key, self.load(*key))
+        return Resident._held[1](texts)
+
+
+class NoModel(RuntimeError):
+    """No embedder for what an index was made with."""
+
+
+def embedder_of(meta: dict, makers: dict[str, Callable[[dict], Embedder]], *, probe: Callable[[str, str], bool] | None = None, fetch: Callable[[str, str], None] | None = None) -> Embedder:
+    """The embedder that an index's metadata name: ``makers`` by backend make it from the metadata.
+
+    ``probe(backend, model)`` tells whether the model is there; if not, ``fetch`` is to bring it, once.  A model of another
+    length than the vectors stored is refused.
+    """
+    backend, model = meta.get("embedding_backend", "local"), meta.get("embedding_model", "all-MiniLM-L6-v2")
+    if backend not in makers:
+        raise NoModel(f"no maker for backend {backend!r}; there are: {', '.join(sorted(makers)) or 'none'}")
+    if probe is not None and not probe(backend, model):
+        if fetch is not None:
+            fetch(backend, model)
+        if fetch is None or not probe(backend, model):
+            raise NoModel(f"{backend} has no model {model!r}")
+    made = makers[backend](meta)
+    if meta.get("dim") not in (None, made.dim):
+        raise NoModel(f"{made.name} makes vectors of {made.dim}, the index holds vectors of {meta['dim']}")
+    return made
+
+
 def embed(rows: DataFrame, embedder: Embedder, *, key: str = "id", text: str = "text", batch: int = 64) -> DataFrame:
     """(key, embedding); a null text is embedded as an empty one."""
 

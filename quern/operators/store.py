@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import integrity
+from . import integrity, navigation, search
 from .dedup import first_of, merge_hashes
 from .folder import Folder
 
@@ -60,6 +60,14 @@ def number_documents(documents: DataFrame, base: int) -> DataFrame:
     return one.drop("_one").join(ids, "source")
 
 
+def number_chunks(chunks: DataFrame, base: int, order: tuple[str, ...]) -> DataFrame:
+    """Chunks with new ids from ``base``, source by source, within a source by ``order``."""
+    first = dense_ids(chunks.groupBy("source").agg(F.count("*").alias("_n")), "source", "_n", base)
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(*[o for o in order if o != "source"])) - 1
+    numbered = chunks.drop("id").withColumn("_r", rank).join(first.select("source", "_first"), "source")
+    return numbered.withColumn("id", F.col("_first") + F.col("_r")).drop("_r", "_first")
+
+
 def add_source(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks of an old layout with the column ``source`` filled from their documents, '' where there is none."""
     if "source" in chunks.columns:
@@ -182,6 +190,35 @@ class Index:
         if not self.has("documents"):
             raise Unsupported(f"{self.name} stores no documents; reading and navigation need an index that does")
 
+    def _chunks_of_documents(self) -> DataFrame:
+        self.require_documents()
+        return self.read("chunks")
+
+    def document(self, source: str) -> DataFrame:
+        """The document of exactly this source, or sources that contain it; see ``documents_by_source``."""
+        self.require_documents()
+        return navigation.documents_by_source(self.spark.createDataFrame([(source,)], "asked string"), self.read("documents"))
+
+    def chunk(self, source: str, n: int, context: int = 0) -> DataFrame:
+        """Chunk ``n`` of a document, from 0, and its neighbours; see ``nth_chunk``."""
+        asked = self.spark.createDataFrame([(source, n)], "source string, n int")
+        return navigation.nth_chunk(asked, self._chunks_of_documents(), by="source", context=context)
+
+    def range(self, source: str, start: int = 0, count: int = 10) -> DataFrame:
+        """Successive chunks of a document as one text; see ``read_range``."""
+        own = self._chunks_of_documents().where(F.col("source") == source)
+        return navigation.read_range(own, by=["source"], order=["chunk_idx", "id"], start=start, count=count)
+
+    def sources(self, containing: str | None = None, most: int | None = 50) -> DataFrame:
+        """Sources and their chunks, with the number of all; see ``listing``."""
+        named = self.read("hashes").select(F.lit(self.name).alias("index_name"), F.col("filename").alias("source"), F.monotonically_increasing_id().alias("doc_id")).where("source is not null")
+        chunks = self.read("chunks").select("source").join(named.select("source", "doc_id"), "source")
+        return navigation.listing(named, chunks, containing=containing, most=most)
+
+    def ask(self, questions: DataFrame, embedder, k: int = 5, **more) -> DataFrame:
+        """``search.ask`` among the chunks of this index."""
+        return search.ask(questions, self.read("chunks"), embedder, k, **more)
+
     # -- writing
 
     def _commit(self, base: int | None, new: dict[str, DataFrame], kept: dict[str, list[str]], records: list[str], meta: dict, lock: bool) -> None:
@@ -247,17 +284,14 @@ class Index:
         Nothing stored is rewritten: only the new rows go into a new folder.
         """
         if not self.exists():
-            return self.save(chunks, hashes, documents, lock=lock, **meta)
+            return self.save(number_chunks(chunks, 0, order), hashes, documents, lock=lock, **meta)
         if documents is not None and not self.has("documents"):
             raise Unsupported(f"{self.name} stores no documents")
         if meta.get("index_type", self.meta().get("index_type")) != self.meta().get("index_type"):
             raise Unsupported(f"{self.name} is an index of {self.meta().get('index_type')}")
         base, manifest = self.version, self.manifest()
         first_id = self.read("chunks").agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0]
-        sources = chunks.groupBy("source").agg(F.count("*").alias("_n"))
-        first = dense_ids(sources, "source", "_n", first_id)
-        rank = F.row_number().over(Window.partitionBy("source").orderBy(*[o for o in order if o != "source"])) - 1
-        numbered = chunks.drop("id").withColumn("_r", rank).join(first.select("source", "_first"), "source").withColumn("id", F.col("_first") + F.col("_r")).drop("_r", "_first")
+        numbered = number_chunks(chunks, first_id, order)
         new = {}
         if self.has("documents"):
             known = self.read("documents")

@@ -44,6 +44,12 @@ class Settings:
         return not self.disable_ocr if run_override is None else run_override
 
 
+    def pick(self, name: str, given=None):
+        """A run's own value, or the setting where none is given or a number given is not positive."""
+        own = getattr(self, name)
+        return own if given is None or (isinstance(own, int) and not isinstance(own, bool) and given <= 0 and name != "overlap") else given
+
+
 def check_sizes(chunk_size: int, overlap: int) -> None:
     if not 0 <= overlap < chunk_size:
         raise ValueError(f"overlap must be at least 0 and below the chunk size, not {overlap} of {chunk_size}")

@@ -98,3 +98,112 @@ def test_index_files(spark):
     assert out["hashes"].count() == 2 and out["documents"].count() == 2
     empty = indexing.index_files(files.limit(0), stored)
     assert all(df.count() == 0 for df in empty.values())
+
+
+# ---- pages, models, command line ------------------------------------------------------------------------------------
+
+
+def reader(page, *, language, negative):
+    """Stands in for an OCR engine: names the shape of what it is given."""
+    return f"{language} {len(page)} bytes" if isinstance(page, bytes) else f"{language} {page.shape[1]}x{page.shape[0]}{' negative' if negative else ''}"
+
+
+def pgm(w, h):
+    import numpy as np
+
+    page = np.full((h, w), 90, np.uint8)
+    page[:, w // 2] = 255
+    return f"P5 {w} {h} 255\n".encode() + page.tobytes()
+
+
+def test_pages_are_rendered_split_and_read(spark):
+    import numpy as np
+
+    from quern.sources import extract as e
+
+    def frames(data, kind, *, dpi):
+        assert kind in ("tiff", "pdf", "djvu") and dpi == 200
+        yield from (np.zeros((10, 12), np.uint8), np.zeros((10, 40, 3), np.uint8))
+
+    assert e.extract(b"x", "tiff", ocr=reader, render=frames, dpi=200) == ("eng 12x10\neng 40x10", True)
+    assert e.extract(b"x", "tiff", ocr=reader, render=frames, dpi=200, split_spreads=True, language="deu", negative=True)[0].count("negative") == 3
+    assert e.extract(pgm(40, 10), "image", ocr=reader, split_spreads=True) == ("eng 20x10\neng 20x10", True)
+    assert e.extract(pgm(40, 10), "image", ocr=reader) == ("eng 413 bytes", True)
+    assert e.netpbm(pgm(7, 5)).shape == (5, 7)
+    with pytest.raises(e.Unavailable):
+        e.extract(b"x", "tiff")
+    assert e.extract(b"x", "mobi", unpack=lambda d: "<html><p>a</p></html>") == ("a", False)
+    with pytest.raises(e.Unavailable):
+        e.extract(b"x", "mobi")
+
+
+def test_books_of_pictures():
+    import base64
+    import io
+    import zipfile
+
+    from quern.sources import extract as e
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("b.pgm", pgm(300, 250))
+        z.writestr("a.pgm", pgm(220, 260))
+        z.writestr("ornament.pgm", pgm(20, 260))
+        z.writestr("c.svg", "<svg><image href='data:image/png;base64," + base64.b64encode(pgm(30, 30)).decode() + "'/></svg>")
+    book = data.getvalue()
+    assert e.extract(book, "epub", ocr=reader) == (f"eng {len(pgm(220, 260))} bytes\n\neng {len(pgm(300, 250))} bytes\n\neng {len(pgm(30, 30))} bytes", True)
+    assert e.extract(book, "epub") == (None, False)
+
+
+def test_settings_reach_the_reader():
+    from quern.settings import Settings
+    from quern.sources.extract import missing_languages, options_of
+
+    s = Settings(ocr_lang="deu", render_dpi=150, disable_ocr=True)
+    assert options_of(s, reader)["ocr"] is None and options_of(s, reader, use_ocr=True)["ocr"] is reader and options_of(s, reader)["dpi"] == 150
+    assert missing_languages("eng+deu+fra+deu", ["eng"]) == ["deu", "fra"]
+    assert s.pick("top_k", 0) == 5 and s.pick("top_k", 9) == 9 and s.pick("overlap", 0) == 0 and s.pick("code_chunk_size") == 3000
+
+
+def test_models_are_found_and_kept():
+    from quern.operators.embed import NoModel, Resident, best_device, embedder_of
+
+    loads = []
+
+    def load(name, device):
+        loads.append((name, device))
+        return HashingEmbedder(8)
+
+    a, b = Resident(load, "a", 8, "cpu"), Resident(load, "b", 8, "cpu")
+    a(["x"]), a(["y"]), b(["x"]), a(["x"])
+    assert loads == [("a", "cpu"), ("b", "cpu"), ("a", "cpu")] and best_device("xpu") == "xpu"
+    makers = {"local": lambda meta: HashingEmbedder(8)}
+    assert embedder_of({"dim": 8}, makers).dim == 8
+    for meta, more in (({"dim": 9}, {}), ({"embedding_backend": "none"}, {}), ({}, {"probe": lambda *x: False})):
+        with pytest.raises(NoModel):
+            embedder_of(meta, makers, **more)
+    here = set()
+    assert embedder_of({}, makers, probe=lambda *x: x in here, fetch=lambda *x: here.add(x)).dim == 8
+
+
+def test_command_line(spark, tmp_path):
+    from quern.__main__ import run
+    from quern.operators.catalog import IndexNotFound
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "tower notes.txt").write_text("The quiet harbour keeps the old map. " * 90)
+    (tmp_path / "in" / "sea.txt").write_text("One clerk studies the wooden bridge. " * 3)
+    home = str(tmp_path / "home")
+    assert run(spark, [home, "add", "books", str(tmp_path / "in")]) == "2 files"
+    assert run(spark, [home, "list"]).startswith("books  ") and "2 files" in run(spark, [home, "list"])
+    assert run(spark, [home, "sources", "books"]).startswith("2 sources") and "tower" in run(spark, [home, "sources", "books", "--filter", "TOWER"])
+    assert run(spark, [home, "read", "books", "sea.txt"]).startswith("=== sea.txt ===") and "like it: tower notes.txt" in run(spark, [home, "read", "books", "tower"])
+    assert run(spark, [home, "chunk", "books", "sea.txt", "0"]).startswith("chunk 1/1 <") and run(spark, [home, "chunk", "books", "sea.txt", "7"]) == "there are 1 chunks"
+    assert run(spark, [home, "range", "books", "tower notes.txt"]).endswith("[0 chunks remain]")
+    assert run(spark, [home, "query", "books", "which clerk studies the bridge", "--top-k", "1"]).startswith("[1] sea.txt | chunk 1/1 | score ")
+    assert json.loads(run(spark, [home, "query", "books", "harbour map", "--json", "--top-k", "1"]))[0]["source"] == "tower notes.txt"
+    assert "mismatch" not in run(spark, [home, "verify", "books"])
+    assert run(spark, [home, "remove", "books", "sea.txt"]) == "1 chunks, 1 documents, 1 hashes"
+    run(spark, [home, "unlock", "books"]), run(spark, [home, "rename", "books", "old"]), run(spark, [home, "delete", "old"])
+    with pytest.raises(IndexNotFound):
+        run(spark, [home, "read", "old", "x"])
