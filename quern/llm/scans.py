@@ -210,6 +210,11 @@ def word_counts(books: DataFrame, text: str) -> DataFrame:
 BLANK, LETTER = math.log(1000), 0.75
 
 
+def longest(counts: DataFrame, known: int) -> int:
+    """Letters of the longest known word."""
+    return counts.where(F.col("n") >= known).agg(F.max(F.length("word"))).first()[0] or 0
+
+
 def misread_words(words: DataFrame, counts: DataFrame, *, known: int = 10, ratio: int = 20) -> DataFrame:
     """(word, fix, gain) of ``words`` (word, n) that are a known word seen through one or two misreadings.
 
@@ -230,7 +235,8 @@ def misread_words(words: DataFrame, counts: DataFrame, *, known: int = 10, ratio
                     for v in variants(low, 1) - {x[0].lower() + x[1:] for x in one}:
                         yield w, n, v, 2
 
-    guesses = map_rows(words, run, "word string, n bigint, fix string, edits int", 1024)
+    # two misreadings make a word at most two letters longer than the known word, so the longest are nothing to look for
+    guesses = map_rows(words.where(F.length("word") <= longest(counts, known) + 2), run, "word string, n bigint, fix string, edits int", 1024)
     good = counts.where(F.col("n") >= known).select(F.col("word").alias("fix"), F.col("n").alias("m"))
     odd = F.col("word").rlike(f"[{_SYMBOL}]")
     least = F.when(odd, F.least(F.lit(3), ratio * F.col("edits"))).otherwise(ratio * F.col("edits"))
@@ -245,6 +251,8 @@ def blank_edges(words: DataFrame, pairs: DataFrame, counts: DataFrame, total: in
     blank added or two with the blank displaced by up to two letters."""
     size = F.lit(math.log(max(2, total)))
     good = counts.where((F.col("n") >= known) & F.col("word").rlike(r"^\p{L}{2,}$"))
+    most = longest(counts, known)
+    words, pairs = words.where(F.length("word") <= 2 * most), pairs.where(F.length("word") + F.length("other") <= 2 * most)
     first = good.select(F.col("word").alias("_u"), F.log("n").alias("_lu"))
     second = good.select(F.col("word").alias("_v"), F.log("n").alias("_lv"))
     as_seen = F.log("n") - F.when(F.col("n") < known, LETTER * F.length("word")).otherwise(0.0)  # a word as it stands

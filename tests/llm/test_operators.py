@@ -260,6 +260,12 @@ def test_markup_in_a_scan_hides_only_itself(spark):
     assert {(r.line_no, r.kind) for r in noise.where("doc_id = 1").collect()} == {(1, "hyphen"), (2, "chars"), (4, "page"), (10, "chars")}
 
 
+def test_words_without_end(spark):
+    endless = "".join(random.Random(1).choice("cri1l0nm") for _ in range(200_000))
+    noise, fixes = scans.scan_noise(docs(spark, *[(i, PROSE * 20) for i in range(10, 20)], (1, f"The quiet harbour keeps tbe old map. {endless} and {endless}")))
+    assert [(r.word, r.fix) for r in fixes.collect()] == [("tbe", "the")]
+
+
 def test_best_path():
     assert scans.best_path([(0, 1, 3.0, 0), (0, 2, 5.0, 1), (1, 1, 1.0, 2), (2, 1, 1.0, 3)]) == [1, 3] and scans.best_path([]) == []
     assert scans.best_path([(0, 2, 3.0, 0), (1, 1, 4.0, 1)]) == [1]
