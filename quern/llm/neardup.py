@@ -19,6 +19,7 @@ from .common import cut, heavy_classes, join_classes, schema_of, spread
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 64-bit golden-ratio multiplier
 _TOKEN_BITS = 48
+_HELD = 1 << 19  # tokens of trees that a worker holds at once, and meetings of sets that it looks at
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -97,30 +98,34 @@ class Forest:
 
 
 def join_trees(sets: Sets, probes: Sets, numbers: np.ndarray, threshold: float, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probe, set, overlap) of the sets later than the probe's own number in the tree of the probe's group that may lie
-    within ``threshold`` of it; with nothing elsewhere they do.
+    """All that ``meetings`` finds, at once."""
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip((none, none, none), *meetings(sets, probes, numbers, threshold, most)))
+
+
+def meetings(sets: Sets, probes: Sets, numbers: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of (probe, set, overlap) of the sets later than the probe's own number in the tree of the probe's group that may
+    lie within ``threshold`` of it; with nothing elsewhere they do.
 
     All probes go down the trees together.  The overlap with a path is counted once for all sets below it.  A subtree is left
     as soon as what it and the probe have still to come, there and elsewhere, cannot make up the overlap that its smallest
-    set needs, or its sizes lie too far off.  Probes go in bundles of about ``most`` tokens of their trees.
+    set needs, or its sizes lie too far off.  Probes go in bundles that may meet about ``most`` sets.  What a tree finds
+    may grow as the square of its sets: a batch is what a bundle finds at one depth, and no more is held.
     """
     known, ids = np.unique(np.concatenate([sets.ranks, probes.ranks]), return_inverse=True)
     ids = ids.astype(np.int64)
     forest = Forest(sets, ids[: len(sets.ranks)])
     n = len(probes.sizes)
-    none = np.zeros(0, np.int64)
     if not forest.levels or not n:
-        return none, none, none
+        return
     width = np.int64(len(known))
     held = np.repeat(np.arange(n), np.diff(probes.starts)) * width + ids[len(sets.ranks) :]
     ends = probes.starts[1:]
-    # tokens of the trees of each group, for the bundles
-    group_of = np.repeat(sets.groups, np.diff(sets.starts))
-    names, weights = np.unique(group_of, return_counts=True)
+    # sets of each tree, for the bundles: a probe is at no more nodes of one level
+    names, weights = np.unique(sets.groups[np.diff(sets.starts) > 0], return_counts=True)
     where = np.minimum(np.searchsorted(names, probes.groups), len(names) - 1)
     cost = np.where(names[where] == probes.groups, weights[where], 0)
     bundle = np.cumsum(cost) // most
-    found = []
     for one in np.unique(bundle):
         members = np.flatnonzero((bundle == one) & (cost > 0))
         roots = forest.levels[0]["parent"]
@@ -144,13 +149,20 @@ def join_trees(sets: Sets, probes: Sets, numbers: np.ndarray, threshold: float,
             p, j = _ranges(np.flatnonzero(done), level["lo"][node[done]], level["ends"][node[done]])
             p, h = probe[p], have[p]
             good = (j > numbers[p]) & ((1 + threshold) * (h + np.minimum(probes.rests[p], sets.rests[j])) >= threshold * (probes.sizes[p] + sets.sizes[j]) - 1e-6)
-            found.append((p[good], j[good], h[good]))
+            if good.any():
+                yield p[good], j[good], h[good]
             if depth + 1 < len(forest.levels):
                 parent = forest.levels[depth + 1]["parent"]
                 first, last = np.searchsorted(parent, node), np.searchsorted(parent, node, side="right")
                 back, node = _ranges(np.arange(len(node)), first, last - first)
                 probe, have = probe[back], have[back]
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none)
+
+
+def _slices(batches: Iterable[tuple[np.ndarray, ...]], rows: int = 1 << 15) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows in batches that can be made lists of."""
+    for batch in batches:
+        for at in range(0, len(batch[0]), rows):
+            yield tuple(x[at : at + rows] for x in batch)
 
 
 def _ranges(names: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,29 +346,36 @@ def near_duplicates(
             else:
                 by_range.setdefault(r, []).append((block, data))
         for pieces in by_range.values():
+            pieces.sort()  # by block: so a stable sort by token leaves the documents of a token in their order
             blocks = np.array([b for b, _ in pieces], np.int64)
             parts = [_expand(d) for _, d in pieces]
             lengths = [len(p[0]) for p in parts]
             tokens = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
             ids = np.concatenate([p[1] for p in parts])
-            times = np.ones(len(tokens), np.int64)
+            times = np.ones(len(tokens), np.uint32)
             for at, p in zip(np.cumsum([0, *lengths]), parts):
                 times[at + p[2].astype(np.int64)] = p[3]
-            of = np.repeat(np.arange(len(pieces)), lengths)
+            of = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
             del parts
-            place = (blocks[of] << 16) | ids
-            order = np.lexsort((place, tokens))
+            order = np.argsort(tokens, kind="stable")
             t = tokens[order]
+            del tokens
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             n = np.diff(np.append(starts, len(t)))
-            df = np.add.reduceat(times[order], starts)
-            home = _home_of(place[order[starts]], place[order[np.minimum(starts + 1, starts + n - 1)]])
-            shared = np.repeat(df > 1, n)
-            chosen = order[shared]
-            rank = (_class_of(np.repeat(df, n)[shared]) << np.uint64(_TOKEN_BITS)) | t[shared]
-            at_home = np.repeat(home, n)[shared]
-            back = np.lexsort((rank, at_home, ids[chosen], of[chosen]))
+            df = np.add.reduceat(times[order], starts, dtype=np.int64)
+            place = lambda at: (blocks[of[at]] << 16) | ids[at]
+            home = _home_of(place(order[starts]), place(order[np.minimum(starts + 1, starts + n - 1)]))
+            del starts
+            many = df > 1
+            shared = np.repeat(many, n)
+            chosen, t, n = order[shared], t[shared], n[many]
+            del order, shared
+            rank = (np.repeat(_class_of(df[many]), n) << np.uint64(_TOKEN_BITS)) | t
+            at_home = np.repeat(home[many], n)
+            del t, df, home
+            back = np.lexsort((rank, at_home, (of[chosen].astype(np.int64) << 16) | ids[chosen]))
             chosen, rank, at_home = chosen[back], rank[back], at_home[back]
+            del back
             edges = np.searchsorted(of[chosen], np.arange(len(pieces) + 1))
             for i in range(len(pieces)):
                 a, b = edges[i], edges[i + 1]
@@ -433,8 +452,8 @@ def _members(rows: DataFrame, key: str) -> DataFrame:
 
 def _meet(prefixes: DataFrame, key_type: str, threshold: float, tree_sets: int) -> DataFrame:
     """(_a, _b), _a < _b, of the sets whose prefixes share as many tokens as a pair within the threshold must."""
-    homes = prefixes.groupBy("_home").agg(F.count("*").alias("_n")).where("_n > 1")
-    split = prefixes.join(homes, "_home").withColumn("_parts", F.ceil(F.col("_n") / tree_sets).cast("int"))
+    homes = prefixes.groupBy("_home").agg(F.count("*").alias("_n"), (F.sum(F.length("_ranks")) / 7).alias("_tokens")).where("_n > 1")
+    split = prefixes.join(homes, "_home").withColumn("_parts", F.ceil(F.greatest(F.col("_n") / tree_sets, F.col("_tokens") / _HELD)).cast("int"))
     # copies of one text fall into one part, so that one of them stands for all
     split = split.withColumn("_part", F.pmod(F.xxhash64("_digest"), F.col("_parts")).cast("int"))
     met = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
@@ -447,24 +466,25 @@ def _meet(prefixes: DataFrame, key_type: str, threshold: float, tree_sets: int)
 
         def flush() -> Iterator[tuple]:
             batch.sort(key=lambda s: (s[0], s[5]))
-            groups, across, parts, keys, sizes, _, lasts, rests = zip(*batch)
-            sets = Sets(groups, [_ranks_of(s[5]) for s in batch], sizes, rests)
-            p, j, have = join_trees(sets, sets, np.arange(len(batch)), threshold)
+            groups, across, parts, keys, sizes, packed, lasts, rests = zip(*batch)
+            batch.clear()
+            sets = Sets(groups, [_ranks_of(x) for x in packed], sizes, rests)
+            del groups, sizes, packed, rests
             across, parts, lasts = (np.asarray(x) for x in (across, parts, lasts))
-            ok = ~(across[p] & (parts[p] == parts[j]))
-            p, j, have = p[ok], j[ok], have[ok]
             need = np.ceil(threshold * sets.sizes - 1e-9).astype(np.int64)
-            # beyond its last prefix token the set whose prefix ends first has one token less than it needs
-            beyond = np.where(lasts[p] < lasts[j], need[p], np.where(lasts[j] < lasts[p], need[j], np.minimum(need[p], need[j]))) - 1
-            common = np.ceil(threshold / (1 + threshold) * (sets.sizes[p] + sets.sizes[j]) - 1e-6).astype(np.int64)
-            for x, y, h, m in zip(p.tolist(), j.tolist(), have.tolist(), (common - beyond).tolist()):
-                yield min(keys[x], keys[y]), max(keys[x], keys[y]), h, m
+            for p, j, have in _slices(meetings(sets, sets, np.arange(len(keys)), threshold, _HELD)):
+                ok = ~(across[p] & (parts[p] == parts[j]))
+                p, j, have = p[ok], j[ok], have[ok]
+                # beyond its last prefix token the set whose prefix ends first has one token less than it needs
+                beyond = np.where(lasts[p] < lasts[j], need[p], np.where(lasts[j] < lasts[p], need[j], np.minimum(need[p], need[j]))) - 1
+                common = np.ceil(threshold / (1 + threshold) * (sets.sizes[p] + sets.sizes[j]) - 1e-6).astype(np.int64)
+                for x, y, h, m in zip(p.tolist(), j.tolist(), have.tolist(), (common - beyond).tolist()):
+                    yield min(keys[x], keys[y]), max(keys[x], keys[y]), h, m
 
         for home, i, j, part, digest, k, size, data, last, rest in rows:
             if (home, i, j) != current:
-                if tokens > 1 << 20:
+                if tokens > _HELD or len(batch) > _HELD >> 3:
                     yield from flush()
-                    batch.clear()
                     tokens = 0
                 current, last_digest, number = (home, i, j), None, number + 1
             if digest != last_digest:  # the first of equal digests has the least key
@@ -496,19 +516,19 @@ def _settle(pairs: DataFrame, sets: DataFrame, key: str, key_type: str, threshol
             group.sort(key=lambda s: (s[0], s[3]))
             sets = Sets([s[0] for s in group], [_ranks_of(s[3]) for s in group], [s[2] for s in group], [0] * len(group))
             own = Sets([*range(len(probes))], [_ranks_of(s[2]) for s in probes], [s[1] for s in probes], [0] * len(probes))
-            p, j, both = join_trees(sets, own, np.full(len(probes), -1), threshold)
-            for x, y, b in zip(p.tolist(), j.tolist(), both.tolist()):
-                yield probes[x][0], group[y][1], b / (probes[x][1] + group[y][2] - b)
+            for p, j, both in _slices(meetings(sets, own, np.full(len(probes), -1), threshold, _HELD)):
+                for x, y, b in zip(p.tolist(), j.tolist(), both.tolist()):
+                    yield probes[x][0], group[y][1], b / (probes[x][1] + group[y][2] - b)
 
         for _, candidate, k, size, data in rows:
-            if tokens > 1 << 20:
+            if tokens > _HELD:
                 yield from flush()
                 probes, group, tokens = ([] if not candidate else probes[-1:]), [], 0
             if not candidate:
                 probes.append((k, size, data))
             else:
                 group.append((len(probes) - 1, k, size, data))
-                tokens += len(data) // 7
+            tokens += len(data) // 7
         if group:
             yield from flush()
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -403,6 +404,43 @@ def test_trees_equal_brute_force(rows, threshold, most):
     assert set(zip(*(x.tolist() for x in found))) == want
 
 
+def test_large_trees_are_met_in_bounded_memory(spark, monkeypatch):
+    """A worker that meets 3,000 sets of one home holds neither all their pairs nor lists of them."""
+    rng = np.random.default_rng(1)
+    ranks = [np.unique(rng.integers(0, 40, rng.integers(2, 7))).astype(np.uint64) for _ in range(3000)]
+    rows = [(1, 0, 0, 0, i.to_bytes(16, "big"), i, 60, neardup._ranks_bytes(r), int(r[-1]), 50) for i, r in enumerate(ranks)]
+    workers = []
+    monkeypatch.setattr(neardup, "_mapped", lambda df, run, ddl: workers.append(run) or spark.createDataFrame([], ddl))
+    prefixes = spark.createDataFrame([], "_home long, _k long, _digest binary, _size int, _ranks binary, _last long, _rest int")
+    neardup._meet(prefixes, "bigint", 0.5, 4096)
+    tracemalloc.start()
+    found = sum(1 for _ in workers[0](iter(rows)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = np.zeros((3000, 40), np.int64)
+    for i, r in enumerate(ranks):
+        held[i, r.astype(np.int64)] = 1
+    assert found == (np.triu(held @ held.T, 1) > 0).sum() and peak < 64e6
+
+
+def test_trees_in_pieces_find_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        other = list(base)
+        for _ in range(rng.choice((1, 4, 9))):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(other))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    want = sorted((a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]))
+    assert 0 < len(want) < 780
+    for held in (neardup._HELD, 200):
+        monkeypatch.setattr(neardup, "_HELD", held)
+        links, _ = neardup.near_duplicates(docs(spark, *enumerate(texts)), threshold=0.5)
+        assert sorted((r.doc_id_a, r.doc_id_b) for r in links.collect()) == want
+
+
 def test_trees_share_paths():
     rows = [[1, 2], [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 7], [1, 2, 3, 7, 8, 9], [4, 5, 6, 10, 11, 12]]
     sets = neardup.Sets([0] * 5, [np.array(r, np.uint64) for r in rows], [6] * 5, [0] * 5)
