@@ -207,3 +207,37 @@ def test_command_line(spark, tmp_path):
     run(spark, [home, "unlock", "books"]), run(spark, [home, "rename", "books", "old"]), run(spark, [home, "delete", "old"])
     with pytest.raises(IndexNotFound):
         run(spark, [home, "read", "old", "x"])
+
+
+def below(plan, node):
+    """The lines under each line of a plan that names ``node``."""
+    lines = plan.split("Initial Plan")[0].split("\n")
+    deep = [len(line) - len(line.lstrip(" :+-*(0123456789)")) for line in lines]
+    for i, line in enumerate(lines):
+        if node in line:
+            yield "\n".join(lines[i + 1 : next((j for j in range(i + 1, len(lines)) if deep[j] <= deep[i]), len(lines))])
+
+
+@pytest.mark.parametrize("name", ["knn_chunks"])
+def test_blocks_of_vectors_are_not_broadcast(spark, name):
+    from quern.plans.queries import QUERIES
+
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.collect()
+    met = [x for x in below(found._jdf.queryExecution().executedPlan().toString(), "MapInArrow") if "embedding" in x]
+    assert met and not any("Broadcast" in x for x in met)
+
+
+def test_best_of_many_blocks_with_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (700, 3)).astype(np.float32)  # nearly all scores tie, some vectors are all zero
+    x[5], x[6] = [3e20, 0, 1], [1e-30, 3e20, 2]
+    v = spark.createDataFrame([(f"k{i:04}", a.tolist()) for i, a in enumerate(x)], "id string, embedding array<float>").repartition(5)
+    q = v.selectExpr("cast(substring(id, 2) as int) as qid", "embedding").repartition(3)
+    got = {(r.qid, r["rank"]): (r.id, r.raw) for r in vector.top_k(q, v, 7, block=64).collect()}
+    s = np.round(x.astype(float) @ x.T.astype(float), 9)
+    for i in range(700):
+        want = np.lexsort((np.arange(700), -s[i]))[:7]
+        assert [got[i, r + 1] for r in range(7)] == [(f"k{j:04}", s[i, j]) for j in want]
