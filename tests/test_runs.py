@@ -218,7 +218,7 @@ def below(plan, node):
             yield "\n".join(lines[i + 1 : next((j for j in range(i + 1, len(lines)) if deep[j] <= deep[i]), len(lines))])
 
 
-@pytest.mark.parametrize("name", ["knn_chunks", "knn_ip", "render_results", "knn_batch", "result_sources", "search_rendered", "knn_cosine"])
+@pytest.mark.parametrize("name", ["knn_chunks", "knn_ip", "render_results", "knn_batch", "result_sources", "search_rendered", "knn_cosine", "search_context"])
 def test_blocks_of_vectors_are_not_broadcast(spark, name):
     from quern.plans.queries import QUERIES
 
