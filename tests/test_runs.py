@@ -228,6 +228,14 @@ def test_blocks_of_vectors_are_not_broadcast(spark, name):
     assert met and not any("Broadcast" in x for x in met)
 
 
+def test_every_vector_is_asked_for(spark):
+    from quern.plans.queries import ORACLE, QUERIES
+
+    usable = spark.read.parquet("/root/testdata/sf0.001/vec_index.parquet").where("size(embedding) > 0")
+    asked = {r.qid for r in QUERIES["knn_ip"](spark, "/root/testdata/sf0.001").select("qid").distinct().collect()}
+    assert asked == {r.rowid for r in usable.collect()} and "%" not in ORACLE["knn_ip"]
+
+
 def test_best_of_many_blocks_with_ties(spark):
     import numpy as np
 
